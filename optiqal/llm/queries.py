@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optiqal.llm import decontamination, mixing, sharding
+from optiqal.llm import decontamination, licenses, mixing, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +24,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.numbered(read(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op5_mixing, op7_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op5_mixing, op7_sharding, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
