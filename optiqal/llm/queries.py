@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from optiqal.llm import decontamination, licenses, mixing, sharding
+from optiqal.llm import decontamination, language, licenses, mixing, neardup, sharding
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find_matches(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.digest(language.identify(docs.select("doc_id", "text"), docs.where(~language.held_out(docs["doc_id"]))))
+
+
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -29,7 +38,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op5_mixing, op7_sharding, op9_licenses)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op5_mixing, op7_sharding, op9_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
