@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from optiqal.llm import decontamination, language, licenses, mixing, neardup, sharding
+from optiqal.llm import decontamination, language, licenses, mixing, nearest, neardup, sharding, toolcalls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest.search(rows.where(F.col("vec_id") % 50 == 0), rows)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.numbered(read(spark, sf_dir, "documents"))
 
@@ -37,8 +43,13 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results, needs = toolcalls.from_conversations(read(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, needs, toolcalls.ANSWER)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op5_mixing, op7_sharding, op9_licenses)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op5_mixing, op6_nearest, op7_sharding, op9_licenses, op10_toolcalls)}
 
 
 def oracle_sql() -> dict[str, str]:
