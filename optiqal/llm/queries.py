@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optiqal.llm import decontamination, language, licenses, mixing, nearest, neardup, sharding, toolcalls
+from optiqal.llm import decontamination, exactdedup, language, licenses, mixing, nearest, neardup, sharding, toolcalls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents"))
 
 
+def op4_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op5_mixing, op6_nearest, op7_sharding, op9_licenses, op10_toolcalls)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op4_exactdedup, op5_mixing, op6_nearest, op7_sharding, op9_licenses, op10_toolcalls)}
 
 
 def oracle_sql() -> dict[str, str]:
