@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optiqal.llm import decontamination, exactdedup, language, licenses, mixing, nearest, neardup, sharding, toolcalls
+from optiqal.llm import decontamination, exactdedup, language, licenses, mixing, nearest, neardup, passages, sharding, toolcalls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.numbered(read(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(read(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -53,7 +57,7 @@ def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op4_exactdedup, op5_mixing, op6_nearest, op7_sharding, op9_licenses, op10_toolcalls)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op4_exactdedup, op5_mixing, op6_nearest, op7_sharding, op8_passages, op9_licenses, op10_toolcalls)}
 
 
 def oracle_sql() -> dict[str, str]:
