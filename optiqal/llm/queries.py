@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL}
+    return {"op1_decontamination": decontamination.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op10_toolcalls": toolcalls.ORACLE_SQL}

@@ -109,3 +109,22 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     before = F.lag("call_id").over(W.partitionBy("conv_id").orderBy("nth"))
     needs = said.select("conv_id", "call_id", before.alias("need")).where("need is not null")
     return calls, results, needs
+
+
+ORACLE_SQL = r"""
+WITH x AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+n AS (
+  SELECT *, row_number() OVER w AS nth, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
+  FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (
+  SELECT *, 'call-' || conv_id || '-' || nth AS call_id, row_number() OVER (PARTITION BY conv_id ORDER BY nth) - 1 AS level,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         CASE WHEN next_turn IS NULL THEN 'unanswered' WHEN next_turn < turn THEN 'early' ELSE 'linked' END AS status
+  FROM n WHERE role = 'assistant')
+SELECT conv_id, call_id, status, level, level AS position, true AS valid,
+       to_json({'arguments': {'text': text, 'turn': turn, 'words': words}, 'id': call_id, 'name': 'answer',
+                'position': level, 'result': next_text, 'status': status})::VARCHAR AS message
+FROM s
+"""
