@@ -67,95 +67,118 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, least, np.flatnonzero(most[: len(h)] == h)
 
 
+def _owned(h: np.ndarray, least: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings that each anchor is the least of; they are a run that ends at or before it."""
+    around = np.concatenate([np.zeros(_SPAN - 1, _U), least, np.zeros(_SPAN, _U)])
+    begin, last, own_h = np.full(len(at), -1), np.full(len(at), -1), h[at]
+    for back in range(_SPAN):
+        own = around[at - back + _SPAN - 1] == own_h
+        begin[own] = at[own] - back
+        fresh = own & (last < 0)
+        last[fresh] = at[fresh] - back
+    return begin, last
+
+
+def _content_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte ranges, which are LENGTH to LENGTH + SPAN - 1 long."""
+    e = _eight(data, "<u8")
+    out = mix((end - begin).astype(_U))
+    for d in range(0, LENGTH + _SPAN, 8):
+        at = begin + d
+        inside = at + 8 <= end
+        out = np.where(inside, mix(out ^ e[np.minimum(at, len(data) - 1)]), out)
+    return mix(out ^ e[end - 8])
+
+
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text -> anchor, doc_id, start, n, content: the n strings from start on that an anchor is the least of, and a hash of their text."""
     for batch in batches:
         for part in pieces(batch, 1):
             data, off = text_bytes(part.column(1))
-            h, _, at = anchors(data, off)
+            h, least, at = anchors(data, off)
+            if not len(at):
+                continue
+            begin, last = _owned(h, least, at)
+            new = np.ones(len(at), bool)  # equal hashes side by side may be the least of the same strings
+            new[1:] = (h[at[1:]] != h[at[:-1]]) | (begin[1:] != begin[:-1]) | (last[1:] != last[:-1])
+            at, begin, last = at[new], begin[new], last[new]
             doc = np.searchsorted(off, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(at - off[doc], pa.int64())], names=["anchor", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), part.column(0).take(pa.array(doc)), pa.array((begin - off[doc]).astype(np.int32)), pa.array((last - begin + 1).astype(np.int8)), pa.array(_content_hashes(data, begin, last + LENGTH).view(np.int64))], names=["anchor", "doc_id", "start", "n", "content"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by anchor: those of anchors with more than one row, and whether there are more than HOT.
+#: What _compared makes of a row: all its strings are earlier elsewhere; some may be; some may be, and the anchor is hot.
+AGAIN, PERHAPS, HOT_PERHAPS = 0, 1, 2
 
-    Up to HOT rows of the last anchor are held back until it is known how many there are.
-    """
-    held: list[pa.RecordBatch] = []
-    count, key = 0, None
 
-    def out(rows: list[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
-        for r in rows:
-            yield pa.RecordBatch.from_arrays([r.column(1), r.column(2), pa.array(np.full(r.num_rows, hot))], names=["doc_id", "at", "hot"])
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by anchor, document and start: those that may lose bytes, or are needed to tell.
+
+    A row whose text an earlier row of its anchor has too is settled. If an anchor has several texts, the first row of each
+    goes on. Of the last anchor only these first rows are held, and if there are more than HOT, only their hashes' bound.
+    """
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+    hot = False
+
+    def out(anchor, doc, start, n, kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(kind.astype(np.int32))], names=["doc_id", "start", "n", "anchor", "kind"])
+
+    def settle(cols: list[np.ndarray], old: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """The first `old` rows were held; unless this is the last call, the last anchor stays open."""
+        nonlocal held, hot
+        anchor, doc, start, n, content = cols
+        order = np.lexsort((content, anchor))  # stable: the earliest of equal texts first
+        a, c = anchor[order], content[order]
+        again = np.concatenate([[False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])])
+        if again.any():
+            i = order[again]
+            yield out(anchor[i], doc[i], start[i], n[i], np.full(len(i), AGAIN))
+        first = np.sort(order[~again])
+        a = anchor[first]
+        open_ = np.zeros(len(first), bool) if last else a == anchor[-1]
+        head = np.concatenate([[True], a[1:] != a[:-1]])
+        count = np.diff(np.append(np.flatnonzero(head), len(a)))[np.cumsum(head) - 1]
+        was_hot = hot & (a == anchor[0]) if old else np.zeros(len(first), bool)
+        done = first[~open_ & ((count > 1) | was_hot)]
+        kind = np.where(was_hot[~open_ & ((count > 1) | was_hot)], HOT_PERHAPS, PERHAPS)
+        if len(done):
+            yield out(anchor[done], doc[done], start[done], n[done], kind)
+        rest = first[open_]
+        hot = bool(hot and old and len(rest) and anchor[rest[0]] == anchor[0])
+        if len(rest) > HOT or hot:  # too many texts to hold: their strings are told apart one by one
+            yield out(anchor[rest], doc[rest], start[rest], n[rest], np.full(len(rest), HOT_PERHAPS))
+            hot, rest = True, rest[:1]
+            held = [x[rest] for x in cols]
+            held[4] = np.zeros(1, np.int64)
+            return
+        held = [x[rest] for x in cols]
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a = batch.column(0).to_numpy()
-        head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        ends = np.append(head[1:], len(a))
-        size = ends - head
-        start = 0
-        if a[0] == key:
-            n = int(size[0])
-            if count <= HOT < count + n:
-                yield from out(held, True)
-                held = []
-            count += n
-            if count > HOT:
-                yield from out([batch.slice(0, n)], True)
-            else:
-                held.append(batch.slice(0, n))
-            start = 1
-        if start == len(head):
-            continue
-        if 1 < count <= HOT:
-            yield from out(held, False)
-        inner = (size > 1) & (size <= HOT) & (np.arange(len(head)) >= start) & (np.arange(len(head)) < len(head) - 1)
-        keep = np.repeat(inner, size)
-        if keep.any():
-            yield from out([batch.filter(pa.array(keep))], False)
-        for i in np.flatnonzero(size[start:-1] > HOT) + start:
-            yield from out([batch.slice(int(head[i]), int(size[i]))], True)
-        key, count, held = a[-1], int(size[-1]), [batch.slice(int(head[-1]), int(size[-1]))]
-        if count > HOT:
-            yield from out(held, True)
-            held = []
-    if 1 < count <= HOT:
-        yield from out(held, False)
+        if batch.num_rows:
+            cols = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            yield from settle(cols, len(held[0]), False)
+    if len(held[0]) and not hot:
+        yield from settle(held, len(held[0]), True)
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows doc_id, text, ats -> anchor, doc_id, start, content: the text of all strings that an anchor is the least of."""
+    """Rows doc_id, text, wanted -> anchor, doc_id, start, content: the text of the strings, or each one's own if the anchor is hot."""
     names = ["anchor", "doc_id", "start", "content"]
     for batch in batches:
         for part in pieces(batch, 1):
             data, off = text_bytes(part.column(1))
-            h, least, _ = anchors(data, off)
-            lists = part.column(2)
-            where, begin = lists.flatten(), np.asarray(lists.offsets, np.int64)
+            text, lists = data.tobytes(), part.column(2)
+            own, begin = lists.flatten(), np.asarray(lists.offsets, np.int64)
             doc = np.repeat(np.arange(part.num_rows), np.diff(begin))
-            at = where.field(0).to_numpy() + off[doc]
-            hot = where.field(1).to_numpy(zero_copy_only=False)
-            fits = (at >= 0) & (at + K <= off[doc + 1])
-            at, hot, doc = at[fits], hot[fits], doc[fits]
-            if not len(at):
-                continue
-            around = np.concatenate([np.zeros(_SPAN - 1, _U), least, np.zeros(_SPAN, _U)])
-            own = np.stack([around[at + j] == h[at] for j in range(_SPAN)], 1)  # string at - SPAN + 1 + j
-            some = own.any(1)
-            at, hot, doc, own = at[some], hot[some], doc[some], own[some]
-            first = at - _SPAN + 1 + own.argmax(1)
-            last = at - own[:, ::-1].argmax(1)
-            key = h[at].view(np.int64)
-            text = data.tobytes()
-            calm = np.flatnonzero(~hot)
-            ids = part.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key[calm]), pa.array(ids[doc[calm]]), pa.array(first[calm] - off[doc[calm]]), pa.array([text[a : b + LENGTH] for a, b in zip(first[calm], last[calm], strict=True)], pa.binary())], names=names)
-            for i in np.flatnonzero(hot):
-                s = np.arange(first[i], last[i] + 1)
-                own_key = mix(least[s] ^ mix(_eight(data, "<u8")[s] ^ mix(_eight(data, "<u8")[s + LENGTH - 8])))
-                yield pa.RecordBatch.from_arrays([pa.array(own_key.view(np.int64)), pa.array(np.full(len(s), ids[doc[i]])), pa.array(s - off[doc[i]]), pa.array([text[a : a + LENGTH] for a in s], pa.binary())], names=names)
+            start, n, anchor, kind = (own.field(i).to_numpy() for i in range(4))
+            fits = start + n - 1 + LENGTH <= (off[1:] - off[:-1])[doc]
+            ids = part.column(0).to_numpy()[doc]
+            calm = np.flatnonzero(fits & (kind == PERHAPS))
+            a = (off[doc] + start)[calm]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[calm]), pa.array(ids[calm]), pa.array(start[calm].astype(np.int64)), pa.array([text[i:j] for i, j in zip(a, a + n[calm] - 1 + LENGTH, strict=True)], pa.binary())], names=names)
+            for i in np.flatnonzero(fits & (kind == HOT_PERHAPS)):
+                s = off[doc[i]] + start[i] + np.arange(n[i])
+                key = _content_hashes(data, s, s + LENGTH).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(s), ids[i])), pa.array(s - off[doc[i]]), pa.array([text[j : j + LENGTH] for j in s], pa.binary())], names=names)
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -293,15 +316,26 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def spans(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, from, to): byte ranges, which may overlap, that repeat earlier text; and (doc_id, text) of documents that may have some."""
-    x = docs.select(docs[key_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id is not null")
-    found = x.mapInArrow(_anchored, "anchor long, doc_id long, at long").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    twice = found.mapInArrow(_repeated, "doc_id long, at long, hot boolean").groupBy("doc_id").agg(F.collect_list(F.struct("at", "hot")).alias("ats"))
-    some = written(x.join(twice, "doc_id").select("doc_id", "text", "ats"), "repeats")
+#: So many document ids are sent to all tasks at most, 8 bytes each; more are joined by a shuffle.
+FEW = 1 << 20
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs with an id in ids (doc_id, distinct)."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, from, to: byte ranges, which may overlap, that repeat earlier text. docs: doc_id (not null), text."""
+    found = docs.mapInArrow(_anchored, "anchor long, doc_id long, start int, n byte, content long").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+    rows = written(found.mapInArrow(_compared, "doc_id long, start int, n int, anchor long, kind int"), "repeats")
+    again = rows.where(F.col("kind") == AGAIN).select("doc_id", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("n") + (LENGTH - 1)).cast("long").alias("to"))
+    perhaps = rows.where(F.col("kind") != AGAIN)
+    wanted = perhaps.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "kind")).alias("wanted"))
+    some = only(docs, perhaps.select("doc_id").distinct()).join(wanted, "doc_id").select("doc_id", "text", "wanted")
     records = some.mapInArrow(_records, "anchor long, doc_id long, start long, content binary")
-    removed = records.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_sorted_out, "doc_id long, from long, to long")
-    return removed, some.select("doc_id", "text")
+    sorted_out = records.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_sorted_out, "doc_id long, from long, to long")
+    return again.unionByName(sorted_out)
 
 
 def union_of(ranges) -> "F.Column":
@@ -331,9 +365,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """(doc_id, runs, kept) of the documents that lose bytes: the maximal runs removed, and the bytes that stay."""
-    removed, some = spans(docs, text_col, key_col)
-    runs = removed.groupBy("doc_id").agg(union_of(F.collect_set(F.struct("from", "to"))).alias("runs"))
-    return some.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, runs array<struct<from:long,to:long>>, kept binary")
+    x = docs.select(docs[key_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id is not null")
+    runs = written(spans(x).groupBy("doc_id").agg(union_of(F.collect_set(F.struct("from", "to"))).alias("runs")), "runs")
+    return only(x, runs.select("doc_id")).join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, runs array<struct<from:long,to:long>>, kept binary")
 
 
 def digest(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
