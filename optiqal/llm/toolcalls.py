@@ -8,6 +8,7 @@ variants, whose text form has sorted keys and no blanks.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -52,17 +53,15 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     edges = needs.select(*key, "need").distinct().join(known.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi").join(known, key, "left_semi")
     edges = written(edges, "needs")
     placed = written(known.join(edges, key, "left_anti").withColumn("level", F.lit(0)), "levels")
-    level, done = 0, placed
-    waiting = edges
+    level, waiting, all_placed = 0, edges, [placed]
     while not placed.isEmpty() and not waiting.isEmpty():
-        met = placed.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("met"))
-        waiting = waiting.join(met, ["conv_id", "need"], "left").where("met is null").drop("met")
-        waiting = written(waiting, "needs")
+        left = written(waiting.join(placed.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "needs")
         level += 1
-        ready = edges.select(*key).distinct().join(waiting.select(*key).distinct(), key, "left_anti").join(done.select(*key), key, "left_anti")
+        ready = waiting.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti")
         placed = written(ready.withColumn("level", F.lit(level)), "levels")
-        done = done.unionByName(placed)
-    return done
+        all_placed.append(placed)
+        waiting = left
+    return reduce(DataFrame.unionByName, all_placed)
 
 
 def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
