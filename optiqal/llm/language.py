@@ -34,11 +34,13 @@ def sample(labelled: DataFrame, text_col: str, lang_col: str, key_col: str) -> l
     """(language, reference text), at most REF_CHARS characters each; the rows are chosen by a hash of key and text."""
     x = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).cast("string").alias("key"))
     x = x.where("lang is not null and text is not null").where(F.length("text").between(1, REF_LONGEST))
-    counts = x.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in x.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as the model has tables
+    if not counts:
+        return []
     # Twice the rows that are wanted, in expectation, so that the ranking never sees a whole language.
-    rate = F.least(F.lit(1.0), F.lit(2.0 * REF_DOCS) / F.col("n"))
+    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2.0 * REF_DOCS / n))])
     h = F.xxhash64("key", "text")
-    few = x.join(counts, "lang").where(F.pmod(h, F.lit(1 << 20)) < rate * (1 << 20))
+    few = x.where(F.pmod(h, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
     order = W.partitionBy("lang").orderBy(h, "key", "text")
     few = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= REF_DOCS)
     few = few.withColumn("before", F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < REF_CHARS)
