@@ -70,8 +70,8 @@ def pair_totals(shapes: DataFrame) -> DataFrame:
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
-    flipped = pairs.where("label_1 <> label_2").withColumnsRenamed({"label_1": "label_2", "label_2": "label_1"})
-    return pairs.unionByName(flipped)
+    rest = [k for k in pairs.columns if k not in ("label_1", "label_2")]
+    return pairs.unionByName(pairs.where("label_1 <> label_2").select(c("label_2").alias("label_1"), c("label_1").alias("label_2"), *rest))
 
 
 def mean_iou_per_pair(shapes: DataFrame, threshold: float = 0.0) -> DataFrame:
