@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optiqal.functions.graph import components
+from optiqal.functions.graph import components, written
 from optiqal.functions.quantiles import quantiles
 from optiqal.functions.vectors import distance, dot, mean_vectors, norm
 
@@ -60,7 +60,7 @@ def similar_pairs(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_e
         pairs = x.select(c("id").alias("a"), c("unit").alias("u")).join(x.select(c("id").alias("b"), c("unit").alias("v")), c("a") < c("b"))
         return pairs.select("a", "b", dot(c("u"), c("v")).alias("cosine")).where(c("cosine") >= min_cosine)
     radius = math.sqrt(2 - 2 * min_cosine)
-    v = x.select("id", array_to_vector("unit").alias("features"))
+    v = written(x, "units").select("id", array_to_vector("unit").alias("features"))  # read again: no filter moves behind the conversion
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2 * radius, numHashTables=8, seed=42).fit(v)
     near = lsh.approxSimilarityJoin(v, v, radius + 1e-9, "d").where("datasetA.id < datasetB.id")
     return near.select(c("datasetA.id").alias("a"), c("datasetB.id").alias("b"), (1 - c("d") * c("d") / 2).alias("cosine")).where(c("cosine") >= min_cosine - 1e-12)
