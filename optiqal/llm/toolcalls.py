@@ -42,26 +42,53 @@ def valid_arguments(name: Column, arguments: Column, schemas: Mapping[str, Mappi
     return F.coalesce(out, F.lit(False))
 
 
+def _jumps(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, root, dist) of calls that need one call each: the first call down their chain that needs none or
+    several, and how far it is. Distances double from round to round; chains that never end (cycles) have no row.
+    """
+    key = ["conv_id", "call_id"]
+    at = written(single.select(*key, F.col("need").alias("root"), F.lit(1).cast("long").alias("dist"), F.lit(False).alias("done")), "jumps")
+    for _ in range(max(1, at.count().bit_length()) + 1):
+        next_ = at.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("further"), F.col("dist").alias("more"), F.col("done").alias("end"))
+        x = at.join(next_, ["conv_id", "root"], "left")
+        on = ~F.col("done") & F.col("further").isNotNull()
+        at = written(x.select(*key, F.when(on, F.col("further")).otherwise(F.col("root")).alias("root"), F.when(on, F.col("dist") + F.col("more")).otherwise(F.col("dist")).alias("dist"), (F.col("done") | F.col("further").isNull() | F.col("end")).alias("done")), "jumps")
+        if at.where("not done").isEmpty():
+            break
+    return at.where("done").drop("done")
+
+
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that need no other call of theirs, else one more than the highest they need.
 
     needs: (conv_id, call_id, need). Needs that name no call of the conversation are left out. Calls on or behind a cycle
-    have no row. The rounds are as many as the longest chain of needs.
+    have no row. Chains of calls with one need each are jumped over in rounds that grow with the logarithm of their length;
+    calls with several needs are placed once all their needs are, so the other rounds are as many as such calls in a row.
     """
     key = ["conv_id", "call_id"]
     known = calls.select(*key).distinct()
     edges = needs.select(*key, "need").distinct().join(known.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi").join(known, key, "left_semi")
     edges = written(edges, "needs")
-    placed = written(known.join(edges, key, "left_anti").withColumn("level", F.lit(0)), "levels")
-    level, waiting, all_placed = 0, edges, [placed]
+    count = edges.groupBy(*key).agg(F.count("*").alias("n"))
+    split = edges.join(count, key)
+    jumps = written(_jumps(split.where("n = 1")), "jumps")
+    placed = written(known.join(edges, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
+    # needs of the others, with each chain between replaced by its length; one that ends in a cycle is never met
+    chained = split.where("n = 1").select(*key).withColumnsRenamed({"call_id": "need"}).withColumn("chained", F.lit(True))
+    over = split.where("n > 1").join(chained, ["conv_id", "need"], "left").join(jumps.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left")
+    root = F.when(F.col("chained"), F.col("root")).otherwise(F.col("need"))
+    waiting = written(over.select(*key, root.alias("need"), (F.coalesce("dist", F.lit(0)) + 1).alias("step"), F.lit(None).cast("long").alias("met")), "needs")
+    all_placed = [placed]
     while not placed.isEmpty() and not waiting.isEmpty():
-        left = written(waiting.join(placed.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "needs")
-        level += 1
-        ready = waiting.select(*key).distinct().join(left.select(*key).distinct(), key, "left_anti")
-        placed = written(ready.withColumn("level", F.lit(level)), "levels")
+        seen = placed.select("conv_id", F.col("call_id").alias("need"), "level")
+        waiting = written(waiting.join(seen, ["conv_id", "need"], "left").select(*key, "need", "step", F.coalesce("met", F.col("level") + F.col("step")).alias("met")), "needs")
+        ready = waiting.groupBy(*key).agg(F.count("*").alias("n"), F.count("met").alias("m"), F.max("met").alias("level")).where("n = m")
+        placed = written(ready.select(*key, "level"), "levels")
+        waiting = waiting.join(placed, key, "left_anti")
         all_placed.append(placed)
-        waiting = left
-    return reduce(DataFrame.unionByName, all_placed)
+    ends = reduce(DataFrame.unionByName, all_placed)
+    along = jumps.join(ends.withColumnsRenamed({"call_id": "root"}), ["conv_id", "root"]).select(*key, (F.col("level") + F.col("dist")).alias("level"))
+    return ends.unionByName(along)
 
 
 def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:

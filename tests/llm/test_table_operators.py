@@ -178,6 +178,25 @@ def test_tool_calls(spark):
     assert json.loads(got[1, "z"]["message"])["arguments"] == {"text": "{broken"}
 
 
+def test_levels_of_any_graph(spark):
+    rng = np.random.default_rng(8)
+    needs = set()
+    for conv in range(12):
+        for a in range(14):
+            for b in rng.choice(14, rng.integers(0, 3), replace=False):
+                if b < a or conv % 4 == 3:  # every fourth may have cycles
+                    needs.add((conv, str(a), str(b)))
+    needs |= {(99, str(i), str(i - 1)) for i in range(1, 300)} | {(98, "0", "1"), (98, "1", "0"), (98, "2", "1"), (98, "3", "2"), (98, "3", "4")}
+    ids = {(c, str(i)) for c in range(12) for i in range(14)} | {(99, str(i)) for i in range(300)} | {(98, str(i)) for i in range(5)}
+    want, before = {}, None
+    own = {k: {(k[0], n) for c, a, n in needs if (c, a) == k} for k in ids}
+    while before != len(want):
+        before = len(want)
+        want |= {k: max([want[x] + 1 for x in v], default=0) for k, v in own.items() if k not in want and all(x in want for x in v)}
+    got = toolcalls.levels(spark.createDataFrame(sorted(ids), "conv_id long, call_id string"), spark.createDataFrame(sorted(needs), NEEDS))
+    assert sorted(((r["conv_id"], r["call_id"]), r["level"]) for r in got.collect()) == sorted(want.items())
+
+
 def test_tool_calls_without_rows(spark):
     e = [spark.createDataFrame([], s) for s in (CALLS, RESULTS, NEEDS)]
     assert toolcalls.link(*e, TOOL).count() == 0
