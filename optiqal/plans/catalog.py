@@ -19,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select([F.round(k, digits).alias(k) if t in ("double", "float") else c(k) for k, t in df.dtypes])
 
 
@@ -40,32 +40,32 @@ def features(spark, d):
 # Shapes: features, statistics, outliers
 
 
-@query(f"WITH {v.FEATURES} SELECT shape_id, area, image_area, round(relative_area, 6) AS relative_area, round(aspect_ratio, 6) AS aspect_ratio, round(w_norm, 6) AS w_norm, round(h_norm, 6) AS h_norm, round(area_norm, 6) AS area_norm, round(center_x, 6) AS center_x, round(center_y, 6) AS center_y FROM features")
+@query(f"WITH {v.FEATURES} SELECT shape_id, area, image_area, round(relative_area, 9) AS relative_area, round(aspect_ratio, 9) AS aspect_ratio, round(w_norm, 9) AS w_norm, round(h_norm, 9) AS h_norm, round(area_norm, 9) AS area_norm, round(center_x, 9) AS center_x, round(center_y, 9) AS center_y FROM features")
 def shape_features(spark, d):
     return rounded(features(spark, d).select("shape_id", "area", "image_area", "relative_area", "aspect_ratio", "w_norm", "h_norm", "area_norm", "center_x", "center_y"))
 
 
-@query(f"WITH {v.SHAPES} SELECT shape_id, round(x / image_width, 6) AS x_norm, round(y / image_height, 6) AS y_norm, round(w / image_width, 6) AS w_norm, round(h / image_height, 6) AS h_norm FROM shapes")
+@query(f"WITH {v.SHAPES} SELECT shape_id, round(x / image_width, 9) AS x_norm, round(y / image_height, 9) AS y_norm, round(w / image_width, 9) AS w_norm, round(h / image_height, 9) AS h_norm FROM shapes")
 def normalized_coords(spark, d):
     return rounded(geometry.normalize_coords(v.shapes(spark, d)).select("shape_id", "x_norm", "y_norm", "w_norm", "h_norm"))
 
 
-@query(f"WITH {v.FEATURES} SELECT count(*) AS num_shapes, count(DISTINCT label) AS num_classes, round(avg(CASE WHEN area < 20 THEN 100.0 ELSE 0.0 END), 6) AS percent_small, round(avg(CASE WHEN relative_area > 0.05 THEN 100.0::DOUBLE ELSE 0.0 END), 6) AS percent_large, round(avg(aspect_ratio), 6) AS mean_aspect_ratio, 20.0::DOUBLE AS small_threshold, 0.05::DOUBLE AS large_threshold FROM features")
+@query(f"WITH {v.FEATURES} SELECT count(*) AS num_shapes, count(DISTINCT label) AS num_classes, round(avg(CASE WHEN area < 20 THEN 100.0 ELSE 0.0 END), 9) AS percent_small, round(avg(CASE WHEN relative_area > 0.05 THEN 100.0::DOUBLE ELSE 0.0 END), 9) AS percent_large, round(avg(aspect_ratio), 9) AS mean_aspect_ratio, 20.0::DOUBLE AS small_threshold, 0.05::DOUBLE AS large_threshold FROM features")
 def shape_global_stats(spark, d):
     return rounded(shp.shape_global_stats(features(spark, d), large=0.05))
 
 
-@query(f"WITH {v.FEATURES} SELECT label, count(area) AS count_area, round(avg(area), 6) AS mean_area, round(quantile_cont(area, 0.5), 6) AS median_area, round(stddev_samp(area), 6) AS std_area FROM features GROUP BY label")
+@query(f"WITH {v.FEATURES} SELECT label, count(area) AS count_area, round(avg(area), 9) AS mean_area, round(quantile_cont(area, 0.5), 9) AS median_area, round(stddev_samp(area), 9) AS std_area FROM features GROUP BY label")
 def per_class_area_stats(spark, d):
     return rounded(shp.per_class_area_stats(features(spark, d)))
 
 
-@query(f"WITH {v.FEATURES} SELECT round(min(aspect_ratio), 6) AS min_ratio, round(max(aspect_ratio), 6) AS max_ratio, round(stddev_samp(aspect_ratio), 6) AS std_ratio FROM features")
+@query(f"WITH {v.FEATURES} SELECT round(min(aspect_ratio), 9) AS min_ratio, round(max(aspect_ratio), 9) AS max_ratio, round(stddev_samp(aspect_ratio), 9) AS std_ratio FROM features")
 def aspect_ratio_stats(spark, d):
     return rounded(shp.aspect_ratio_stats(features(spark, d)))
 
 
-@query(f"WITH {v.SHAPES}, n AS (SELECT count(s.shape_id) AS n FROM orders LEFT JOIN shapes s ON o_orderkey = s.asset_id GROUP BY o_orderkey) SELECT round(avg(n), 6) AS mean_n, round(stddev_samp(n), 6) AS std_n, min(n) AS min_n, max(n) AS max_n, round(quantile_cont(n, 0.5), 6) AS median_n, count(*) FILTER (n = 0) AS num_empty_images FROM n")
+@query(f"WITH {v.SHAPES}, n AS (SELECT count(s.shape_id) AS n FROM orders LEFT JOIN shapes s ON o_orderkey = s.asset_id GROUP BY o_orderkey) SELECT round(avg(n), 9) AS mean_n, round(stddev_samp(n), 9) AS std_n, min(n) AS min_n, max(n) AS max_n, round(quantile_cont(n, 0.5), 9) AS median_n, count(*) FILTER (n = 0) AS num_empty_images FROM n")
 def shape_density_stats(spark, d):
     orders = v.table(spark, d, "orders").select(c("o_orderkey").alias("asset_id"))
     return rounded(shp.shape_density_stats(v.shapes(spark, d), orders))
@@ -87,12 +87,12 @@ def _outlier_sql(col: str, least: int) -> str:
     )
 
 
-@query(_outlier_sql("area", 1) + "SELECT CASE WHEN below THEN 'small_shapes' ELSE 'large_shapes' END AS item, label, asset_id::VARCHAR AS asset_id, shape_id, round(area, 6) AS score FROM x WHERE below OR above UNION ALL SELECT 'typical_shapes', label, asset_id::VARCHAR, shape_id, round(area, 6) FROM ty")
+@query(_outlier_sql("area", 1) + "SELECT CASE WHEN below THEN 'small_shapes' ELSE 'large_shapes' END AS item, label, asset_id::VARCHAR AS asset_id, shape_id, round(area, 9) AS score FROM x WHERE below OR above UNION ALL SELECT 'typical_shapes', label, asset_id::VARCHAR, shape_id, round(area, 9) FROM ty")
 def shape_area_outliers(spark, d):
     return rounded(shp.area_outliers(features(spark, d)).select("item", "label", "asset_id", "shape_id", "score"))
 
 
-@query(_outlier_sql("aspect_ratio", 2) + "SELECT 'extreme_ratios' AS item, label, asset_id::VARCHAR AS asset_id, shape_id, round(aspect_ratio, 6) AS score FROM x WHERE below OR above UNION ALL SELECT 'typical_ratios', label, asset_id::VARCHAR, shape_id, round(aspect_ratio, 6) FROM ty")
+@query(_outlier_sql("aspect_ratio", 2) + "SELECT 'extreme_ratios' AS item, label, asset_id::VARCHAR AS asset_id, shape_id, round(aspect_ratio, 9) AS score FROM x WHERE below OR above UNION ALL SELECT 'typical_ratios', label, asset_id::VARCHAR, shape_id, round(aspect_ratio, 9) FROM ty")
 def shape_aspect_ratio_outliers(spark, d):
     return rounded(shp.aspect_ratio_outliers(features(spark, d)).select("item", "label", "asset_id", "shape_id", "score"))
 
@@ -129,23 +129,23 @@ def cooccurrence(spark, d):
     return interclass.cooccurrence(v.shapes(spark, d))
 
 
-@query(f"{_PAIRS} SELECT asset_id, shape_1, shape_2, label_1, label_2, round(iou, 6) AS iou FROM pr")
+@query(f"{_PAIRS} SELECT asset_id, shape_1, shape_2, label_1, label_2, round(iou, 9) AS iou FROM pr")
 def shape_pairs(spark, d):
     return rounded(interclass.shape_pairs(v.shapes(spark, d)))
 
 
-@query(f"{_PAIRS} SELECT asset_id, shape_1, shape_2, label_1, label_2, round(iou, 6) AS iou FROM pr WHERE iou > 0")
+@query(f"{_PAIRS} SELECT asset_id, shape_1, shape_2, label_1, label_2, round(iou, 9) AS iou FROM pr WHERE iou > 0")
 def overlapping_pairs(spark, d):
     return rounded(interclass.overlapping_pairs(v.shapes(spark, d)))
 
 
-@query(f"{_PAIRS} SELECT asset_id, shape_1, shape_2, label_1, label_2, round(iou, 6) AS iou FROM pr WHERE iou > 0")
+@query(f"{_PAIRS} SELECT asset_id, shape_1, shape_2, label_1, label_2, round(iou, 9) AS iou FROM pr WHERE iou > 0")
 def overlapping_pairs_tiled(spark, d):
     """With every image compared tile by tile."""
     return rounded(interclass.overlapping_pairs(v.shapes(spark, d), crowded=0))
 
 
-@query(f"{_PAIRS}, m AS (SELECT label_1, label_2, round(avg(iou), 6) AS mean_iou FROM pr GROUP BY 1, 2) {_BOTH_WAYS.format('mean_iou')}")
+@query(f"{_PAIRS}, m AS (SELECT label_1, label_2, round(avg(iou), 9) AS mean_iou FROM pr GROUP BY 1, 2) {_BOTH_WAYS.format('mean_iou')}")
 def mean_iou_per_pair(spark, d):
     return rounded(interclass.mean_iou_per_pair(v.shapes(spark, d)))
 
@@ -189,7 +189,7 @@ def missing_expected_cooccurrence(spark, d):
     return interclass.missing_expected_cooccurrence(v.shapes(spark, d))
 
 
-@query(f"{_PAIRS}, o AS (SELECT label_1, label_2, count(*) AS n FROM pr WHERE iou >= 0.2 GROUP BY 1, 2), f AS (SELECT pr.* FROM pr LEFT JOIN o USING (label_1, label_2) WHERE label_1 < label_2 AND iou > 0.1 AND coalesce(n, 0) <= greatest(3, {_N} * 0.06)) SELECT label_1, label_2, asset_id, shape_1, shape_2, round(iou, 6) AS iou FROM f WHERE (label_1, label_2) IN (SELECT (label_1, label_2) FROM f GROUP BY label_1, label_2 HAVING count(*) >= 3)")
+@query(f"{_PAIRS}, o AS (SELECT label_1, label_2, count(*) AS n FROM pr WHERE iou >= 0.2 GROUP BY 1, 2), f AS (SELECT pr.* FROM pr LEFT JOIN o USING (label_1, label_2) WHERE label_1 < label_2 AND iou > 0.1 AND coalesce(n, 0) <= greatest(3, {_N} * 0.06)) SELECT label_1, label_2, asset_id, shape_1, shape_2, round(iou, 9) AS iou FROM f WHERE (label_1, label_2) IN (SELECT (label_1, label_2) FROM f GROUP BY label_1, label_2 HAVING count(*) >= 3)")
 def unexpected_overlap(spark, d):
     return rounded(interclass.unexpected_overlap(v.shapes(spark, d)))
 
@@ -201,17 +201,17 @@ _POS = f"WITH {_VEC}, l AS (SELECT id, label, unnest(range(1, len(e) + 1)) AS po
 _CENT = f"{_POS}, cm AS (SELECT label, pos, avg(val) AS m FROM l GROUP BY 1, 2), dist AS (SELECT l.id, l.label, sqrt(sum((val - m) * (val - m))) AS distance FROM l JOIN cm USING (label, pos) GROUP BY 1, 2)"
 
 
-@query(f"{_POS}, cm AS (SELECT label, pos, avg(val) AS m FROM l GROUP BY 1, 2) SELECT label, list(round(m, 6) ORDER BY pos) AS centroid FROM cm GROUP BY label")
+@query(f"{_POS}, cm AS (SELECT label, pos, avg(val) AS m FROM l GROUP BY 1, 2) SELECT label, list(round(m, 9) ORDER BY pos) AS centroid FROM cm GROUP BY label")
 def class_centroids(spark, d):
-    return embedding.class_centroids(v.vectors(spark, d)).select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return embedding.class_centroids(v.vectors(spark, d)).select("label", F.transform("centroid", lambda x: F.round(x, 9)).alias("centroid"))
 
 
-@query(f"{_CENT} SELECT id AS shape_id, label, round(distance, 6) AS distance FROM dist")
+@query(f"{_CENT} SELECT id AS shape_id, label, round(distance, 9) AS distance FROM dist")
 def distance_to_centroid(spark, d):
     return rounded(embedding.distance_to_centroid(v.vectors(spark, d)).select("shape_id", "label", "distance"))
 
 
-@query(f"{_CENT} SELECT label, id AS shape_id, round(distance, 6) AS distance FROM dist JOIN (SELECT label, quantile_cont(distance, 0.95) AS b, count(*) AS k FROM dist GROUP BY label) USING (label) WHERE k >= 6 AND distance > b")
+@query(f"{_CENT} SELECT label, id AS shape_id, round(distance, 9) AS distance FROM dist JOIN (SELECT label, quantile_cont(distance, 0.95) AS b, count(*) AS k FROM dist GROUP BY label) USING (label) WHERE k >= 6 AND distance > b")
 def intra_class_outliers(spark, d):
     return rounded(embedding.centroid_outliers(v.vectors(spark, d)))
 
@@ -219,12 +219,12 @@ def intra_class_outliers(spark, d):
 _GLOBAL = f"{_POS}, cm AS (SELECT pos, avg(val) AS m FROM l GROUP BY 1), dist AS (SELECT l.id, sqrt(sum((val - m) * (val - m))) AS distance FROM l JOIN cm USING (pos) GROUP BY 1)"
 
 
-@query(f"{_GLOBAL} SELECT id AS asset_id, round(distance, 6) AS distance FROM dist")
+@query(f"{_GLOBAL} SELECT id AS asset_id, round(distance, 9) AS distance FROM dist")
 def global_centroid_distance(spark, d):
     return rounded(embedding.global_centroid_distance(v.vectors(spark, d)))
 
 
-@query(f"{_GLOBAL}, k AS (SELECT count(*) - floor(count(*) * (1 - 3 / 100.0::DOUBLE))::BIGINT AS k FROM dist) SELECT asset_id, round(distance, 6) AS distance FROM (SELECT id AS asset_id, distance, row_number() OVER (ORDER BY distance DESC, id) AS nth FROM dist), k WHERE nth <= k")
+@query(f"{_GLOBAL}, k AS (SELECT count(*) - floor(count(*) * (1 - 3 / 100.0::DOUBLE))::BIGINT AS k FROM dist) SELECT asset_id, round(distance, 9) AS distance FROM (SELECT id AS asset_id, distance, row_number() OVER (ORDER BY distance DESC, id) AS nth FROM dist), k WHERE nth <= k")
 def embedding_outliers(spark, d):
     return rounded(embedding.embedding_outliers(v.vectors(spark, d)))
 
@@ -282,7 +282,7 @@ def image_issues(spark, d):
 # Mislabels
 
 _LABELS = f"{_POS}, cm AS (SELECT label, pos, avg(val) AS m FROM l GROUP BY 1, 2), lv AS (SELECT label, list(m ORDER BY pos) AS v FROM cm {{0}} GROUP BY label), sim AS (SELECT e.id, e.label AS own, lv.label, list_dot_product(e.e, v) / (sqrt(list_dot_product(e.e, e.e)) * sqrt(list_dot_product(v, v))) AS s FROM e, lv), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, label) - 1 AS r FROM sim), k AS (SELECT count(*) AS k FROM lv), g AS (SELECT id, own, max(CASE WHEN r = 0 THEN label END) AS suggested_label, max(CASE WHEN label = own THEN r END) AS rank, max(CASE WHEN label = own THEN s END) AS similarity, max(s) AS top_similarity, max(s) - min(CASE WHEN r < greatest(2, floor(k * 0.05)) THEN s END) AS spread, any_value(k) AS k FROM rk, k GROUP BY 1, 2), "
-_STATUS = "st AS (SELECT *, CASE WHEN rank IS NULL THEN 'wrong' WHEN rank = 0 THEN 'correct' WHEN k < 10 THEN CASE WHEN rank > 1 OR similarity < 0.5 OR top_similarity - similarity > 0.005 THEN 'wrong' ELSE 'correct' END WHEN rank >= greatest(2, floor(k * 0.05)) THEN CASE WHEN top_similarity >= 0.5 AND top_similarity - similarity > 0.01 THEN 'wrong' ELSE 'ambiguous' END WHEN spread < 0.01 THEN 'ambiguous' ELSE 'correct' END AS status FROM g) SELECT id AS shape_id, own AS label, suggested_label, rank::INT AS rank, round(similarity, 6) AS similarity, round(top_similarity, 6) AS top_similarity, status, CASE status WHEN 'wrong' THEN 'WRONG_CLASS' WHEN 'ambiguous' THEN 'AMBIGUOUS_CLASS' END AS issue FROM st"
+_STATUS = "st AS (SELECT *, CASE WHEN rank IS NULL THEN 'wrong' WHEN rank = 0 THEN 'correct' WHEN k < 10 THEN CASE WHEN rank > 1 OR similarity < 0.5 OR top_similarity - similarity > 0.005 THEN 'wrong' ELSE 'correct' END WHEN rank >= greatest(2, floor(k * 0.05)) THEN CASE WHEN top_similarity >= 0.5 AND top_similarity - similarity > 0.01 THEN 'wrong' ELSE 'ambiguous' END WHEN spread < 0.01 THEN 'ambiguous' ELSE 'correct' END AS status FROM g) SELECT id AS shape_id, own AS label, suggested_label, rank::INT AS rank, round(similarity, 9) AS similarity, round(top_similarity, 9) AS top_similarity, status, CASE status WHEN 'wrong' THEN 'WRONG_CLASS' WHEN 'ambiguous' THEN 'AMBIGUOUS_CLASS' END AS issue FROM st"
 
 
 def _label_vectors(spark, d):
@@ -307,19 +307,19 @@ def mislabels_few_labels(spark, d):
 
 _MATCH = f"WITH {v.SUGGESTED}, a AS (SELECT * FROM shapes), mt AS (SELECT a.*, b.x AS sx, b.y AS sy, b.w AS sw, b.h AS sh, {_IOU} / (a.w * a.h + b.w * b.h - {_IOU}) AS iou FROM a JOIN suggested b USING (shape_id))"
 _DELTA = f"{_MATCH}, dl AS (SELECT *, (x - sx) / image_width AS delta_x1, (y - sy) / image_height AS delta_y1, x / image_width + w / image_width - sx / image_width - sw / image_width AS delta_x2, y / image_height + h / image_height - sy / image_height - sh / image_height AS delta_y2, (w / image_width) * (h / image_height) - (sw / image_width) * (sh / image_height) AS delta_area FROM mt WHERE iou >= (SELECT quantile_cont(iou, 0.5) FROM mt))"
-_MEANS = "round(1 - avg(delta_area), 6) AS tightness_score, round(avg(delta_x1), 6) AS delta_x1, round(avg(delta_y1), 6) AS delta_y1, round(avg(delta_x2), 6) AS delta_x2, round(avg(delta_y2), 6) AS delta_y2"
+_MEANS = "round(1 - avg(delta_area), 9) AS tightness_score, round(avg(delta_x1), 9) AS delta_x1, round(avg(delta_y1), 9) AS delta_y1, round(avg(delta_x2), 9) AS delta_x2, round(avg(delta_y2), 9) AS delta_y2"
 
 
 def _matched(spark, d):
     return tightness.match_suggestions(v.shapes(spark, d), v.suggested(spark, d))
 
 
-@query(f"{_MATCH} SELECT shape_id, round(x / image_width, 6) AS nx, round(sx / image_width, 6) AS snx, round(iou, 6) AS iou FROM mt")
+@query(f"{_MATCH} SELECT shape_id, round(x / image_width, 9) AS nx, round(sx / image_width, 9) AS snx, round(iou, 9) AS iou FROM mt")
 def matched_suggestions(spark, d):
     return rounded(_matched(spark, d).select("shape_id", "nx", "snx", "iou"))
 
 
-@query(f"{_DELTA} SELECT shape_id, round(delta_x1, 6) AS delta_x1, round(delta_y1, 6) AS delta_y1, round(delta_x2, 6) AS delta_x2, round(delta_y2, 6) AS delta_y2, round(delta_area, 6) AS delta_area FROM dl")
+@query(f"{_DELTA} SELECT shape_id, round(delta_x1, 9) AS delta_x1, round(delta_y1, 9) AS delta_y1, round(delta_x2, 9) AS delta_x2, round(delta_y2, 9) AS delta_y2, round(delta_area, 9) AS delta_area FROM dl")
 def tightness_deltas(spark, d):
     return rounded(tightness.tightness_deltas(_matched(spark, d)).select("shape_id", *[f"delta_{k}" for k in tightness.DELTAS]))
 
@@ -334,7 +334,7 @@ def tightness_per_class(spark, d):
     return rounded(tightness.tightness_per_class(tightness.tightness_deltas(_matched(spark, d))))
 
 
-@query(f"{_MATCH} SELECT asset_id, shape_id, label, round(iou, 6) AS iou, w AS actual_w, sw AS expected_w, 'TAG,DELETE' AS actions FROM mt WHERE iou > 0.5 AND iou < 0.9")
+@query(f"{_MATCH} SELECT asset_id, shape_id, label, round(iou, 9) AS iou, w AS actual_w, sw AS expected_w, 'TAG,DELETE' AS actions FROM mt WHERE iou > 0.5 AND iou < 0.9")
 def tightness_issues(spark, d):
     x = tightness.tightness_issues(_matched(spark, d))
     return rounded(x.select("asset_id", "shape_id", "label", "iou", c("actual.w").alias("actual_w"), c("expected.w").alias("expected_w"), F.array_join("actions", ",").alias("actions")))
@@ -346,7 +346,7 @@ def tightness_asset_sample(spark, d):
 
 
 def _box_sql(rows: str, by: str, col: str) -> str:
-    return f"bx AS (SELECT {by}, quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS median, quantile_cont({col}, 0.75) AS q3, min({col}) AS lo, max({col}) AS hi, count({col}) AS n FROM {rows} GROUP BY ALL) SELECT {by}, round(greatest(lo, q1 - 1.5 * (q3 - q1)), 6) AS low, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(least(hi, q3 + 1.5 * (q3 - q1)), 6) AS high, n FROM bx"
+    return f"bx AS (SELECT {by}, quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS median, quantile_cont({col}, 0.75) AS q3, min({col}) AS lo, max({col}) AS hi, count({col}) AS n FROM {rows} GROUP BY ALL) SELECT {by}, round(greatest(lo, q1 - 1.5 * (q3 - q1)), 9) AS low, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, round(least(hi, q3 + 1.5 * (q3 - q1)), 9) AS high, n FROM bx"
 
 
 @query(f"{_DELTA}, lg AS (SELECT label || '/x1' AS category, delta_x1 AS val FROM dl UNION ALL SELECT label || '/y1', delta_y1 FROM dl UNION ALL SELECT label || '/x2', delta_x2 FROM dl UNION ALL SELECT label || '/y2', delta_y2 FROM dl), " + _box_sql("lg", "category", "val"))
@@ -375,7 +375,7 @@ _CAPS = f"{_TFIDF}, first AS (SELECT min(doc_id) AS id, count(*) AS copies, text
 _CLUSTER = "RECURSIVE " + _CAPS + ", ed AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach AS (SELECT a AS id, a AS r FROM ed UNION SELECT reach.id, ed.b FROM reach JOIN ed ON ed.a = reach.r), cl AS (SELECT id, min(r) AS cluster FROM reach GROUP BY id), em AS (SELECT min(doc_id) AS e, count(*) AS k FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT id FROM tf)), cc AS (SELECT d.doc_id AS asset_id, coalesce(CASE WHEN d.doc_id NOT IN (SELECT id FROM tf) THEN CASE WHEN k > 1 THEN e END ELSE coalesce(cl.cluster, CASE WHEN copies > 1 THEN first.id END) END::VARCHAR, '-1') AS cluster FROM documents d JOIN first USING (text) LEFT JOIN cl ON cl.id = first.id, em)"
 
 
-@query(f"WITH {_TFIDF} SELECT id AS asset_id, term, round(w, 6) AS weight FROM wt")
+@query(f"WITH {_TFIDF} SELECT id AS asset_id, term, round(w, 9) AS weight FROM wt")
 def caption_tfidf(spark, d):
     return rounded(captions.tfidf(v.captions(spark, d)).select("asset_id", "term", "weight"))
 
@@ -409,7 +409,7 @@ def _histogram_sql(rows: str, col: str, bins: int) -> str:
     return (
         f"hv AS (SELECT {col}::DOUBLE AS val FROM {rows} WHERE {col} IS NOT NULL), ht AS (SELECT CASE WHEN min(val) = max(val) THEN min(val) - 0.5 ELSE min(val) END AS a, CASE WHEN min(val) = max(val) THEN max(val) + 0.5 ELSE max(val) END AS b FROM hv), "
         f"hn AS (SELECT least(floor((val - a) / (b - a) * {bins}), {bins - 1})::INT AS bin, count(*) AS n FROM hv, ht GROUP BY 1) "
-        f"SELECT i::INT AS bin, round(a + (b - a) / {bins} * i, 6) AS lo, round(a + (b - a) / {bins} * (i + 1), 6) AS hi, coalesce(n, 0)::BIGINT AS n FROM ht, range({bins}) r(i) LEFT JOIN hn ON hn.bin = i"
+        f"SELECT i::INT AS bin, round(a + (b - a) / {bins} * i, 9) AS lo, round(a + (b - a) / {bins} * (i + 1), 9) AS hi, coalesce(n, 0)::BIGINT AS n FROM ht, range({bins}) r(i) LEFT JOIN hn ON hn.bin = i"
     )
 
 
@@ -433,7 +433,7 @@ def area_boxplot(spark, d):
     return rounded(charts.boxplot(features(spark, d), "label", "area"))
 
 
-@query(f"WITH {v.FEATURES}, bx AS (SELECT label, quantile_cont(area, 0.25) AS q1, quantile_cont(area, 0.75) AS q3, min(area) AS lo, max(area) AS hi FROM features GROUP BY label) SELECT label AS category, round(area, 6) AS value FROM features JOIN bx USING (label) WHERE area < greatest(lo, q1 - 1.5 * (q3 - q1)) OR area > least(hi, q3 + 1.5 * (q3 - q1))")
+@query(f"WITH {v.FEATURES}, bx AS (SELECT label, quantile_cont(area, 0.25) AS q1, quantile_cont(area, 0.75) AS q3, min(area) AS lo, max(area) AS hi FROM features GROUP BY label) SELECT label AS category, round(area, 9) AS value FROM features JOIN bx USING (label) WHERE area < greatest(lo, q1 - 1.5 * (q3 - q1)) OR area > least(hi, q3 + 1.5 * (q3 - q1))")
 def area_boxplot_outliers(spark, d):
     return rounded(charts.boxplot_outliers(features(spark, d), "label", "area"))
 
@@ -443,7 +443,7 @@ def cooccurrence_heatmap(spark, d):
     return charts.heatmap(interclass.cooccurrence(v.shapes(spark, d)), "n", ["rare_a", "rare_b"])
 
 
-@query(f"WITH {v.FEATURES} SELECT round(center_x, 6) AS center_x, round(center_y, 6) AS center_y, label FROM features")
+@query(f"WITH {v.FEATURES} SELECT round(center_x, 9) AS center_x, round(center_y, 9) AS center_y, label FROM features")
 def center_scatter(spark, d):
     return rounded(charts.scatter(features(spark, d)))
 
