@@ -1,9 +1,7 @@
-"""Session settings, shared folder and row-carrying helpers of the training-data operators."""
+"""Row-carrying helpers of the training-data operators: bounded batches and pieces of text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,66 +10,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new folder where it is unset (local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the lineage ends there, and any executor can be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def annotate(docs: DataFrame, text_col: str, result: T.StructType, work: Callable[[pa.Array], list[pa.Array]], also: str | None = None) -> DataFrame:
+def annotate(docs: DataFrame, text_col: str, result: T.StructType, work: Callable[[pa.Array], list]) -> DataFrame:
     """Two columns: `row`, the untouched input row, and `found`, what work makes of the text column.
 
     The input's columns stay inside `row`, so none of them can clash with a result.
-    work gets one Arrow array of texts (and `also`, the column of that name, if given) and returns the fields of `found`.
+    work gets one Arrow array of texts and returns the fields of `found`.
     """
     types = [f.dataType for f in result.fields]
     names = [f.name for f in result.fields]
 
+    plain = isinstance(docs.schema[text_col].dataType, T.StringType)
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(t) for t in types]
         for batch in batches:
-            for part in pieces(batch, batch.schema.get_field_index("text")):
-                row, text = part.column("row"), part.column("text")
-                made = work(text, part.column("also")) if also else work(text)
-                found = pa.StructArray.from_arrays([pa.array(a, type=k) if not isinstance(a, pa.Array) else a.cast(k) for a, k in zip(made, kinds, strict=True)], names=names)
+            texts = batch.column(0).field(at) if plain else batch.column(1)
+            for a, n in cuts(texts):
+                row, text = batch.column(0).slice(a, n), texts.slice(a, n)
+                made = work(text)
+                found = pa.StructArray.from_arrays([x.cast(k) if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)], names=names)
                 yield pa.RecordBatch.from_arrays([row, found], names=["row", "found"])
 
-    inputs = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"), *([docs[also].alias("also")] if also else []))
+    small_batches(docs.sparkSession)
+    inputs = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *([] if plain else [docs[text_col].cast("string").alias("text")]))
     return inputs.mapInArrow(run, T.StructType([T.StructField("row", inputs.schema["row"].dataType), T.StructField("found", result)]))
 
 
+#: Bytes of a batch that Spark hands to a task's Python; a larger row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not only by rows: rows may hold long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 #: Bytes of text that a task works on at once; NumPy temporaries are a small multiple of it.
-PIECE = 3 << 20
+PIECE = 1 << 20
 
 
-def pieces(batch: pa.RecordBatch, text: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about `limit` bytes of text each; a longer text is a slice of its own."""
+def cuts(text: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of slices with about `limit` bytes of text each; a longer text is a slice of its own."""
     import numpy as np
 
-    if batch.num_rows == 0:
-        return
-    ends = np.cumsum(text_offsets(batch.column(text))[1:] - text_offsets(batch.column(text))[:-1])
-    at, n = 0, batch.num_rows
+    off = text_offsets(text)
+    ends, at, n = off[1:] - off[0], 0, len(text)
     while at < n:
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(at, to - at)
+        yield at, to - at
         at = to
 
 
+def pieces(batch: pa.RecordBatch, text: int, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows by the bytes of the text column of that number."""
+    for a, n in cuts(batch.column(text), limit):
+        yield batch.slice(a, n)
+
+
 def text_offsets(text: pa.Array):
     """Byte offsets (rows + 1) into the data buffer of a string array."""
     import numpy as np

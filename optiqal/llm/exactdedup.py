@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiqal.functions.graph import written
-from optiqal.llm._shared import pieces, text_bytes
+from optiqal.llm._shared import pieces, small_batches, text_bytes
 from optiqal.llm._words import mix
 
 LENGTH, K = 100, 20
@@ -327,6 +327,7 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, from, to: byte ranges, which may overlap, that repeat earlier text. docs: doc_id (not null), text."""
+    small_batches(docs.sparkSession)
     found = docs.mapInArrow(_anchored, "anchor long, doc_id long, start int, n byte, content long").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     rows = written(found.mapInArrow(_compared, "doc_id long, start int, n int, anchor long, kind int"), "repeats")
     again = rows.where(F.col("kind") == AGAIN).select("doc_id", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("n") + (LENGTH - 1)).cast("long").alias("to"))

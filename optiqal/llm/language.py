@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from optiqal.llm._shared import annotate, text_bytes
 
 #: Bounds of the reference sample, per language: texts, characters, and characters of a text that is taken at all.
-REF_DOCS, REF_CHARS, REF_LONGEST = 400, 60_000, 8_000
+REF_DOCS, REF_CHARS, REF_LONGEST = 400, 30_000, 8_000
 #: A text is parsed in blocks of this many characters, each begun anew, in every language alike.
 BLOCK = 512
 #: Letters that have symbols of their own; a rarer one ends every phrase, as any letter does that no reference has.
@@ -62,7 +62,7 @@ class Model:
         letters = sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]
         self.symbol = {c: i + 2 for i, c in enumerate(letters)}  # 0: past the end; 1: anything that is no letter
         self.other = len(letters) + 2  # a letter without a symbol
-        self.width = 1 << (self.other + 1 - 1).bit_length()
+        self.width = self.other + 1
         self.tables = [self._table([self.symbol.get(c, self.other if c.isalpha() else 1) for c in t]) for t in texts]
         self.symbols = None  # made in each worker, once
         self.bits = [float(np.log2(max(2, len(t)))) for t in texts]
