@@ -72,10 +72,9 @@ def _rows(df: DataFrame, group: str, item: Column, description: Column, score: s
 
 def _typical(x: DataFrame, col: str, exact: bool) -> DataFrame:
     """Of each label that has an outlier, the inlier nearest to the median of the inliers; ties to the smaller shape_id."""
-    inlier = x.where(~c("below") & ~c("above"))
-    with_outlier = x.groupBy("label").agg(F.bool_or(c("below") | c("above")).alias("some")).where("some")
-    median = inlier.groupBy("label").agg(quantiles(c(col), [0.5], exact)[0].alias("median"))
-    near = inlier.join(median, "label").join(with_outlier, "label", "left_semi")
+    inlier = ~c("below") & ~c("above")
+    t = x.groupBy("label").agg(quantiles(F.when(inlier, c(col)), [0.5], exact)[0].alias("median"), F.bool_or(~inlier).alias("some")).where("some")
+    near = x.where(inlier).join(t, "label")
     best = near.groupBy("label").agg(F.min(F.struct(F.abs(c(col) - c("median")).alias("away"), c("shape_id"), c("asset_id"), c(col))).alias("b"))
     return best.select("label", "b.shape_id", "b.asset_id", F.col(f"b.{col}").alias(col))
 
