@@ -216,6 +216,28 @@ def test_fuzzy_passages(frame, corpus):
     assert kept[101] == "" and kept[201].split()[:55] == texts[201].split()[:55] and len(kept[201].split()) <= 100
 
 
+def test_passages_whose_parts_stand_in_earlier_documents(spark):
+    rows, want = [], {}
+    for t in range(40):
+        n, text = 10 * t, prose(80, 6000 + t).split()
+        around = [prose(40, 7000 + 10 * t + k) for k in range(8)]
+        parts = [text[:40], text[40:]] if t % 2 else [text[15:65], text[20:50]]
+        rows += [(n + i, f"{around[2 * i]} {' '.join(x)} {around[2 * i + 1]}") for i, x in enumerate([*parts, text, text])]
+        want[n + 3] = set(range(40, 120))
+    for r in passages.digest(spark.createDataFrame(rows, DOCS).repartition(3)).where(F.col("doc_id").isin(list(want))).collect():
+        assert want[r["doc_id"]] <= {i for p in r["passages"] for i in range(p["from"], p["to"])}
+
+
+def test_places_do_not_depend_on_batches():
+    r = random.Random(4)
+    cols = list(zip(*sorted((r.randint(0, 9), r.randint(0, 12), r.randint(0, 10**6)) for _ in range(300)), strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["seed", "doc_id", "at"])
+    made = [[x for b in passages._to_first(batch.slice(i, n) for i in range(0, 300, n)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)] for n in (300, 1)]
+    assert sorted(made[0], key=str) == sorted(made[1], key=str)
+    first = {s: min(d for t, d, _ in zip(*cols, strict=True) if t == s) for s in cols[0]}
+    assert sum(x[4] is None for x in made[0]) == sum(first[s] == d for s, d, _ in zip(*cols, strict=True))
+
+
 def test_chains_are_collinear():
     at, other = np.array([0, 8, 16, 24, 32, 500]), np.array([5, 13, 900, 29, 37, 505])
     assert passages.chain(at, other) == [(0, 38, 5, 43)]
