@@ -3,7 +3,8 @@
 A document's set is its distinct five-word shingles. Documents with equal sets are one node. Each of TREES orders of the
 signature begins with other components; nodes that agree in the first DEPTH of them form a region. A region with many
 nodes goes deeper, by its size, and is walked in signature order, so that a node meets those with which it shares the
-longest prefixes. Candidates are linked only if their full sets, compared shingle by shingle, are similar enough.
+longest prefixes. Candidates are linked only if their full sets, compared shingle by shingle, are similar enough. What this
+walk passes over is looked at again: of each region at DEPTH, in blocks, all pairs that links have not yet brought together.
 """
 
 from __future__ import annotations
@@ -201,10 +202,13 @@ def describe(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -
     return x.mapInArrow(_described, "doc_id long, n_shingles long, node binary, sig binary, keys array<long>")
 
 
-def candidates(described: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes that the forest brings together, each once, a < b."""
-    node = described.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    node = written(node, "nodes")
+def nodes(described: DataFrame) -> DataFrame:
+    """node, sig and keys of each set."""
+    return written(described.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")), "nodes")
+
+
+def candidates(node: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that the walk through the forest brings together, each once, a < b."""
     keys = node.select("node", F.posexplode("keys").alias("tree", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keys.join(shared, "key").join(node.select("node", "sig"), "node")
@@ -213,9 +217,41 @@ def candidates(described: DataFrame) -> DataFrame:
     return walked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, described: DataFrame, percent: int = 75, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """(a, b): candidates whose full sets have 100 * intersection >= percent * union."""
-    pairs = written(candidates(described), "pairs")
+def _apart(group: pa.Table) -> pa.Table:
+    """Hopeful pairs of two blocks (or within one) of a region whose nodes have different labels."""
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+    label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+    block, nodes = group.column("block").to_numpy(), group.column("node")
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block != block.min()) if (block != block.min()).any() else left
+    if group.column("lo")[0].as_py() != group.column("hi")[0].as_py() and right is left:
+        left = right = left[:0]  # the other block is empty
+    like = np.zeros((len(left), len(right)), np.int16)
+    for k in range(K):
+        like += sig[left, k][:, None] == sig[right, k][None, :]
+    i, j = np.nonzero((like >= HOPEFUL * K) & (label[left][:, None] != label[right][None, :]))
+    i, j = left[i], right[j]
+    once = (i < j) if right is left else np.ones(len(i), bool)
+    return pa.table({"a": nodes.take(pa.array(i[once])), "b": nodes.take(pa.array(j[once]))})
+
+
+def passed_over(node: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b), a < b: all hopeful pairs of nodes with different labels (node, label) that share a region at DEPTH.
+
+    Regions that the walk takes as one small window are whole already, and those of one label have nothing to join.
+    """
+    keys = node.select("node", F.explode("keys").alias("key")).join(labels, "node")
+    mixed = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = mixed.where((F.col("n") > NEAREST + 2) & (F.col("least") != F.col("most"))).select("key", F.ceil(F.col("n") / WINDOW).alias("blocks"))
+    met = keys.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label").join(node.select("node", "sig"), "node")
+    pairs = met.groupBy("key", "lo", "hi").applyInArrow(_apart, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, described: DataFrame, pairs: DataFrame, percent: int = 75, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """(a, b): those of the pairs whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     holder = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
     text = docs.select(docs[key_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -233,9 +269,16 @@ def classes(docs: DataFrame, percent: int = 75, text_col: str = "text", key_col:
     the smallest. Null doc_ids are linked but name no component: alone, theirs is null and they are kept.
     """
     described = written(describe(docs, text_col, key_col), "described")
-    labels = components(links(docs, described, percent, text_col, key_col))
+    node = nodes(described)
+    pairs = written(candidates(node), "pairs")
+    found = components(links(docs, described, pairs, percent, text_col, key_col))
+    labels = written(node.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labels")
+    rest = written(passed_over(node, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
+    more = links(docs, described, rest, percent, text_col, key_col)
+    more = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    wider = components(more, "x", "y").select(F.col("node").alias("label"), "component")
     own = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = own.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = own.join(labels, "node").join(wider, "label", "left").withColumn("component", F.coalesce("component", "label"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("node", "component_id")
     out = described.select("doc_id", "n_shingles", "node").join(named, "node", "left")

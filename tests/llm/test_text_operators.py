@@ -161,6 +161,32 @@ def test_many_near_copies_are_one_class(spark):
     assert got == {0}
 
 
+def test_one_link_between_two_tight_families(spark):
+    def changed(text, places, mark):
+        return [f"{x}{mark}" if i in places else x for i, x in enumerate(text)]
+
+    rows = []
+    for t in range(6):
+        base, n = prose(400, 8000 + t).split(), 100 * t
+        end = changed(base, [200], "end")
+        far = changed(end, [165, 180, *range(215, 340, 15)], "far")
+        rows += [(n, base), (n + 1, end), (n + 65, far)]
+        rows += [(n + 2 + i, changed(base, [5 + 2 * i], f"a{i}")) for i in range(60)]
+        rows += [(n + 66 + i, changed(far, [345 + i], f"b{i}")) for i in range(30)]
+    rows = [(d, " ".join(x)) for d, x in rows]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classes(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == brute.near_classes(rows) and {c for _, c in got.values()} == {100 * t for t in range(6)}
+
+
+def test_regions_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "WINDOW", 4)
+    sig = np.zeros(neardup.K, np.uint32).tobytes()
+    node = spark.createDataFrame([(bytes([i]), sig, [7]) for i in range(30)], "node binary, sig binary, keys array<long>")
+    labels = spark.createDataFrame([(bytes([i]), bytes([i % 2])) for i in range(30)], "node binary, label binary")
+    got = sorted((r["a"][0], r["b"][0]) for r in neardup.passed_over(node, labels).collect())
+    assert got == [(i, j) for i in range(30) for j in range(i + 1, 30) if (i + j) % 2]
+
+
 def test_near_duplicates_without_rows_and_ids(spark):
     assert neardup.classes(spark.createDataFrame([], DOCS)).count() == 0
     t = prose(20, 1)
