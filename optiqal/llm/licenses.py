@@ -65,17 +65,20 @@ FAMILIES = (
     *((f"cc-{kind}", "creative commons", f"creative commons {words}(?: [1-4] [05])?(?: international| unported)?") for kind, words in (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative|s|atives)"), ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative|s|atives)"))),
 )
 
+#: Words before "under", and words before "under" or "by", in the forms below.
+GIVEN = ("licensed", "released", "distributed", "published", "available", "provided", "made available")
+RULED = ("use", "used", "governed", "covered")
 #: How a text states a license, with {} for its name: regex, priority (1 first) and how sure it is.
 FORMS = (
     ("spdx license identifier {}", 1, 1.0),
-    ("(?:is |are )?(?:dual )?(?:licensed|released|distributed|published|available|provided|made available) under (?:the )?(?:terms of )?(?:the )?(?:conditions of )?(?:the )?{}(?: licen[sc]e)?", 2, 0.95),
+    (f"(?:is |are )?(?:dual )?(?:{'|'.join(GIVEN)}) under " "(?:the )?(?:terms of )?(?:the )?(?:conditions of )?(?:the )?{}(?: licen[sc]e)?", 2, 0.95),
     ("subject to (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?", 3, 0.9),
-    ("(?:use|used|governed|covered) (?:of this \\S+ is governed )?(?:under|by) (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?", 3, 0.9),
+    (f"(?:{'|'.join(RULED)}) " "(?:of this \\S+ is governed )?(?:under|by) (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?", 3, 0.9),
     ("licen[sc]e {}", 4, 0.8),
     ("(?:the )?{} licen[sc]e", 5, 0.7),
 )
-#: Words of which a text must hold one for any rule to be tried.
-KEYWORDS = ("licen", "spdx", "cc by", "cc0", "subject to", "governed by", "covered by", "published under", "released under", "distributed under", "available under", "provided under", "used under")
+#: Words of which every text that a form accepts holds one; on others no rule is tried.
+KEYWORDS = ("licen", "spdx", "subject to", *(f"{x} under" for x in GIVEN), *(f"{x} {y}" for x in RULED for y in ("under", "by")))
 
 _RULE = "array<struct<keyword:string,pattern:string,label:string,priority:int,sure:double>>"
 _SPAN = "array<struct<start:int,len:int,priority:int,label:string,sure:double>>"

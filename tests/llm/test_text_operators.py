@@ -301,6 +301,16 @@ def test_licenses(spark):
     assert licenses.digest(licenses.scan(df.limit(0))).count() == 0
 
 
+def test_every_form_passes_the_gate(spark):
+    given_ = ["licensed", "released", "distributed", "published", "available", "provided", "made available"]
+    forms = ["spdx license identifier {}", "subject to the {}", "license {}", "the {} licence", *(f"is {x} under the {{}}" for x in given_)]
+    forms += [f"{x} {y} {{}}" for x in ("use", "used", "governed", "covered") for y in ("under", "by")] + ["use of this tool is governed under {}"]
+    names = {"GNU GPL v3": "gpl-3.0", "Apache 2.0": "apache-2", "CC0": "cc0-1.0", "zlib": "zlib"}
+    texts = {i: (f.format(n), label) for i, (f, (n, label)) in enumerate((f, x) for f in forms for x in names.items())}
+    got = licenses.digest(licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], DOCS))).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {i: label for i, (_, label) in texts.items()}
+
+
 def test_contained_detections_are_dropped(spark):
     df = spark.createDataFrame([(1, "licensed under the terms of the gnu lesser general public license version 2.1")], DOCS)
     d = licenses.scan(df).select("found.detections").first()[0]
