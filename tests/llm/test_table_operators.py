@@ -113,6 +113,23 @@ def exact_nearest(ids, x, queries_, k=5):
     return out
 
 
+def test_repeats_and_small_tables_give_all_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 64))
+    x[1:7] = x[0] + 1e-6 * rng.normal(size=(6, 64))  # in the same cells
+    ids = list(range(40))
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)]
+    rows += [rows[1]] * 6 + [(100, [1.0, 2.0]), (101, [2.0, 1.0])]
+    rows += [(200 + i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(5, 32)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest.search(df, df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got.pop(100) == [101] and got.pop(101) == [100]
+    assert all({*got.pop(200 + i)} == {200 + j for j in range(5) if j != i} for i in range(5))
+    assert all(len({*got[q]}) == 5 for q in ids) and all({*got[q]} <= {*range(7)} for q in range(7))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 24))
