@@ -1,5 +1,6 @@
 """Operators over documents against plain versions, and what they make of odd input."""
 
+import hashlib
 import random
 import zlib
 
@@ -88,8 +89,6 @@ def test_decontamination(spark, frame, corpus):
             rows = decontamination.digest(decontamination.find_matches(frame, bench)).collect()
         finally:
             decontamination.BLOCK_BYTES = old
-        import hashlib
-
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows}
         assert got == {d: (n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, (n, h, i) in want.items()}
     kept = decontamination.decontaminate(frame, bench)
@@ -212,13 +211,14 @@ def test_hot_anchors_are_split(frame, corpus, monkeypatch):
     # The tasks are forked from the driver's code, so the lower bound is set where the function finds it.
     monkeypatch.setattr(exactdedup, "HOT", 3)
     rows = list(exactdedup._compared(iter([_batch([(1, d, 0, 5, c) for d, c in enumerate([7, 8, 9, 7, 6, 5, 4])])])))
-    kinds = [(d, k) for b in rows for d, k in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)]
+    kinds = [(d, k) for b in rows for d, k in zip(b.column("doc_id").to_pylist(), b.column("kind").to_pylist(), strict=True)]
     assert (3, exactdedup.AGAIN) in kinds and {d for d, k in kinds if k == exactdedup.HOT_PERHAPS} == {0, 1, 2, 4, 5, 6}
 
 
 def _batch(rows):
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int8()), pa.array(cols[4], pa.int64())], names=["anchor", "doc_id", "start", "n", "content"])
+    anchor, doc, start, n, content = zip(*rows, strict=True)
+    whole = [pa.array(x, pa.int64()) for x in (anchor, doc, [0] * len(doc), start)]
+    return pa.RecordBatch.from_arrays([*whole, pa.array(n, pa.int32()), pa.array(content, pa.int64()), pa.array([False] * len(doc))], names=exactdedup._ANCHORED)
 
 
 def test_compared_rows_do_not_depend_on_batches():
@@ -229,6 +229,42 @@ def test_compared_rows_do_not_depend_on_batches():
     assert sorted(whole) == sorted(parts)
 
 
+def test_rows_that_share_a_document_id_are_its_parts(spark):
+    """Parts of one document in the order of their texts' hashes, then as if they were documents; equal texts are one part."""
+    t, u, v = prose(60, 40), prose(60, 41), prose(60, 42)
+    rows = [(1, t), (5, t), (5, t), (5, "short"), (5, u + " " + t), (7, u), (7, v), (7, v), (8, v), (None, t), (9, ""), (9, None)]
+    order = sorted({(d, hashlib.sha256((x or "").encode()).hexdigest(), x or "") for d, x in rows if d is not None})
+    want = brute.without_repeats([(i, x) for i, (_, _, x) in enumerate(order)])
+    want = {(d, x): want[i] for i, (d, _, x) in enumerate(order)}
+    keep = lambda x: (len(x.encode()), 0, 0, hashlib.sha256(x.encode()).hexdigest())
+    got = exactdedup.digest(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    key = lambda x: sorted(x, key=str)
+    assert key([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got]) == key([(d, *(want[d, x or ""] if d is not None else keep(x))) for d, x in rows])
+    assert exactdedup.digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=3), min_size=1, max_size=8), st.integers(0, 10**6))
+def test_exact_repeats_of_periodic_texts(words, seed):
+    """Without Spark: anchors that stand several times in a string, and strings that overlap themselves."""
+    r = random.Random(seed)
+    docs = [(d, "".join(r.choice(words) for _ in range(r.randint(20, 160)))) for d in range(6)]
+    got = {d: bytearray(len(t)) for d, t in docs}
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([0] * 6), pa.array([t for _, t in docs])], names=["doc_id", "base", "text"])
+    found = pa.Table.from_batches(exactdedup._anchored(iter([batch])), pa.schema(list(zip(exactdedup._ANCHORED, [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.bool_()], strict=True))))
+    found = found.sort_by([(c, "ascending") for c in ("settled", "anchor", "doc_id", "start")]).combine_chunks()
+    rows = [x for b in exactdedup._compared(iter(found.to_batches())) for x in b.to_pylist()]
+    runs = [(x["doc_id"], x["start"], x["start"] + x["n"] + 99) for x in rows if x["kind"] == exactdedup.AGAIN]
+    wanted = [[{k: x[k] for k in ("start", "n", "anchor", "kind")} for x in rows if x["doc_id"] == d and x["kind"] != exactdedup.AGAIN] for d, _ in docs]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("kind", pa.int32())]))
+    records = pa.Table.from_batches(exactdedup._records(iter([batch.append_column("wanted", pa.array(wanted, kind))])))
+    for b in exactdedup._sorted_out(iter(records.sort_by([(c, "ascending") for c in ("anchor", "doc_id", "start")]).combine_chunks().to_batches())):
+        runs += [(x["doc_id"], x["from"], x["to"]) for x in b.to_pylist()]
+    for d, a, b in runs:
+        got[d][a:b] = b"\1" * (b - a)
+    assert {d: sum(x) for d, x in got.items()} == {d: x[1] for d, x in brute.without_repeats(docs).items()}
+
+
 def test_fuzzy_passages(frame, corpus):
     texts = dict(corpus)
     got = {r["doc_id"]: r for r in passages.digest(frame).collect()}
