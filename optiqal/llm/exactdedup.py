@@ -33,7 +33,7 @@ _SPAN = LENGTH - K + 1
 #: Places of one anchor that are kept together.
 HOT = 65_536
 #: Bytes of one suffix array; anchors are never split over two.
-ARRAY = 4 << 20
+ARRAY = 128 << 10
 _U = np.uint64
 
 
