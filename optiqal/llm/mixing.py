@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a sequence of slots of BLOCK words. The golden-ratio point of each slot, mapped through the cumulative targets,
-names the source that fills it; slots are ranked per source, and the k-th slot of a source takes the k-th block of that
-source's documents, laid end to end in a shuffled order and gone through again where the target is above the size.
+The mix is a sequence of slots of about BLOCK words. The golden-ratio point of each slot, mapped through the cumulative
+targets, names the source that fills it; slots are ranked per source, and a source's target is cut into as many equal blocks as
+it has slots. The k-th slot of a source takes the k-th block of that source's documents, laid end to end in a shuffled order and
+gone through again where the target is above the size. What no slot takes is not in the mix.
 
 Sources never meet in one task: running word counts and ranks are dealt over buckets of a source (see _prefix).
 """
@@ -15,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from optiqal.functions.graph import written
 from optiqal.llm._prefix import running
 
-#: Words of a slot.
-BLOCK = 2048
+#: Words of a slot, about; a mix has MIN_SLOTS slots for each source at least, and MAX_SLOTS at most.
+BLOCK, MIN_SLOTS, MAX_SLOTS = 2048, 64, 1 << 30
 #: Hexadecimal digits of the shuffling hash that make a bucket of a source's documents: 3 give 4,096.
 DIGITS = 3
-#: Slots that are ranked together, and cells in which a point looks for its source.
+#: Slots that are ranked together, and cells (of equal width) in which a point looks for its source.
 SLOT_BUCKET, CELLS = 65536, 4096
-_GOLDEN = (5**0.5 - 1) / 2
+#: The golden ratio less one, in units of 2**-32: the k-th point is k times this, modulo 2**32.
+GOLDEN = 2654435769
 
 
 def word_count(text: Column) -> Column:
@@ -69,68 +72,83 @@ def plan(rows: DataFrame, weights: Sequence[float], share: float, most: float) -
 
 
 def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """slot, name, nth: which source fills each slot of the mix, and the number (from 0) of the block it takes.
+    """slot, name, nth, slots: the source of each slot of the mix, the slot's rank (from 0) among those of its source, and their number.
 
-    Points at which a source has all its blocks already fall away; blocks that no point reached follow at the end.
+    plan: name, quota. A source that no point reaches has one slot at the end. Sources without a quota have none.
     """
-    spark = plan.sparkSession
-    words = plan.agg(F.sum("quota")).first()[0] or 0
-    cumulative = W.orderBy("name")
-    share = plan.where("quota > 0").select("name", "quota", F.ceil(F.col("quota") / block).alias("blocks"), (F.sum("quota").over(cumulative) / words).alias("to"), (F.coalesce(F.sum("quota").over(cumulative.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) / words).alias("from"))
-    cells = share.select("*", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.least(F.floor(F.col("to") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    high, low = F.shiftright("slot", 20), F.col("slot").bitwiseAND((1 << 20) - 1)
-    u = F.pmod(F.pmod(high * ((_GOLDEN * (1 << 20)) % 1.0), F.lit(1.0)) + low * _GOLDEN, F.lit(1.0))
-    points = spark.range(-(-words // block)).select(F.col("id").alias("slot")).select("slot", u.alias("u"), F.floor(u * CELLS).alias("cell"))
-    met = points.join(cells, "cell").where((F.col("u") >= F.col("from")) & (F.col("u") < F.col("to"))).select("slot", "name", "blocks", F.floor(F.col("slot") / SLOT_BUCKET).alias("bucket"))
-    ranked = running(met, "name", "bucket", ["slot"], F.lit(1)).where("before < blocks").select("slot", "name", F.col("before").cast("long").alias("nth"))
-    reached = met.groupBy("name").agg(F.count("*").alias("n"))
-    rest = share.join(reached, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), "blocks").where("n < blocks")
-    rest = rest.select((F.lit(1 << 62) + F.xxhash64("name").bitwiseAND((1 << 60) - 1)).alias("slot"), "name", F.explode(F.sequence(F.col("n"), F.col("blocks") - 1)).alias("nth"))
-    return ranked.unionByName(rest.select("slot", "name", F.col("nth").cast("long").alias("nth")))
-
-
-def blocks(rows: DataFrame, plan: DataFrame, passes: int, block: int = BLOCK) -> DataFrame:
-    """rows (laid, with before) against the blocks that they lie in: a row for each pass and block, with first and last word."""
-    x = rows.join(plan.select("name", "source_size", "target", "quota"), "name")
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    x = x.withColumn("from", F.col("before") + F.col("pass") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), "quota"))
-    inside = F.when(F.col("from") < F.col("to"), F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)))
-    return x.select("*", F.explode_outer(inside).alias("nth_block"))
+    some = plan.where("quota > 0").select("name", "quota")
+    n, words = some.agg(F.count("*"), F.sum("quota")).first()
+    count = min(max(-(-(words or 0) // block), MIN_SLOTS * n), MAX_SLOTS)
+    up_to = W.orderBy("name")
+    edge = lambda w: F.floor(F.coalesce(F.sum("quota").over(w), F.lit(0)).cast("double") * float(1 << 32) / float(words or 1))
+    share = some.select("name", edge(up_to.rowsBetween(W.unboundedPreceding, -1)).alias("from"), edge(up_to.rowsBetween(W.unboundedPreceding, 0)).alias("to"))
+    width = (1 << 32) // CELLS
+    cells = share.where("from < to").select("*", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))).alias("cell"))
+    u = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1 << 32))
+    points = plan.sparkSession.range(count).select(F.col("id").alias("slot"), u.alias("u"), F.floor(u / width).alias("cell"))
+    met = points.join(cells, "cell").where((F.col("u") >= F.col("from")) & (F.col("u") < F.col("to"))).select("slot", "name", F.floor(F.col("slot") / SLOT_BUCKET).alias("bucket"))
+    ranked = running(met, "name", "bucket", ["slot"], F.lit(1)).select("slot", "name", F.col("before").cast("long").alias("nth"))
+    slots = met.groupBy("name").agg(F.count("*").alias("slots"))
+    late = some.join(slots, "name", "left_anti").select((F.lit(count) + F.row_number().over(W.orderBy("name")) - 1).cast("long").alias("slot"), "name", F.lit(0).cast("long").alias("nth"), F.lit(1).cast("long").alias("slots"))
+    return ranked.join(slots, "name").select("slot", "name", "nth", "slots").unionByName(late)
+
+
+def counted(docs: DataFrame, weights: Sequence[float], share: float, most: float, block: int, source_col: str, text_col: str, key_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, plan, slots): docs without their texts, laid; the plan with the words of a source's blocks; the schedule.
+
+    The words are counted here, once; rows and slots are tables in the shared folder.
+    """
+    rows = written(laid(docs.select(key_col, source_col, text_col), source_col, text_col, key_col).drop("row"), "sizes")
+    wanted = written(plan(rows, weights, share, most), "plan")
+    slots = written(schedule(wanted, block), "slots")
+    each = slots.groupBy("name").agg(F.max("slots").alias("slots"))
+    return rows, wanted.join(each, "name", "left").withColumn("block", F.ceil(F.col("quota") / F.col("slots"))), slots
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, source_col: str = "source", text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target and taken, the words of it that the mix takes, repeats counted.
+    """One row per document: doc_id, size, source_size, target, taken (the words of it that slots take, repeats counted) and
+    first_slot, the first slot of the mix that takes some of them (null if none does).
 
     Null text has no words and nothing taken. A null source is a source of its own. Rows that repeat are documents each.
     Keys that tie are laid by size. No document: no rows. Every source gives its target to within half a word.
     """
-    keys = laid(docs.select(key_col, source_col, text_col), source_col, text_col, key_col).drop("row")
-    wanted = plan(keys, weights, share, most)
-    rows = running(keys, "name", "bucket", ["h", "key", "size"], F.col("size"))
-    pieces = blocks(rows, wanted, -int(-most // 1), block)
-    slots = schedule(wanted, block).select("name", F.col("nth").alias("nth_block"), F.lit(True).alias("filled"))
-    x = pieces.join(slots, ["name", "nth_block"], "left")
-    words = F.least("to", (F.col("nth_block") + 1) * block) - F.greatest("from", F.col("nth_block") * block)
-    out = x.groupBy("name", "bucket", "nth", "key", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("filled"), words)), F.lit(0)).cast("long").alias("taken"))
-    return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+    rows, wanted, slots = counted(docs, weights, share, most, block, source_col, text_col, key_col)
+    placed = running(rows, "name", "bucket", ["h", "key", "size"], F.col("size")).select("name", "bucket", "nth", "key", "size", "before")
+    x = placed.join(wanted.select("name", "source_size", "target", "quota", "block"), "name")
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(-int(-most // 1) - 1))).alias("pass"))
+    x = x.withColumn("from", F.col("before") + F.col("pass") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), "quota"))
+    inside = F.when(F.col("from") < F.col("to"), F.sequence(F.floor(F.col("from") / F.col("block")), F.floor((F.col("to") - 1) / F.col("block"))))
+    x = x.select("*", F.explode_outer(inside).alias("nth_block"))
+    x = x.join(slots.select("name", F.col("nth").alias("nth_block"), "slot"), ["name", "nth_block"], "left")
+    words = F.least("to", (F.col("nth_block") + 1) * F.col("block")) - F.greatest("from", F.col("nth_block") * F.col("block"))
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), words)), F.lit(0)).cast("long")
+    out = x.groupBy("name", "bucket", "nth", "key", "size", "source_size", "target").agg(taken.alias("taken"), F.min("slot").alias("first_slot"))
+    return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
-def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, source_col: str = "source", text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """The mix as whole documents, with the columns of docs: each as often as its middle lies in the words that the mix takes.
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, source_col: str = "source", text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """The mix as whole documents, with the columns of docs: a copy for each slot whose block holds the document's middle.
 
     Documents stay whole, so a source is at its target to within one document. Documents without words go.
     """
-    rows = laid(docs, source_col, text_col, key_col)
-    wanted = plan(rows.drop("row"), weights, share, most)
-    placed = running(rows, "name", "bucket", ["h", "key", "size"], F.col("size")).join(wanted.select("name", "source_size", "quota"), "name")
-    middle = F.col("before") + F.col("size") / 2
-    copies = sum((F.when((F.col("size") > 0) & (middle + F.lit(p) * F.col("source_size") < F.col("quota")), 1).otherwise(0) for p in range(-int(-most // 1))), F.lit(0))
-    return placed.select("row", copies.alias("copies")).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+    rows, wanted, slots = counted(docs, weights, share, most, block, source_col, text_col, key_col)
+    own = ["name", "bucket", "h", "size"]
+    placed = running(rows, "name", "bucket", ["h", "key", "size"], F.col("size")).where("size > 0").join(wanted.select("name", "source_size", "quota", "block"), "name")
+    x = placed.select(*own, "nth", "before", "source_size", "quota", "block", F.explode(F.sequence(F.lit(0), F.lit(-int(-most // 1) - 1))).alias("pass"))
+    x = x.withColumn("middle", F.col("before") + F.floor(F.col("size") / 2) + F.col("pass") * F.col("source_size"))
+    x = x.withColumn("nth_block", F.when(F.col("middle") < F.col("quota"), F.floor(F.col("middle") / F.col("block"))))
+    x = x.join(slots.select("name", F.col("nth").alias("nth_block"), "slot"), ["name", "nth_block"], "left").groupBy(*own, "nth").agg(F.count("slot").alias("n"))
+    # rows of one key, source and size are told apart by their number among these; the texts are shuffled once
+    copies = x.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("nth", F.col("n").cast("int").alias("n")))).alias("copies"))
+    texts = laid(docs, source_col, text_col, key_col).where("size > 0")
+    texts = texts.withColumn("nth", F.row_number().over(W.partitionBy(*own).orderBy(F.xxhash64(F.col("row")[text_col]))))
+    out = texts.join(copies, own).select("row", F.get("copies", F.col("nth") - 1)["n"].alias("n")).where("n > 0")
+    return out.select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix:' || doc_id::VARCHAR) AS h
   FROM documents),
 s AS (
@@ -144,15 +162,31 @@ f AS (
   FROM s),
 g AS (SELECT *, cap * open <= weight * (total - filled) AS is_full FROM f),
 t AS (
-  SELECT source, source_size,
+  SELECT coalesce('=' || source, 'null') AS name, source_size,
          CASE WHEN is_full THEN cap ELSE (total - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0.0)) * weight
               / sum(CASE WHEN NOT is_full THEN weight END) OVER () END AS target
   FROM g),
+q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
+z AS (SELECT sum(quota)::BIGINT AS words, least(greatest(ceil(sum(quota) / 2048)::BIGINT, 64 * count(*)), 1073741824) AS n FROM q WHERE quota > 0),
+e AS (
+  SELECT name, floor(coalesce(sum(quota) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 4294967296.0::DOUBLE / words::DOUBLE)::BIGINT AS lo,
+         floor(sum(quota) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE * 4294967296.0::DOUBLE / words::DOUBLE)::BIGINT AS hi
+  FROM q, z WHERE quota > 0),
+p AS (SELECT slot, (slot * 2654435769) % 4294967296 AS u FROM (SELECT unnest(range(n)) AS slot FROM z)),
+m AS (SELECT name, slot, row_number() OVER (PARTITION BY name ORDER BY slot) - 1 AS nth, count(*) OVER (PARTITION BY name) AS slots FROM p JOIN e ON u >= lo AND u < hi),
+l AS (
+  SELECT name, slot, nth, slots FROM m
+  UNION ALL
+  SELECT name, n + row_number() OVER (ORDER BY name) - 1, 0, 1 FROM q, z WHERE quota > 0 AND name NOT IN (SELECT name FROM m)),
+b AS (SELECT name, ceil(quota / max(slots))::BIGINT AS block FROM q JOIN l USING (name) GROUP BY name, quota),
 o AS (
-  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM d)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(before + size, floor(target + 0.5)) - before)
-        + greatest(0, least(before + source_size + size, floor(target + 0.5)) - (before + source_size)))::BIGINT AS taken
-FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, row_number() OVER (ORDER BY h, doc_id, size) AS r, source_size, target, quota, block,
+         coalesce(sum(size) OVER (PARTITION BY name ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN q USING (name) LEFT JOIN b USING (name)),
+k AS (SELECT r, name, block, before + pass * source_size AS lo, least(before + pass * source_size + size, quota) AS hi FROM o, (VALUES (0), (1)) AS v(pass)),
+w AS (
+  SELECT r, sum(least(hi, (nth + 1) * block) - greatest(lo, nth * block))::BIGINT AS taken, min(slot)::BIGINT AS first_slot
+  FROM k JOIN l ON k.name = l.name AND lo < hi AND l.nth BETWEEN lo // block AND (hi - 1) // block
+  GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM o LEFT JOIN w USING (r)
 """

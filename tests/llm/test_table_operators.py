@@ -77,19 +77,43 @@ def test_mixing(spark):
     assert key(got) == key(again)
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None)], DOCS)).first()["taken"] == 0
+    # one row for each slot that nothing else fills: the blocks of a source are equal, and its slots are spread over the mix
+    first = {}
+    for r in got:
+        if r["taken"]:
+            first.setdefault(source[r["doc_id"]], set()).add(r["first_slot"])
+        else:
+            assert r["first_slot"] is None
+    assert all(not a & b for s, a in first.items() for t, b in first.items() if s != t)
 
 
 def test_schedule_interleaves_sources(spark):
-    plan = spark.createDataFrame([("=a", 50_000), ("=b", 100_000)], "name string, quota long")
-    slots = [r["name"] for r in mixing.schedule(plan, 100).orderBy("slot").collect()]
-    assert Counter(slots) == {"=a": 500, "=b": 1000}
-    for n in range(50, 1500, 50):
-        assert abs(slots[:n].count("=a") - n / 3) < 5
+    plan = spark.createDataFrame([("=a", 50_000), ("=b", 100_000), ("=c", 0), ("=d", 1)], "name string, quota long")
+    rows = mixing.schedule(plan, 100).orderBy("slot").collect()
+    slots = [r["name"] for r in rows]
+    n = Counter(slots)
+    assert set(n) == {"=a", "=b", "=d"} and n["=d"] == 1 and slots[-1] == "=d" and abs(n["=a"] - 500) <= 4 and abs(n["=b"] - 1000) <= 4
+    for k in range(50, 1500, 50):
+        assert abs(slots[:k].count("=a") - k / 3) < 5
+    assert [r["nth"] for r in rows if r["name"] == "=a"] == list(range(n["=a"])) and {r["slots"] for r in rows if r["name"] == "=a"} == {n["=a"]}
+    want = ["=a" if k * mixing.GOLDEN % 2**32 < 2**32 * 50_000 // 150_001 else "=b" for k in range(1501)]
+    assert sum(x != y for x, y in zip(slots, want, strict=False)) == 0
+
+
+def test_what_no_slot_takes_is_not_in_the_mix(spark, monkeypatch):
+    whole = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda plan, block: whole(plan, block).where("slot % 2 = 0"))
+    rows = [(i, "w " * (20 + i % 30), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    words = sum(len(t.split()) for _, t, _ in rows)
+    assert 0.6 * words < mixing.mix(df, block=100).agg(F.sum("taken")).first()[0] < 0.9 * words
+    assert 240 < mixing.mix_documents(df, block=100).count() < 360
 
 
 def test_whole_documents_near_targets(spark):
     rows = [(i, "w " * (20 + i % 30), "ab"[i % 2]) for i in range(400)]
-    df = spark.createDataFrame(rows, DOCS)
+    rows += [(7, rows[7][1], "b"), (7, "v " * 27, "b"), (None, "u u", "a"), (None, "v v", "a"), (900, None, "a"), (901, " ", None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit(1)).withColumn("row", F.lit(2))
     out = mixing.mix_documents(df)
     assert out.columns == df.columns
     words = Counter()
@@ -97,7 +121,7 @@ def test_whole_documents_near_targets(spark):
         words[r["source"]] += len(r["text"].split())
     sizes = Counter()
     for _, t, s in rows:
-        sizes[s] += len(t.split())
+        sizes[s] += len((t or "").split())
     assert all(abs(words[s] - x) <= 100 for s, x in refilled(sizes).items())
 
 
