@@ -4,12 +4,16 @@ A suffix automaton of each language's reference text knows all of that text's su
 the longest phrases that occur in it (the cross-parsing of Ziv and Merhav, 1993); phrases * log2(reference length) over the
 document's length estimates the cross entropy, and the language with the least wins.
 
-The reference texts are a bounded sample of labelled rows: at most REF_DOCS whole texts per language, taken in hash order
-until REF_CHARS characters are reached. The automata are flat transition tables, so a task parses many texts in lockstep.
+The reference texts are a bounded sample of labelled rows: at most REF_DOCS rows per language, taken in hash order until
+REF_CHARS characters are reached, of a long text its middle. The automata's transitions lie in hash tables, so letters of any
+script have symbols of their own and a table grows with its text alone. A task parses many texts in lockstep: blocks of a text
+are parsed side by side, and what a block's predecessor leaves open is then carried on into it until both parses agree.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,109 +23,180 @@ from pyspark.sql import types as T
 
 from optiqal.llm._shared import annotate, text_bytes
 
-#: Bounds of the reference sample, per language: texts, characters, and characters of a text that is taken at all.
-REF_DOCS, REF_CHARS, REF_LONGEST = 400, 30_000, 8_000
-#: A text is parsed in blocks of this many characters, each begun anew, in every language alike.
+#: Bounds of the reference sample: rows and characters per language, characters taken of one text, and characters in all
+#: (where labels are so many that it counts, each has an equal share of it).
+REF_DOCS, REF_CHARS, REF_PIECE, REF_TOTAL = 400, 60_000, 4_000, 4_000_000
+#: Characters of a text that are parsed side by side with its others.
 BLOCK = 512
-#: Letters that have symbols of their own; a rarer one ends every phrase, as any letter does that no reference has.
-LETTERS = 120
 
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 UNKNOWN = "und"
 
 
 def sample(labelled: DataFrame, text_col: str, lang_col: str, key_col: str) -> list[tuple[str, str]]:
-    """(language, reference text), at most REF_CHARS characters each; the rows are chosen by a hash of key and text."""
+    """(language, reference text), within the bounds; the rows are chosen by a hash of key and text."""
     x = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).cast("string").alias("key"))
-    x = x.where("lang is not null and text is not null").where(F.length("text").between(1, REF_LONGEST))
+    x = x.where("lang is not null and length(text) > 0")
     counts = {r["lang"]: r["n"] for r in x.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as the model has tables
     if not counts:
         return []
+    chars = min(REF_CHARS, max(1, REF_TOTAL // len(counts)))
     # Twice the rows that are wanted, in expectation, so that the ranking never sees a whole language.
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2.0 * REF_DOCS / n))])
     h = F.xxhash64("key", "text")
     few = x.where(F.pmod(h, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
-    order = W.partitionBy("lang").orderBy(h, "key", "text")
+    few = few.select("lang", "key", h.alias("h"), F.expr(f"substring(text, greatest(1, 1 + int((length(text) - {REF_PIECE}) / 2)), {REF_PIECE})").alias("text"))
+    order = W.partitionBy("lang").orderBy("h", "key", "text")
     few = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= REF_DOCS)
-    few = few.withColumn("before", F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < REF_CHARS)
+    few = few.withColumn("before", F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < chars)
     rows = few.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda r: r["text"]), "\n").alias("text")).orderBy("lang").collect()
-    return [(r["lang"], r["text"]) for r in rows]
+    return [(r["lang"], r["text"][:chars]) for r in rows]
+
+
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state of the suffix automaton of a text of symbols; state 0 is the start."""
+    edges, link, size, last = [{}], [-1], [0], 0
+    for c in codes:
+        p, cur = last, len(edges)
+        edges.append({}), link.append(0), size.append(size[p] + 1)
+        while p >= 0 and c not in edges[p]:
+            edges[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = edges[p][c]
+            if size[q] == size[p] + 1:
+                link[cur] = q
+            else:
+                clone = len(edges)
+                edges.append(dict(edges[q])), link.append(link[q]), size.append(size[p] + 1)
+                while p >= 0 and edges[p].get(c) == q:
+                    edges[p][c] = clone
+                    p = link[p]
+                link[q] = link[cur] = clone
+        last = cur
+    return edges
+
+
+_U = np.uint64
+
+
+def _slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
+
+
+class Table:
+    """Transitions of one automaton: (state, symbol) -> state, in a hash table with linear probing; and those of the start."""
+
+    def __init__(self, edges: list[dict[int, int]], symbols: int):
+        self.width = symbols
+        self.start = np.zeros(symbols, np.int32)  # 0: the symbol does not occur
+        self.start[list(edges[0])] = list(edges[0].values())
+        key = np.array([s * symbols + c for s, e in enumerate(edges) for c in e], np.int64)
+        to = np.array([t for e in edges for t in e.values()], np.int32)
+        self.bits = max(4, int(len(key) * 2).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at = _slots(key, self.bits)
+        while len(key):  # of those that want one free slot the first gets it
+            slot, first = np.unique(at, return_index=True)
+            first = first[self.keys[slot] < 0]
+            self.keys[at[first]], self.to[at[first]] = key[first], to[first]
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            key, to, at = key[rest], to[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, whether a new phrase begins with the symbol)."""
+        key = state.astype(np.int64) * self.width + symbol
+        at = _slots(key, self.bits)
+        found = self.keys[at]
+        out = np.where(found == key, self.to[at], 0)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.to[at[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return np.where(out == 0, self.start[symbol], out), (out == 0) | (state == 0)
 
 
 class Model:
-    """Symbols of letters, and one transition table per language: next state and whether a phrase ends."""
+    """Symbols of letters, and the transitions of each language's reference."""
 
     def __init__(self, references: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in references]
         texts = [t.lower() for _, t in references]
-        seen: dict[str, int] = {}
-        for t in texts:
-            for c in t:
-                if c.isalpha():
-                    seen[c] = seen.get(c, 0) + 1
-        letters = sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]
-        self.symbol = {c: i + 2 for i, c in enumerate(letters)}  # 0: past the end; 1: anything that is no letter
-        self.other = len(letters) + 2  # a letter without a symbol
-        self.width = self.other + 1
-        self.tables = [self._table([self.symbol.get(c, self.other if c.isalpha() else 1) for c in t]) for t in texts]
-        self.symbols = None  # made in each worker, once
+        letters = sorted({c for t in texts for c in t if c.isalpha()})
+        self.symbol = {c: i + 2 for i, c in enumerate(letters)}  # 0: a letter that no reference has; 1: anything that is no letter
+        self.tables = [Table(automaton(self.codes(t)), len(letters) + 2) for t in texts]
         self.bits = [float(np.log2(max(2, len(t)))) for t in texts]
+        self.symbols = None  # made in each worker, once
 
-    def _table(self, codes: list[int]) -> np.ndarray:
-        """Entries: next state's row, with the lowest bit set where the symbol begins a new phrase."""
-        squeezed = [c for i, c in enumerate(codes) if c != 1 or i == 0 or codes[i - 1] != 1]
-        edges, link, size, last = [{}], [-1], [0], 0
-        for c in squeezed:
-            if c == self.other:
-                last = 0
-                continue
-            p, cur = last, len(edges)
-            if c in edges[p]:  # happens after a restart: the substring is known already
-                q = edges[p][c]
-                if size[q] == size[p] + 1:
-                    last = q
-                    continue
-                clone = cur
-                edges.append(dict(edges[q])), link.append(link[q]), size.append(size[p] + 1)
-                while p >= 0 and edges[p].get(c) == q:
-                    edges[p][c] = clone
-                    p = link[p]
-                link[q] = last = clone
-                continue
-            edges.append({}), link.append(0), size.append(size[p] + 1)
-            while p >= 0 and c not in edges[p]:
-                edges[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = edges[p][c]
-                if size[q] == size[p] + 1:
-                    link[cur] = q
-                else:
-                    clone = len(edges)
-                    edges.append(dict(edges[q])), link.append(link[q]), size.append(size[p] + 1)
-                    while p >= 0 and edges[p].get(c) == q:
-                        edges[p][c] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-        table = np.full((len(edges), self.width), -1, np.int32)
-        for s, e in enumerate(edges):
-            if e:
-                table[s, list(e)] = np.fromiter(e.values(), np.int32, len(e)) * (2 * self.width)
-        root = np.where(table[0] >= 0, table[0], 0) | 1  # a phrase ends, and the next one begins with this symbol
-        table = np.where(table >= 0, table, root[None, :])
-        table[:, 0] = np.arange(len(edges), dtype=np.int32) * (2 * self.width)  # past the end nothing happens
-        return table.ravel()
+    def codes(self, text: str) -> list[int]:
+        """Symbols of a text in lower case; one for a run of characters that are no letters."""
+        codes = [self.symbol.get(c, 0) if c.isalpha() else 1 for c in text]
+        return [c for i, c in enumerate(codes) if c != 1 or i == 0 or codes[i - 1] != 1]
+
+
+@cache
+def _cases() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: whether it is a letter, and the first one of its lower case."""
+    every = [chr(c) for c in range(0x110000)]
+    return np.array([c.isalpha() for c in every]), np.array([ord(c.lower()[0]) for c in every])
 
 
 def _symbols(model: Model) -> np.ndarray:
     """The symbol of each code point, with the highest bit set for letters."""
-    out = np.ones(0x110000, np.uint8)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            low = chr(c).lower()
-            out[c] = 0x80 | model.symbol.get(low[0], model.other)
-    return out
+    letter, low = _cases()
+    own = np.zeros(0x110000, np.uint32)
+    own[[ord(c) for c in model.symbol]] = list(model.symbol.values())
+    return np.where(letter, own[low] | np.uint32(0x80000000), np.uint32(1)).astype(np.uint32)
+
+
+def phrases(table: Table, code: np.ndarray, begin: np.ndarray, left: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """How many phrases begin in each block: the blocks of a text follow one another, and goes_on tells those that are not its first.
+
+    All blocks are parsed as if a phrase began with each. Then each is parsed again from where its predecessor really ended,
+    until a phrase begins at the same place in both parses: from there on they agree. Where that changes a block's end, the next
+    one is done again. Blocks come with the longest first but for the last of each text, so those that still run are gathered.
+    """
+    n = len(begin)
+    count, end = np.zeros(n, np.int64), np.zeros(n, np.int32)
+    starts = np.zeros((int(left.max(initial=0)), n), bool)  # where a phrase begins in the first parse
+    order = np.argsort(-left, kind="stable")  # the longest first: those that have ended are a tail
+    live = np.searchsorted(-left[order], -np.arange(1, len(starts) + 1), side="right")
+    state = np.zeros(n, np.int32)
+    for j in range(len(starts)):
+        own = order[: live[j]]
+        state[own], starts[j, own] = table.step(state[own], code[begin[own] + j])
+    end[:], count[:] = state, starts.sum(0)
+    fresh, fresh_end = count.copy(), end.copy()
+    dirty = np.flatnonzero(goes_on)
+    while len(dirty):
+        own, state, more, less, j, changed = dirty, end[dirty - 1], np.zeros(n, np.int64), np.zeros(n, np.int64), 0, []
+        while len(own):
+            done = left[own] <= j
+            if done.any():  # the parses never met
+                whole = own[done]
+                changed.append(whole[end[whole] != state[done]])
+                end[whole], count[whole] = state[done], more[whole]
+                own, state = own[~done], state[~done]
+                continue
+            state, new = table.step(state, code[begin[own] + j])
+            old = starts[j, own]
+            met = new & old
+            if met.any():
+                same = own[met]
+                count[same] = more[same] + fresh[same] - less[same]
+                changed.append(same[end[same] != fresh_end[same]])
+                end[same] = fresh_end[same]
+            more[own] += new
+            less[own] += old
+            own, state, j = own[~met], state[~met], j + 1
+        changed = np.concatenate(changed) + 1
+        changed = changed[changed < n]
+        dirty = np.sort(changed[goes_on[changed]])
+    return count
 
 
 class _Parse:
@@ -140,9 +215,9 @@ class _Parse:
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         at = heads[off]  # where each text begins, in characters
         code = m.symbols[points]
-        letters = np.concatenate([[0], np.cumsum(code >= 0x80)])
+        letters = np.concatenate([[0], np.cumsum(code >= 0x80000000)])
         has = letters[at[1:]] > letters[at[:-1]]
-        code = code & 0x7F
+        code = (code & 0x7FFFFFFF).astype(np.int32)
         keep = np.ones(len(code), bool)  # one separator for a run of characters that are no letters
         keep[1:] = (code[1:] != 1) | (code[:-1] != 1)
         keep[at[:-1][at[:-1] < len(code)]] = True
@@ -151,21 +226,10 @@ class _Parse:
         size = np.diff(at)
         blocks = -(-size // BLOCK)
         doc = np.repeat(np.arange(n_docs), blocks)
-        begin = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = at[doc] + nth * BLOCK
         left = np.minimum(at[doc + 1] - begin, BLOCK)
-        order = np.argsort(-left, kind="stable")  # the longest first: those that have ended are a tail
-        begin, left, doc = begin[order], left[order], doc[order]
-        live = np.searchsorted(-left, -np.arange(1, BLOCK + 1), side="right")
-        phrases = np.zeros((len(m.langs), len(doc)), np.int64)
-        state = np.zeros((len(m.langs), len(doc)), np.int32)
-        for j in range(int(left.max(initial=0))):
-            n = live[j]
-            c = code[begin[:n] + j].astype(np.int32)
-            for k, table in enumerate(m.tables):
-                step = table[(state[k, :n] >> 1) + c]
-                phrases[k, :n] += step & 1
-                state[k, :n] = step & ~1
-        total = np.stack([np.bincount(doc, p + 1, n_docs) for p in phrases]) if len(m.langs) else np.zeros((1, n_docs))
+        total = np.stack([np.bincount(doc, phrases(t, code, begin, left, nth > 0), n_docs) for t in m.tables]) if m.langs else np.zeros((1, n_docs))
         cost = total * np.array(m.bits or [1.0])[:, None] / np.maximum(size, 1)
         best = cost.argmin(0)
         ranked = np.sort(cost, 0)

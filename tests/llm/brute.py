@@ -72,3 +72,19 @@ def without_repeats(docs, length=100):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[doc] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def squeezed(text):
+    """Letters as they are, and one blank for a run of other characters."""
+    return re.sub(r"[\W\d_]+", " ", text)
+
+
+def cross_phrases(text, reference):
+    """How many phrases the greedy parse of text by substrings of the reference has; what the reference lacks is a phrase of its own."""
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in reference:
+            j += 1
+        n, i = n + 1, j
+    return n

@@ -134,16 +134,47 @@ def test_language(spark):
     assert {r["lang_pred"] for r in none.select("found.lang_pred").collect()} == {"und"}
 
 
-def test_phrases_are_greedy_longest_matches():
-    m = language.Model([("x", "abcabd")])
-    parse = language._Parse(type("B", (), {"value": m}))
-    table, state, ends = m.tables[0], 0, []
-    for ch in "abdabcz":
-        step = table[(state >> 1) + m.symbol.get(ch, m.other)]
-        ends.append(int(step & 1))
-        state = step & ~1
-    assert ends == [0, 0, 0, 1, 0, 0, 1]  # abd | abc | z
-    assert parse(pa.array(["abd", None, ""]))[0].to_pylist() == ["x", "und", "und"]
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+@settings(max_examples=60, deadline=None)
+@given(reference=st.text("abc ", min_size=1, max_size=60), other=st.text("ab東京", min_size=1, max_size=30), texts=st.lists(st.one_of(st.none(), st.text("abcdA. 東", max_size=40)), max_size=5))
+def test_phrases_are_greedy_longest_matches(block, reference, other, texts):
+    m = language.Model([("x", reference), ("y", other)])
+    before, language.BLOCK = language.BLOCK, block
+    try:
+        pred, score = language._Parse(_Sent(m))(pa.array(texts, pa.string()))
+    finally:
+        language.BLOCK = before
+    for t, p, got in zip(texts, pred.to_pylist(), score, strict=True):
+        parsed = brute.squeezed((t or "").lower())
+        costs = []
+        for ref in (reference, other):
+            n = brute.cross_phrases(parsed, brute.squeezed(ref))
+            costs.append(n * np.log2(max(2, len(ref))) / max(1, len(parsed)))
+        if not any(c.isalpha() for c in t or ""):
+            assert (p, got) == ("und", 0)
+        else:
+            assert p == "xy"[int(np.argmin(costs))] and got == pytest.approx(1 - min(costs) / max(costs))
+
+
+def test_languages_of_long_texts_and_of_many_letters(spark):
+    r = random.Random(3)
+    words = {"en": [prose(1, i) for i in range(60)], "fr": ["".join(r.choice("klmnopqrst") for _ in range(r.randint(2, 7))) for _ in range(60)]}
+    words |= {x: ["".join(chr(a + r.randrange(2500)) for _ in range(2)) for _ in range(900)] for x, a in (("zh", 0x4E00), ("ko", 0xAC00))}
+    text = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    train = [(i, text("en", 50), "en") for i in range(40)] + [(100 + i, text("fr", 3000), "fr") for i in range(8)] + [(200 + i, text(x, 400), x) for i, x in enumerate(["zh", "ko"] * 10)]
+    test = [(1000 + i, text(x, 80), x) for i, x in enumerate(["en", "fr", "zh", "ko"] * 10)]
+    schema = "doc_id long, text string, lang string"
+    df = spark.createDataFrame([*test, test[0]], schema).withColumn("row", F.lit(1)).withColumn("found", F.lit(2))
+    out = language.identify(df, spark.createDataFrame(train, schema))
+    assert out.select("row.*").columns == df.columns
+    rows = out.select("row.doc_id", "row.lang", "found.lang_pred").collect()
+    assert len(rows) == 41 and all(x["lang"] == x["lang_pred"] for x in rows)
+    assert language.identify(df.limit(0), spark.createDataFrame(train, schema)).count() == 0
 
 
 def test_near_duplicates(frame, corpus):
