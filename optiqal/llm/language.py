@@ -5,8 +5,8 @@ the longest phrases that occur in it (the cross-parsing of Ziv and Merhav, 1993)
 document's length estimates the cross entropy, and the language with the least wins.
 
 The reference texts are a bounded sample of labelled rows: at most REF_DOCS rows per language, taken in hash order until
-REF_CHARS characters are reached, of a long text its middle. The automata's transitions lie in hash tables, so letters of any
-script have symbols of their own and a table grows with its text alone. A task parses many texts in lockstep: blocks of a text
+REF_CHARS characters are reached, of a long text its middle. The rows of an automaton's transitions are laid over one another,
+so letters of any script have symbols of their own and a table grows with its text alone. A task parses many texts in lockstep: blocks of a text
 are parsed side by side, and what a block's predecessor leaves open is then carried on into it until both parses agree.
 """
 
@@ -27,7 +27,7 @@ from optiqal.llm._shared import annotate, text_bytes
 #: (where labels are so many that it counts, each has an equal share of it).
 REF_DOCS, REF_CHARS, REF_PIECE, REF_TOTAL = 400, 60_000, 4_000, 4_000_000
 #: Characters of a text that are parsed side by side with its others.
-BLOCK = 512
+BLOCK = 2048
 
 FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 UNKNOWN = "und"
@@ -77,47 +77,34 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return edges
 
 
-_U = np.uint64
-
-
-def _slots(key: np.ndarray, bits: int) -> np.ndarray:
-    return ((key.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
-
-
-class Table:
-    """Transitions of one automaton: (state, symbol) -> state, in a hash table with linear probing; and those of the start."""
-
-    def __init__(self, edges: list[dict[int, int]], symbols: int):
-        self.width = symbols
-        self.start = np.zeros(symbols, np.int32)  # 0: the symbol does not occur
-        self.start[list(edges[0])] = list(edges[0].values())
-        key = np.array([s * symbols + c for s, e in enumerate(edges) for c in e], np.int64)
-        to = np.array([t for e in edges for t in e.values()], np.int32)
-        self.bits = max(4, int(len(key) * 2).bit_length())
-        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        at = _slots(key, self.bits)
-        while len(key):  # of those that want one free slot the first gets it
-            slot, first = np.unique(at, return_index=True)
-            first = first[self.keys[slot] < 0]
-            self.keys[at[first]], self.to[at[first]] = key[first], to[first]
-            rest = np.ones(len(key), bool)
-            rest[first] = False
-            key, to, at = key[rest], to[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next state, whether a new phrase begins with the symbol)."""
-        key = state.astype(np.int64) * self.width + symbol
-        at = _slots(key, self.bits)
-        found = self.keys[at]
-        out = np.where(found == key, self.to[at], 0)
-        open_ = np.flatnonzero((found != key) & (found >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at[open_]]
-            hit = found == key[open_]
-            out[open_[hit]] = self.to[at[open_[hit]]]
-            open_ = open_[~hit & (found >= 0)]
-        return np.where(out == 0, self.start[symbol], out), (out == 0) | (state == 0)
+def packed(edges: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, rows) of an automaton, the rows of its states laid over one another where they are empty: rows[base[state] + symbol]
+    holds the state that the entry belongs to (in the upper half; -1 if none) and the next state.
+    """
+    total = sum(map(len, edges))
+    free = np.ones(2 * total + 3 * symbols + 64, bool)
+    free[:symbols] = False  # so that no base is negative
+    base, low = np.zeros(len(edges), np.int64), symbols
+    single = [s for s, e in enumerate(edges) if len(e) == 1]
+    for s in sorted((s for s, e in enumerate(edges) if len(e) > 1), key=lambda s: (-len(edges[s]), s)):
+        own = np.array(sorted(edges[s]))
+        while True:  # the next place at which all entries of the row are free; states of one transition fill what stays
+            if low + 64 + symbols > len(free):
+                free = np.concatenate([free, np.ones(len(free), bool)])
+            found = low + np.flatnonzero(free[low : low + 64])
+            fits = found[free[(found - own[0])[:, None] + own].all(1)]
+            if len(fits):
+                low = int(fits[0])
+                break
+            low += 64
+        base[s] = low - own[0]
+        free[base[s] + own] = False
+    base[single] = np.flatnonzero(free)[: len(single)] - [next(iter(edges[s])) for s in single]
+    rows = np.full(int(base.max(initial=0)) + symbols, -1, np.int64)
+    state = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+    symbol, to = (np.fromiter((x for e in edges for x in of(e)), np.int64, total) for of in (dict.keys, dict.values))
+    rows[base[state] + symbol] = (state << 32) | to
+    return base, rows
 
 
 class Model:
@@ -128,10 +115,28 @@ class Model:
         texts = [t.lower() for _, t in references]
         letters = sorted({c for t in texts for c in t if c.isalpha()})
         self.symbol = {c: i + 2 for i, c in enumerate(letters)}  # 0: a letter that no reference has; 1: anything that is no letter
-        self.tables = [Table(automaton(self.codes(t)), len(letters) + 2) for t in texts]
+        self.width = len(letters) + 2
+        # all automata in one: states and rows are numbered on from one language to the next
+        roots, bases, rows, starts = [], [], [], []
+        states = places = 0
+        for t in texts:
+            edges = automaton(self.codes(t))
+            base, own = packed(edges, self.width)
+            first = np.zeros(self.width, np.int64)  # the start itself, where a symbol does not occur
+            first[list(edges[0])] = list(edges[0].values())
+            roots.append(states), bases.append(base + places), starts.append(first + states)
+            rows.append(np.where(own < 0, own, own + (states << 32) + states))
+            states, places = states + len(edges), places + len(own)
+        self.roots, self.base, self.rows, self.start = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([np.array(roots, np.int64)], bases, rows, starts))
         self.bits = [float(np.log2(max(2, len(t)))) for t in texts]
         self.symbols = None  # made in each worker, once
 
+    def step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, whether a new phrase begins with the symbol)."""
+        entry = self.rows[self.base[state] + symbol]
+        new = (entry >> 32) != state
+        return np.where(new, self.start[lang * self.width + symbol], entry & 0xFFFFFFFF), new | (state == self.roots[lang])
+
     def codes(self, text: str) -> list[int]:
         """Symbols of a text in lower case; one for a run of characters that are no letters."""
         codes = [self.symbol.get(c, 0) if c.isalpha() else 1 for c in text]
@@ -153,23 +158,24 @@ def _symbols(model: Model) -> np.ndarray:
     return np.where(letter, own[low] | np.uint32(0x80000000), np.uint32(1)).astype(np.uint32)
 
 
-def phrases(table: Table, code: np.ndarray, begin: np.ndarray, left: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
-    """How many phrases begin in each block: the blocks of a text follow one another, and goes_on tells those that are not its first.
+def phrases(m: Model, code: np.ndarray, begin: np.ndarray, left: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """How many phrases begin in each block, by language: the blocks of a text follow one another, and goes_on tells those that are not its first.
 
     All blocks are parsed as if a phrase began with each. Then each is parsed again from where its predecessor really ended,
     until a phrase begins at the same place in both parses: from there on they agree. Where that changes a block's end, the next
-    one is done again. Blocks come with the longest first but for the last of each text, so those that still run are gathered.
+    one is done again.
     """
+    lang = np.repeat(np.arange(len(m.langs)), len(begin))
+    begin, left, goes_on = (np.tile(x, len(m.langs)) for x in (begin, left, goes_on))
     n = len(begin)
-    count, end = np.zeros(n, np.int64), np.zeros(n, np.int32)
-    starts = np.zeros((int(left.max(initial=0)), n), bool)  # where a phrase begins in the first parse
     order = np.argsort(-left, kind="stable")  # the longest first: those that have ended are a tail
+    rank = np.argsort(order)
+    starts = np.zeros((int(left.max(initial=0)), n), bool)  # where a phrase begins in the first parse, in that order
     live = np.searchsorted(-left[order], -np.arange(1, len(starts) + 1), side="right")
-    state = np.zeros(n, np.int32)
-    for j in range(len(starts)):
-        own = order[: live[j]]
-        state[own], starts[j, own] = table.step(state[own], code[begin[own] + j])
-    end[:], count[:] = state, starts.sum(0)
+    state, first, own_lang = m.roots[lang[order]], begin[order], lang[order]
+    for j, k in enumerate(live.tolist()):
+        state[:k], starts[j, :k] = m.step(state[:k], code[first[:k] + j], own_lang[:k])
+    end, count = state[rank], starts.sum(0)[rank]
     fresh, fresh_end = count.copy(), end.copy()
     dirty = np.flatnonzero(goes_on)
     while len(dirty):
@@ -182,8 +188,8 @@ def phrases(table: Table, code: np.ndarray, begin: np.ndarray, left: np.ndarray,
                 end[whole], count[whole] = state[done], more[whole]
                 own, state = own[~done], state[~done]
                 continue
-            state, new = table.step(state, code[begin[own] + j])
-            old = starts[j, own]
+            state, new = m.step(state, code[begin[own] + j], lang[own])
+            old = starts[j, rank[own]]
             met = new & old
             if met.any():
                 same = own[met]
@@ -193,10 +199,10 @@ def phrases(table: Table, code: np.ndarray, begin: np.ndarray, left: np.ndarray,
             more[own] += new
             less[own] += old
             own, state, j = own[~met], state[~met], j + 1
-        changed = np.concatenate(changed) + 1
-        changed = changed[changed < n]
-        dirty = np.sort(changed[goes_on[changed]])
-    return count
+        after = np.concatenate(changed) + 1
+        after = after[after < n]
+        dirty = np.sort(after[goes_on[after]])
+    return count.reshape(len(m.langs), -1)
 
 
 class _Parse:
@@ -229,7 +235,7 @@ class _Parse:
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = at[doc] + nth * BLOCK
         left = np.minimum(at[doc + 1] - begin, BLOCK)
-        total = np.stack([np.bincount(doc, phrases(t, code, begin, left, nth > 0), n_docs) for t in m.tables]) if m.langs else np.zeros((1, n_docs))
+        total = np.stack([np.bincount(doc, x, n_docs) for x in phrases(m, code, begin, left, nth > 0)]) if m.langs else np.zeros((1, n_docs))
         cost = total * np.array(m.bits or [1.0])[:, None] / np.maximum(size, 1)
         best = cost.argmin(0)
         ranked = np.sort(cost, 0)
