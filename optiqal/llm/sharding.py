@@ -19,13 +19,16 @@ BUCKETS = 1024
 
 
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """The number (from 0) of the shard of a key. Equal keys share a shard, and so do null keys; weight 0 gets nothing."""
+    """The number (from 0) of the shard of a key. Equal keys share a shard, and so do null keys; weight 0 gets nothing.
+
+    Keys are hashed as text, so 7 has one shard whether it is an int, a bigint or a string.
+    """
     if not any(w > 0 for w in weights):
         raise ValueError("a shard needs a weight above 0")
     tickets = []
     for s, w in enumerate(weights):
         if w > 0:
-            u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(s)), 11) + 1) / float(1 << 53)
+            u = (F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(s)), 11) + 1) / float(1 << 53)
             tickets.append(F.struct((-F.log(u) / float(w)).alias("ticket"), F.lit(s).alias("shard")))
     return (F.least(*tickets) if len(tickets) > 1 else tickets[0])["shard"]
 
