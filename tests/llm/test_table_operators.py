@@ -1,12 +1,15 @@
 """Sharding, mixing, nearest neighbours, tool calls, and the pipeline."""
 
 import json
+import math
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -33,6 +36,27 @@ def test_growing_moves_rows_into_the_new_shard_only(spark):
     assert none["size"] == 8 and none["text_crc32"] == 0
 
 
+def test_shards_are_those_of_the_best_tickets(spark):
+    """XXH64 of the key's text, then of the shard's number, as the library of that name has it; equal keys of any type agree."""
+
+    def best(key, shards):
+        def ticket(s):
+            first = xxhash.xxh64(str(key).encode(), seed=42).intdigest() if key is not None else 42
+            h = xxhash.xxh64(struct.pack("<i", s), seed=first).intdigest()
+            return -math.log(((h >> 11) + 1) / 2**53)
+
+        return min(range(shards), key=ticket)
+
+    keys = [*range(-50, 300), 2**40, None]
+    got = sharding.numbered(spark.createDataFrame([(k, None, "s") for k in keys], DOCS).withColumn("slot", F.lit("x"))).collect()
+    assert {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in got} == {k: (best(k, 24), best(k, 25)) for k in keys}
+    one = spark.range(1).select(*(sharding.shard_of(F.lit(7).cast(t), [1.0] * 24).alias(t) for t in ("int", "bigint", "string", "smallint"))).first()
+    assert {*one} == {best(7, 24)}
+    assert sharding.numbered(spark.createDataFrame([], DOCS)).count() == 0
+    long = sharding.numbered(spark.createDataFrame([(1, "é" * 500_000, "s")], DOCS)).first()
+    assert (long["size"], long["slot"]) == (1_000_008, 0)
+
+
 def test_shares_follow_weights(spark):
     df = sharding.assign(spark.range(20_000).withColumnRenamed("id", "doc_id"), [1.0, 3.0, 0.0])
     n = {r["shard"]: r["count"] for r in df.groupBy("shard").count().collect()}
@@ -154,6 +178,16 @@ def test_repeats_and_small_tables_give_all_neighbours(spark):
     assert all(len({*got[q]}) == 5 for q in ids) and all({*got[q]} <= {*range(7)} for q in range(7))
 
 
+def test_scores_of_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1e200, -1e200]), (4, [3e-310, 1e-310]), (5, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x")).withColumn("rank", F.lit(9))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in nearest.search(df, df).collect()}
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    assert got.keys() == {(a, b) for a in unit for b in unit if a != b}
+    assert all(s == pytest.approx(unit[a] @ unit[b], abs=1e-12) for (a, b), s in got.items())
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 24))

@@ -336,6 +336,43 @@ def test_chains_are_collinear():
     assert passages.chain(at, other) == [(0, 38, 5, 43)]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25))
+def test_best_chain_of_any_matches(points):
+    """The best chain against all predecessors compared; matches at one place of the first text cannot follow one another."""
+    p = sorted(points)
+    score = []
+    for i, (x, y) in enumerate(p):
+        before = [score[j] - passages.GAP * (x - a + y - b) for j, (a, b) in enumerate(p[:i]) if a < x and b < y]
+        score.append(passages.WEIGHT + max([0.0, *before]))
+    i = min(range(len(p)), key=lambda m: (-score[m], m))
+    spans = []
+    end = p[i]
+    while True:
+        x, y = p[i]
+        back = max(((score[j] - passages.GAP * (x - a + y - b), a, b, j) for j, (a, b) in enumerate(p[:i]) if a < x and b < y), default=(0,))
+        at = p[i]
+        if back[0] <= 1e-9 or max(x - p[back[3]][0], y - p[back[3]][1]) > passages.MAX_GAP:
+            spans.append((at[0], end[0] + passages.K, at[1], end[1] + passages.K))
+            break
+        i = back[3]
+    first = spans[0]
+    made = passages.chain(*(np.array(x) for x in zip(*p, strict=True)))
+    long = first[1] - first[0] >= passages.MIN_CHAIN and first[3] - first[2] >= passages.MIN_CHAIN
+    ties = len({round(s, 6) for s in score}) < len(score)
+    assert not long or first in made or ties
+
+
+def test_passages_of_odd_rows(spark):
+    """Rows without an id take no part, rows of one id are one document, and repeated rows have a result each."""
+    t, u = prose(90, 60), prose(90, 61)
+    rows = [(None, t), (3, t), (3, t), (3, u), (5, t), (5, t), (6, None), (7, ""), (8, u + " " + t)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("seed", F.lit("x")).withColumn("at", F.lit(1))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_repeated"]) for r in passages.digest(df).collect()), key=str)
+    assert got == sorted([(None, 90, 0), (3, 90, 0), (3, 90, 0), (3, 90, 0), (5, 90, 90), (5, 90, 90), (6, 0, 0), (7, 0, 0), (8, 180, 180)], key=str)
+    assert passages.digest(df.limit(0)).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 4), max_size=25))
 def test_common_subsequence(a, b):
