@@ -2,11 +2,11 @@
 
 Each task turns its documents into one word sequence and sorts the suffixes that can begin a match into a suffix array
 (a Bloom gate on the first words of the benchmark's windows leaves out suffixes that cannot). Every suffix of the
-benchmark is binary-searched in that array; neighbouring hits on one diagonal are joined to the longest verbatim matches.
-Documents are read once and never shuffled.
+benchmark is binary-searched in that array. The words that hits cover are marked, and hits are followed along both texts to
+the longest verbatim matches that cover them; pairs of repeated places are never listed. Documents are read once and never shuffled.
 
-The benchmark reaches the tasks in blocks of at most BLOCK_BYTES of text: a larger benchmark takes more passes, each of
-which adds its matches to the row, so what a task holds never grows with the benchmark.
+The benchmark reaches the tasks in blocks of about BLOCK_BYTES of text: a larger benchmark takes more passes, each of which
+adds its matches to the row. An item is never split over blocks.
 """
 
 from __future__ import annotations
@@ -20,26 +20,28 @@ from pyspark.sql import types as T
 from optiqal.llm._shared import annotate
 from optiqal.llm._words import LETTERS, grams, hashes, room, split
 
-#: Bytes of benchmark text that a task holds at most (a single longer item is a block of its own).
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in a block, on average; items are dealt to blocks by hash. A task holds some 80 bytes a word of it.
+BLOCK_BYTES = 8 << 20
 _GATE = 3
 _BLOOM_BITS = 22
 
-MATCH = T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "item_start", "doc_start", "n_words")])
-FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))])
+MATCH = T.StructType([T.StructField("item_id", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("item_start", "doc_start", "n_words"))])
+FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(MATCH))])
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`row` (a row of docs) and `found`: its words, the words hit, and its longest verbatim matches with benchmark items.
+    """`row` (a row of docs) and `found`: its words, the words hit, the items with occurring windows, and its longest verbatim matches.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window is `window` consecutive words of
-    an item, or the whole of a shorter one that isn't empty. A match is as long as the texts agree and starts in words from 0.
+    an item, or the whole of a shorter one that isn't empty. Matches cover the words hit from left to right: each is the longest
+    that begins at the first hit of which the ones before leave a word uncovered (of equal ones that in the item that comes
+    first), and starts in words from 0. Identifiers of items may be of any type and are given as text.
     Null or empty text: no words, no match. Null item text: nothing. Rows that repeat are each judged; several items with
     the same text all match. No items: no matches. Items with a null id match but give a null item_id.
     """
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     n_blocks = -(-size // BLOCK_BYTES) or 1
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     out = None
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
@@ -56,7 +58,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
 def _merged(a, b):
     """Matches of both; words hit are counted over the union of the runs."""
     both = F.concat(a["matches"], b["matches"])
-    return F.struct(a["n_words"].alias("n_words"), covered(both).alias("n_hit"), both.alias("matches"))
+    return F.struct(a["n_words"].alias("n_words"), covered(both).alias("n_hit"), F.array_union(a["items"], b["items"]).alias("items"), both.alias("matches"))
 
 
 def covered(matches):
@@ -73,7 +75,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def _windows(items: pa.Table, window: int) -> list[dict]:
-    """The benchmark's suffixes, by the number of words that they must share: distinct windows, and where each one begins."""
+    """The benchmark's suffixes, by the number of words that they must share: distinct windows, where each one begins, and in which items."""
     text = items.column("text").combine_chunks() if items.num_rows else pa.array([], pa.string())
     ids = items.column("id").to_pylist()
     w = split(text if isinstance(text, pa.Array) else text.chunk(0), LETTERS)
@@ -90,8 +92,11 @@ def _windows(items: pa.Table, window: int) -> list[dict]:
         gate = grams(h, min(n, _GATE))[own]
         bloom = np.zeros(1 << _BLOOM_BITS, bool)
         bloom[gate >> np.uint64(64 - _BLOOM_BITS)] = True
-        pos = own[order]
-        out.append({"n": int(n), "keys": keys, "begin": np.searchsorted(which.ravel()[order], np.arange(len(keys) + 1)), "pos": pos, "item": doc[pos], "at": pos - w.first[doc[pos]], "bloom": np.packbits(bloom), "ids": ids})
+        which, at_pos = which.ravel(), np.full(len(h) + 1, -1)
+        at_pos[own] = which
+        begin = np.searchsorted(which[order], np.arange(len(keys) + 1))
+        pairs = np.unique(np.stack([which, doc[own]]), axis=1)  # the items of each window
+        out.append({"n": int(n), "keys": keys, "begin": begin, "pos": own[order], "at_pos": at_pos, "item": doc, "at": np.arange(len(h)) - w.first[doc], "items": pairs[1], "items_begin": np.searchsorted(pairs[0], np.arange(len(keys) + 1)), "bloom": np.packbits(bloom), "ids": ids})
     return out
 
 
@@ -118,11 +123,17 @@ def _bounds(train: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ends[0], ends[1]
 
 
-def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The members of all ranges one after another, and the range that each belongs to."""
-    size = end - begin
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
+def _longest(key: np.ndarray, p: int, t: dict) -> tuple[int, int, int]:
+    """(item, its first word, windows) of the longest match that begins at the hit at p; key: the window at each place, -1 for none."""
+    pos = t["pos"][t["begin"][key[p]] : t["begin"][key[p] + 1]]
+    n, last = 1, len(t["at_pos"]) - 1
+    while p + n < len(key) and key[p + n] >= 0:
+        on = pos[(t["at_pos"][np.minimum(pos + n, last)] == key[p + n]) & (pos + n <= last)]
+        if not len(on):
+            break
+        pos, n = on, n + 1
+    first = int(pos.min())
+    return int(t["item"][first]), int(t["at"][first]), n
 
 
 class _Search:
@@ -135,7 +146,9 @@ class _Search:
         w = split(text, LETTERS)
         h, left = hashes(w), room(w)
         n_docs, n = len(w.first) - 1, len(h)
-        found = []
+        edge = np.zeros(n + 1, np.int64)
+        items: list[set] = [set() for _ in range(n_docs)]
+        found: list[tuple] = []
         for t in self.tests:
             gate = grams(h, min(t["n"], _GATE))
             bloom = np.unpackbits(t["bloom"]).view(bool)
@@ -145,36 +158,38 @@ class _Search:
                 continue
             words = np.stack([h[may + j] for j in range(t["n"])], 1)
             array = np.lexsort(words.T[::-1])  # the suffix array: suffixes by their first words
-            words, may = words[array], may[array]
-            lo, hi = _bounds(words, t["keys"])
-            at, key = _spread(lo, hi)
-            q, pair = _spread(t["begin"][key], t["begin"][key + 1])
-            p, pos, item, start = may[at][pair], t["pos"][q], t["item"][q], t["at"][q]
-            order = np.lexsort((p, p - pos))
-            p, pos, item, start = p[order], pos[order], item[order], start[order]
-            fresh = np.ones(len(p), bool)  # else it goes on with the match before: next word of both texts
-            fresh[1:] = (p[1:] != p[:-1] + 1) | (pos[1:] != pos[:-1] + 1) | (item[1:] != item[:-1])
-            head = np.flatnonzero(fresh)
-            size = np.diff(np.append(head, len(p))) + t["n"] - 1
-            found.append((p[head], size, item[head], start[head]))
-        p, size, item, start = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, p, 1)
-        np.add.at(edge, p + size, -1)
+            lo, hi = _bounds(words[array], t["keys"])
+            size = hi - lo
+            at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            p, own = may[array[at]], np.repeat(np.arange(len(size)), size)  # each place has one window
+            order = np.argsort(p)
+            p, own = p[order], own[order]
+            np.add.at(edge, p, 1)
+            np.add.at(edge, p + t["n"], -1)
+            doc = np.searchsorted(w.first, p, side="right") - 1
+            both = np.unique(np.stack([doc, own]), axis=1)
+            for d, k in both.T.tolist():
+                items[d].update(t["items"][t["items_begin"][k] : t["items_begin"][k + 1]].tolist())
+            # hits in a row, of one document: each such run is covered by itself
+            cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (doc[1:] != doc[:-1])])) if len(p) else np.zeros(0, np.int64)
+            for a, b in zip(cut, [*cut[1:], len(p)], strict=True):
+                i, end = 0, -1
+                while i < b - a:
+                    item, start, size = _longest(own[a:b], i, t)
+                    found.append((int(doc[a]), int(p[a]) + i, size + t["n"] - 1, item, start))
+                    i += size  # the next hit has a word that this match does not reach
         hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        doc = np.searchsorted(w.first, p, side="right") - 1
-        order = np.lexsort((start, item, p, doc))
-        doc, p, size, item, start = doc[order], p[order], size[order], item[order], start[order]
+        found.sort()
         ids = self.tests[0]["ids"] if self.tests else []
-        matches = pa.StructArray.from_arrays([pa.array([ids[i] for i in item], pa.int64()), pa.array(start, pa.int64()), pa.array(p - w.first[doc], pa.int64()), pa.array(size, pa.int64())], names=MATCH.names)
+        doc, p, size, item, start = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+        matches = pa.StructArray.from_arrays([pa.array([ids[i] for i in item], pa.string()), pa.array(start, pa.int64()), pa.array(p - w.first[doc], pa.int64()), pa.array(size, pa.int64())], names=MATCH.names)
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32()), matches)
-        return [np.diff(w.first), hit[w.first[1:]] - hit[w.first[:-1]], lists]
+        return [np.diff(w.first), hit[w.first[1:]] - hit[w.first[:-1]], [[ids[i] for i in sorted(x)] for x in items], lists]
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    ids = F.array_sort(F.array_distinct(F.transform("found.matches", lambda m: m["item_id"].cast("string"))))
-    ids = F.filter(ids, lambda x: x.isNotNull())
+    ids = F.filter(F.array_sort(F.array_distinct("found.items")), lambda x: x.isNotNull())
     return found.select(F.col(f"row.{id_col}").alias("doc_id"), F.col("found.n_words").alias("n_words"), F.col("found.n_hit").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
 
 

@@ -100,7 +100,17 @@ def test_longest_matches_are_maximal(spark):
     docs = spark.createDataFrame([(1, "aaa " + shared + " bbb")], DOCS)
     bench = spark.createDataFrame([(7, "ccc ddd " + shared + " eee")], "item_id long, text string")
     m = decontamination.find_matches(docs, bench).select("found.matches").first()[0]
-    assert [tuple(x) for x in m] == [(7, 2, 1, 30)]
+    assert [tuple(x) for x in m] == [("7", 2, 1, 30)]
+
+
+def test_repeated_words_are_not_listed_in_pairs(spark):
+    docs = spark.createDataFrame([(1, "a " * 500_000), (2, "b " * 9), (3, "x " + "a " * 11 + "y")], DOCS).withColumn("items", F.lit(1))
+    bench = spark.createDataFrame([("one", "a " * 1000), ("two", "q " + "a " * 10)], "item_id string, text string")
+    found = decontamination.find_matches(docs, bench)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.digest(found).collect()}
+    assert got == {1: (500_000, 500_000, 2), 2: (9, 0, 0), 3: (13, 11, 2)}
+    matches = {r["doc_id"]: r["matches"] for r in found.select("row.doc_id", "found.matches").collect()}
+    assert len(matches[1]) <= 505 and [tuple(x) for x in matches[3]] == [("one", 0, 1, 11)]
 
 
 def test_decontamination_without_rows(spark, frame):
