@@ -1,9 +1,11 @@
 """License scans by ordered signature rules, in columns only.
 
-A text becomes its words with single blanks between them. Rules are regexes over that string; a rule is tried only on texts
-that hold its keyword, and none is tried on a text without any word that license statements have. Detections are ordered by
-start, longer first, then priority: one that lies inside another is dropped, and of two that overlap the one of lower
-priority is dropped, unless they name the same license.
+A text becomes its words with single blanks between them. Rules are regexes over that string: statements, in which a license
+is named, made of names and forms, and signatures, wording of the licenses' own grants, notices and headers. A rule is tried
+only on texts that hold its keyword, and none is tried on a text without any word that statements or signatures have.
+
+Of the detections, one that lies inside another is dropped (of two at one place the one of higher priority stays). The rest is
+gone through by priority, then start: one that overlaps a detection kept before, under another label, is dropped.
 """
 
 from __future__ import annotations
@@ -80,16 +82,71 @@ FORMS = (
 #: Words of which every text that a form accepts holds one; on others no rule is tried.
 KEYWORDS = ("licen", "spdx", "subject to", *(f"{x} under" for x in GIVEN), *(f"{x} {y}" for x in RULED for y in ("under", "by")))
 
+#: Wording of licenses: label, keyword, regex, priority and how sure it is. The keywords pass the gate too.
+SIGNATURES = (
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?", 2, 0.95),
+    ("mit", "substantial portions", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software", 3, 0.85),
+    ("mit-0", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so (?=the software is provided)", 1, 0.95),
+    ("bsl-1.0", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 2, 0.95),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?", 4, 0.85),
+    ("bsd-3", "endorse or promote", "neither the names? of .{1,120}? (?:nor the names of (?:its|the|their) contributors )?may be used to endorse or promote products derived from this software without specific prior written permission", 2, 0.9),
+    ("bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1, 0.95),
+    ("isc", "with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", 2, 0.95),
+    ("bsd-0", "with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)", 2, 0.95),
+    ("apache-2", "apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 1, 1.0),
+    ("apache-2", "www apache org", "(?:http |https )?www apache org licenses license 2 0", 3, 0.9),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation http www apache org", 3, 0.8),
+    ("gpl-3.0", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", 1, 1.0),
+    ("gpl-2.0", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2(?: of the license)?", 1, 1.0),
+    ("lgpl-3.0", "free software foundation", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", 1, 1.0),
+    ("lgpl-2.1", "free software foundation", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", 1, 1.0),
+    ("agpl-3.0", "free software foundation", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", 1, 1.0),
+    ("gfdl-1.3", "permission is granted to copy", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3", 1, 1.0),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 1, 1.0),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 1, 1.0),
+    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: v)? 2 0", 1, 1.0),
+    ("epl-1.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 1, 1.0),
+    ("cddl-1.0", "common development", "the contents of this file are subject to the terms of the common development and distribution license", 2, 0.9),
+    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain", 1, 1.0),
+    ("zlib", "as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", 2, 0.95),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 3, 0.9),
+    ("wtfpl", "do what the", "do what the f\\S+ you want to public license", 1, 1.0),
+    ("ncsa", "deal with the software", "deal with the software without restriction including without limitation", 3, 0.85),
+    ("postgresql", "without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 1, 1.0),
+    ("psf-2", "python software foundation", "psf hereby grants licensee a nonexclusive royalty free world wide license", 2, 0.9),
+    ("artistic-2.0", "artistic", "this is free software licensed under the artistic license 2 0", 1, 1.0),
+    ("ofl-1.1", "open font", "this font software is licensed under the sil open font license version 1 1", 1, 1.0),
+    ("cc0-1.0", "extent possible under law", "to the extent possible under law .{1,120}? has waived all copyright and related or neighboring rights", 2, 0.95),
+    ("cc0-1.0", "waived all copyright", "has waived all copyright and related or neighboring rights", 3, 0.9),
+    ("cc-by-4.0", "creativecommons org", "creativecommons org licenses by 4 0", 2, 0.95),
+    ("cc-by-sa-4.0", "creativecommons org", "creativecommons org licenses by sa 4 0", 2, 0.95),
+    ("cc-by-sa-3.0", "creativecommons org", "creativecommons org licenses by sa 3 0", 2, 0.95),
+    ("cc-by-nc-4.0", "creativecommons org", "creativecommons org licenses by nc 4 0", 2, 0.95),
+    ("cc-by-nc-sa-4.0", "creativecommons org", "creativecommons org licenses by nc sa 4 0", 2, 0.95),
+    ("cc-by-nd-4.0", "creativecommons org", "creativecommons org licenses by nd 4 0", 2, 0.95),
+    ("cc-by-nc-nd-4.0", "creativecommons org", "creativecommons org licenses by nc nd 4 0", 2, 0.95),
+    ("cc0-1.0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 2, 0.95),
+)
+
 _RULE = "array<struct<keyword:string,pattern:string,label:string,priority:int,sure:double>>"
 _SPAN = "array<struct<start:int,len:int,priority:int,label:string,sure:double>>"
+_PLACED = "array<struct<start:int,shorter:int,priority:int,label:string,sure:double>>"
+#: Put before the first word of a match; no word holds it.
+_MARK = "\x01"
 
 
 def rules() -> list[dict]:
-    """Every family in every form: pattern, label, keyword, priority and how sure it is, most sure first."""
+    """Every family in every form, and the signatures: pattern, label, keyword, priority and how sure it is, by priority."""
     out = [{"keyword": kw, "pattern": f"(?<= )(?:{form.replace('{}', '(?:' + name + ')')})(?= )", "label": label, "priority": p, "sure": sure} for label, kw, name in FAMILIES for form, p, sure in FORMS]
+    out += [{"keyword": kw, "pattern": f"(?<= )(?:{wording})(?= )", "label": label, "priority": p, "sure": sure} for label, kw, wording, p, sure in SIGNATURES]
     return sorted(out, key=lambda r: (r["priority"], r["label"], r["pattern"]))
 
 
+def gates() -> list[str]:
+    """Words of which every text that some rule accepts holds one."""
+    return list(dict.fromkeys([*KEYWORDS, *(kw for _, kw, _, _, _ in SIGNATURES)]))
+
+
 def words(text: Column) -> Column:
     """A-Z lower-cased, and every run of characters that are part of no word made one blank; a blank before and after."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,40 +160,37 @@ def _blanks(x: Column) -> Column:
 def _spans(line: Column, pattern: Column, priority: Column, label: Column, sure: Column) -> Column:
     """Where the pattern matches: first word and number of words, from the pieces between the matches."""
     hits = F.regexp_extract_all(line, pattern, F.lit(0))
-    parts = F.arrays_zip(F.split(line, pattern).alias("gap"), hits.alias("hit"))
-    parts = F.filter(parts, lambda x: x["hit"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        at, n = s["at"] + _blanks(x["gap"]), _blanks(x["hit"]) + 1
-        one = F.struct((at - 1).alias("start"), n.alias("len"), priority.alias("priority"), label.alias("label"), sure.alias("sure"))
-        return F.struct((at + n - 1).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(parts, zero, step, lambda s: s["out"])
+    marked = F.split(F.regexp_replace(line, pattern, F.concat(F.lit(_MARK), F.lit("$0"))), F.lit(" "))
+    at = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(_MARK)), i)), lambda i: i.isNotNull())
+    one = lambda x: F.struct((x["at"] - 1).alias("start"), (_blanks(x["hit"]) + 1).alias("len"), priority.alias("priority"), label.alias("label"), sure.alias("sure"))
+    return F.transform(F.arrays_zip(at.alias("at"), hits.alias("hit")), one)
 
 
 def _resolved(spans: Column) -> Column:
     """Without detections inside others, and of two that overlap under different labels only the one of higher priority."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["len"]).alias("shorter"), s["priority"].alias("priority"), s["label"].alias("label"), s["sure"].alias("sure"))))
-    one = "struct<start:int,shorter:int,priority:int,label:string,sure:double>"
-    zero = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.lit(None).cast(one).alias("last"))
+    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["len"]).alias("shorter"), s["priority"].alias("priority"), s["label"].alias("label"), s["sure"].alias("sure"))))
+    zero = F.struct(F.array().cast(_PLACED).alias("done"), F.lit(-1).alias("end"))
+
+    def outer(s: Column, x: Column) -> Column:  # whether any that begins before, or there and is longer or of higher priority, ends later
+        end = x["start"] - x["shorter"]
+        return F.when(end <= s["end"], s).otherwise(F.struct(F.concat(s["done"], F.array(x)).alias("done"), end.alias("end")))
+
+    outermost = F.aggregate(by_place, zero, outer, lambda s: s["done"])
+    by_priority = F.array_sort(F.transform(outermost, lambda s: F.struct(s["priority"].alias("priority"), s["start"].alias("start"), s["shorter"].alias("shorter"), s["label"].alias("label"), s["sure"].alias("sure"))))
 
-    def step(s: Column, x: Column) -> Column:
-        last = s["last"]
-        end, own = last["start"] - last["shorter"], x["start"] - x["shorter"]
-        apart = F.struct(F.when(last.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(last))).alias("done"), x.alias("last"))
-        better = F.struct(s["done"].alias("done"), x.alias("last"))
-        clash = (x["start"] < end) & (x["label"] != last["label"])
-        return F.when(last.isNull() | (x["start"] >= end), apart).when(own <= end, s).when(clash & (x["priority"] < last["priority"]), better).when(clash, s).otherwise(apart)
+    def first(kept: Column, x: Column) -> Column:
+        clash = F.exists(kept, lambda y: (y["label"] != x["label"]) & (y["start"] < x["start"] - x["shorter"]) & (x["start"] < y["start"] - y["shorter"]))
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(F.struct(*[x[c].alias(c) for c in ("start", "shorter", "priority", "label", "sure")]))))
 
-    return F.aggregate(order, zero, step, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
+    several = F.size(F.array_distinct(F.transform(outermost, lambda s: s["label"]))) > 1
+    return F.when(several, F.array_sort(F.aggregate(by_priority, F.array().cast(_PLACED), first))).otherwise(outermost)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`row`, the row of docs, and `found`: n_words, base (places of the base phrases) and detections.
 
     base and detections: arrays of (start, len, priority, label, sure), in words from 0. Null or empty text: no words,
-    nothing found. Each row is judged alone, so ties and repeated rows need no rule; no document gives no rows.
+    nothing found. Each row is judged alone, so repeated rows agree; no document gives no rows.
     """
     table = F.from_json(F.lit(json.dumps(rules())), _RULE)
     base_rules = [(f"(?<= )(?:{phrase})(?= )", label) for phrase, label in BASE]
@@ -145,10 +199,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.array().cast(_SPAN)
     base = F.concat(*[F.when(F.contains(line, F.lit(f" {phrase} ")), _spans(line, F.lit(p), F.lit(0), F.lit(label), F.lit(1.0))).otherwise(none) for (p, label), (phrase, _) in zip(base_rules, BASE, strict=True)])
     gate = F.lit(False)
-    for k in KEYWORDS:
+    for k in gates():
         gate = gate | F.contains(line, F.lit(k))
     tried = F.filter(table, lambda r: F.contains(line, r["keyword"]) & F.regexp_like(line, r["pattern"]))
-    detections = F.when(gate, _resolved(F.flatten(F.transform(tried, lambda r: _spans(line, r["pattern"], r["priority"], r["label"], r["sure"]))))).otherwise(F.array().cast("array<struct<start:int,shorter:int,priority:int,label:string,sure:double>>"))
+    detections = F.when(gate, _resolved(F.flatten(F.transform(tried, lambda r: _spans(line, r["pattern"], r["priority"], r["label"], r["sure"]))))).otherwise(F.array().cast(_PLACED))
     found = F.transform(detections, lambda d: F.struct(d["start"].alias("start"), (-d["shorter"]).alias("len"), d["priority"].alias("priority"), d["label"].alias("label"), d["sure"].alias("sure")))
     n_words = F.when(F.trim(line) == "", F.lit(0)).otherwise(_blanks(line) - 1)
     return lines.select("row", F.struct(n_words.cast("long").alias("n_words"), base.alias("base"), found.alias("detections")).alias("found"))
@@ -171,3 +225,20 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         joined(names(F.concat(base, more))).alias("labels"),
         F.coalesce(sure, F.lit(0.0)).alias("score"),
     )
+
+
+#: The base columns, which SQL can express; labels and score come from the rules and are compared with a plain version in the tests.
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (
+  SELECT doc_id, len(w) AS n,
+         [i FOR i IN range(1, len(w) + 1) IF array_to_string(w[i : i + 3], ' ') = 'under the mit license'] AS a,
+         [i FOR i IN range(1, len(w) + 1) IF array_to_string(w[i : i + 3], ' ') = 'apache license version 2'] AS b,
+         [i FOR i IN range(1, len(w) + 1) IF array_to_string(w[i : i + 2], ' ') = 'cc by nc'] AS c
+  FROM d)
+SELECT doc_id, n::BIGINT AS n_words, len(a) + len(b) + len(c) AS n_base, list_min(a || b || c) - 1 AS first_word, list_max(a || b || c) - 1 AS last_word,
+       array_to_string(list_filter([CASE WHEN len(b) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(a) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels
+FROM p
+"""

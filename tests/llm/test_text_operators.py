@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -425,6 +426,47 @@ def test_every_form_passes_the_gate(spark):
     assert {r["doc_id"]: r["labels"] for r in got} == {i: label for i, (_, label) in texts.items()}
 
 
+LICENSED = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "SPDX-License-Identifier: Apache-2.0 OR MIT",
+    "licensed under the terms of the GNU General Public License version 2 license MIT license apache 2",
+    "the mit license apache 2 license gpl 3 license " * 3,
+    "This program is free software: under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "subject to the terms of the mit license subject to the mit license",
+    "to the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights",
+    "no license is named here, x11 and mit alone are words",
+    None,
+    "",
+]
+
+
+def test_licenses_agree_with_a_plain_version(spark, monkeypatch):
+    texts = [*LICENSED, *LICENSED[:2], "filler " * 30_000 + LICENSED[0], *(" ".join(random.Random(i).choices("mit license apache 2 gpl 3 the under licensed released is bsd clause subject to".split(), k=40)) for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("row", F.lit(1)).withColumn("found", F.lit(2)).repartition(3)
+
+    def scanned():
+        rows = licenses.scan(df).select("row.doc_id", "found.n_words", "found.detections").collect()
+        return {r["doc_id"]: (r["n_words"], [tuple(x) for x in r["detections"]]) for r in rows}
+
+    got = scanned()
+    assert got == {i: (len(brute.letters(t)), brute.detections(t, licenses.rules())) for i, t in enumerate(texts)}
+    label = lambda i: {x[3] for x in got[i][1]}
+    assert label(0) == {"mit"} and label(1) == {"bsd"} and label(2) == {"apache-2"} and label(5) == {"gpl-3.0"} and label(7) == {"cc0-1.0"} and not label(8)
+    monkeypatch.setattr(licenses, "gates", lambda: [" "])  # every text passes, and every rule is tried
+    open_ = [{**r, "keyword": " "} for r in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: open_)
+    assert scanned() == got
+
+
+def test_base_columns_match_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    got = queries.op9_licenses(spark, SF).select(*cols).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(licenses.BASE_SQL).fetchall(), key=str) and any(r["n_base"] for r in got)
+
+
 def test_contained_detections_are_dropped(spark):
     df = spark.createDataFrame([(1, "licensed under the terms of the gnu lesser general public license version 2.1")], DOCS)
     d = licenses.scan(df).select("found.detections").first()[0]
