@@ -20,25 +20,37 @@ from optiqal.functions.graph import written
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
 
+def _fits(value: Column, schema: str | Mapping) -> Column:
+    """Whether a variant fits a schema; false for null."""
+    if isinstance(schema, str):
+        schema = {"type": schema}
+    fits = F.coalesce(F.regexp_like(F.schema_of_variant(value), F.lit(f"^(?:{TYPES[schema.get('type', 'object')]})$")), F.lit(False))
+    if "enum" in schema:
+        fits = fits & F.coalesce(F.try_variant_get(value, "$", "string").isin(*[str(x) for x in schema["enum"]]), F.lit(False))
+    if "items" in schema:
+        fits = fits & F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: _fits(x, schema["items"])), F.lit(False))
+    if "properties" in schema:
+        for field, kind in schema["properties"].items():
+            found = F.try_variant_get(value, f"$['{field}']", "variant")
+            fits = fits & (_fits(found, kind) if field in schema.get("required", ()) else found.isNull() | _fits(found, kind))
+        if not schema.get("additional", False):
+            known = F.array(*[F.lit(f) for f in schema["properties"]]).cast("array<string>")
+            keys = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
+            fits = fits & (F.size(F.array_except(keys, known)) == 0)
+    return fits
+
+
 def valid_arguments(name: Column, arguments: Column, schemas: Mapping[str, Mapping]) -> Column:
     """Whether the arguments (JSON text) are an object that fits the schema of the tool of that name.
 
-    schemas: name -> {"properties": {field: type}, "required": [field], "additional": bool}. False for unknown tools, null
-    names, null or malformed text, doubled keys, missing required fields, wrong types, and further fields unless allowed.
+    schemas: name -> {"properties": {field: schema}, "required": [field], "additional": bool}; a field's schema is a type or
+    {"type", "enum", "items", "properties", "required", "additional"}. False for unknown tools, null names, null or malformed
+    text, doubled keys, missing required fields, wrong types or values, and further fields unless allowed.
     """
     value = F.try_parse_json(arguments)
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
     out = F.lit(False)
     for tool, schema in schemas.items():
-        fits = is_object
-        for field, kind in schema["properties"].items():
-            found = F.try_variant_get(value, f"$['{field}']", "variant")
-            right = F.coalesce(F.regexp_like(F.schema_of_variant(found), F.lit(f"^(?:{TYPES[kind]})$")), F.lit(False))
-            fits = fits & (right if field in schema.get("required", ()) else found.isNull() | right)
-        if not schema.get("additional", False):
-            known = F.array(*[F.lit(f) for f in schema["properties"]]).cast("array<string>")
-            fits = fits & (F.size(F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), known)) == 0)
-        out = F.when(name == tool, fits).otherwise(out)
+        out = F.when(name == tool, _fits(value, schema)).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
@@ -99,6 +111,7 @@ def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Mappin
     share an identifier the one with the least turn (then text) counts; null identifiers take no part. level: see levels; null
     on cycles. position: rank in the conversation by level and turn, from 0, cycles last and orphans null. message: canonical
     JSON, keys sorted, with null for what is missing; malformed arguments are kept as a string.
+    level takes as many rounds as calls with several needs follow one another, besides those of levels() for chains.
     """
     key = ["conv_id", "call_id"]
     whole = lambda df: df.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull())
@@ -110,31 +123,48 @@ def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Mappin
     x = x.withColumn("position", F.when(F.col("called"), F.row_number().over(order) - 1).cast("long"))
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked")
     x = x.withColumn("status", status).withColumn("valid", valid_arguments(F.col("name"), F.col("arguments"), schemas))
-    arguments = F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text"))))
+    as_text = F.try_variant_get(F.try_parse_json(F.to_json(F.struct(F.col("arguments").alias("text")))), "$.text", "variant")
+    arguments = F.coalesce(F.try_parse_json("arguments"), as_text)
     body = F.struct(arguments.alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("position").alias("position"), F.col("content").alias("result"), F.col("status").alias("status"))
     return x.select(*key, "status", F.col("level").cast("long").alias("level"), "position", "valid", F.to_json(body, {"ignoreNullFields": "false"}).alias("message"))
 
 
-#: The tool as which an assistant's turn is read.
-ANSWER = {"answer": {"properties": {"turn": "integer", "words": "integer", "text": "string"}, "required": ["turn", "words", "text"]}}
+#: The tool as which an assistant's turn is read. It takes answers of up to LONG words only.
+LONG = 160
+ANSWER = {
+    "answer": {
+        "properties": {
+            "turn": "integer",
+            "text": "string",
+            "words": {"type": "object", "properties": {"count": "integer", "size": {"type": "string", "enum": ["short", "medium"]}}, "required": ["count", "size"]},
+            "after": {"type": "array", "items": {"type": "string", "enum": ["user", "system", "tool"]}},
+        },
+        "required": ["turn", "text", "words", "after"],
+    }
+}
 
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and needs of plain conversations (conv_id, turn, role, text).
 
-    Each assistant turn is a call of the tool `answer`, its result is the text of the next turn, and it needs the call of the
-    assistant turn before it. Null text is an empty one.
+    Each assistant turn is a call of the tool `answer`; its arguments name the role of the turn before and the answer's size.
+    Every other turn is the result of the call in the turn before it, and an orphan if that is no call. A call needs the one
+    before it, and the last of a conversation the first one too. Null text is an empty one.
     """
     own = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     x = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    x = x.withColumn("nth", F.row_number().over(own)).withColumn("next_text", F.lead("text").over(own)).withColumn("next_turn", F.lead("turn").over(own))
-    said = x.where("role = 'assistant'").withColumn("call_id", F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), F.col("nth").cast("string")))
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    calls = said.select("conv_id", "call_id", "turn", F.lit("answer").alias("name"), F.to_json(F.struct("turn", words.alias("words"), "text")).alias("arguments"))
-    results = said.where("next_turn is not null").select("conv_id", "call_id", F.col("next_turn").alias("turn"), F.col("next_text").alias("content"))
-    before = F.lag("call_id").over(W.partitionBy("conv_id").orderBy("nth"))
-    needs = said.select("conv_id", "call_id", before.alias("need")).where("need is not null")
-    return calls, results, needs
+    x = x.withColumn("nth", F.row_number().over(own)).withColumn("role_before", F.lag("role").over(own))
+    called = lambda n: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), n.cast("string"))
+    said = x.where("role = 'assistant'").withColumn("call_id", called(F.col("nth")))
+    count = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    size = F.when(count < LONG // 2, "short").when(count <= LONG, "medium").otherwise("long")
+    after = F.when(F.col("role_before").isNull(), F.array().cast("array<string>")).otherwise(F.array("role_before"))
+    calls = said.select("conv_id", "call_id", "turn", F.lit("answer").alias("name"), F.to_json(F.struct("turn", "text", F.struct(count.alias("count"), size.alias("size")).alias("words"), after.alias("after"))).alias("arguments"))
+    results = x.where("role <> 'assistant'").select("conv_id", called(F.col("nth") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    in_turn, ends = W.partitionBy("conv_id").orderBy("nth"), W.partitionBy("conv_id").orderBy("nth").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = said.select("conv_id", "call_id", F.lag("call_id").over(in_turn).alias("before"), F.first("call_id").over(ends).alias("first"), F.last("call_id").over(ends).alias("last"))
+    needs = placed.select("conv_id", "call_id", F.explode(F.when(F.col("call_id") == F.col("last"), F.array_distinct(F.array("before", "first"))).otherwise(F.array("before"))).alias("need"))
+    return calls, results, needs.where("need is not null and need <> call_id")
 
 
 ORACLE_SQL = r"""
@@ -142,15 +172,23 @@ WITH x AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 n AS (
-  SELECT *, row_number() OVER w AS nth, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
+  SELECT *, row_number() OVER w AS nth, lag(role) OVER w AS role_before, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS count
   FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 s AS (
   SELECT *, 'call-' || conv_id || '-' || nth AS call_id, row_number() OVER (PARTITION BY conv_id ORDER BY nth) - 1 AS level,
-         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
-         CASE WHEN next_turn IS NULL THEN 'unanswered' WHEN next_turn < turn THEN 'early' ELSE 'linked' END AS status
-  FROM n WHERE role = 'assistant')
-SELECT conv_id, call_id, status, level, level AS position, true AS valid,
-       to_json({'arguments': {'text': text, 'turn': turn, 'words': words}, 'id': call_id, 'name': 'answer',
-                'position': level, 'result': next_text, 'status': status})::VARCHAR AS message
-FROM s
+         CASE WHEN count < 80 THEN 'short' WHEN count <= 160 THEN 'medium' ELSE 'long' END AS size,
+         CASE WHEN role_before IS NULL THEN [] ELSE [role_before] END AS after,
+         next_role IS NOT NULL AND next_role <> 'assistant' AS answered
+  FROM n WHERE role = 'assistant'),
+c AS (
+  SELECT *, CASE WHEN NOT answered THEN 'unanswered' WHEN next_turn < turn THEN 'early' ELSE 'linked' END AS status FROM s)
+SELECT conv_id, call_id, status, level, level AS position, size <> 'long' AND (role_before IS NULL OR role_before IN ('user', 'system', 'tool')) AS valid,
+       to_json({'arguments': {'after': after, 'text': text, 'turn': turn, 'words': {'count': count, 'size': size}}, 'id': call_id, 'name': 'answer',
+                'position': level, 'result': CASE WHEN answered THEN next_text END, 'status': status})::VARCHAR AS message
+FROM c
+UNION ALL
+SELECT conv_id, 'call-' || conv_id || '-' || (nth - 1), 'orphan', NULL, NULL, false,
+       to_json({'arguments': NULL, 'id': 'call-' || conv_id || '-' || (nth - 1), 'name': NULL, 'position': NULL, 'result': text, 'status': 'orphan'})::VARCHAR
+FROM n WHERE role <> 'assistant' AND coalesce(role_before, '') <> 'assistant'
 """

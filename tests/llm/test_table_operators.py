@@ -250,7 +250,20 @@ def test_tool_calls(spark):
     m = got[1, "x"]["message"]
     assert m == json.dumps(json.loads(m), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert json.loads(m) == {"arguments": {"a": 1, "b": "é"}, "id": "x", "name": "t", "position": 3, "result": "r0", "status": "linked"}
-    assert json.loads(got[1, "z"]["message"])["arguments"] == {"text": "{broken"}
+    assert json.loads(got[1, "z"]["message"])["arguments"] == "{broken"
+
+
+def test_nested_schemas(spark):
+    point = {"type": "object", "properties": {"x": "integer", "unit": {"type": "string", "enum": ["m", "km"]}}, "required": ["x"]}
+    schema = {"t": {"properties": {"p": point, "many": {"type": "array", "items": point}, "any": {"type": "object"}, "n": {"type": "integer", "enum": [1, 2]}}, "required": ["p"]}}
+    cases = {
+        '{"p":{"x":1}}': True, '{"p":{"x":1,"unit":"km"},"any":{"free":[1]},"n":2}': True, '{"p":{"x":1},"many":[{"x":2},{"x":3,"unit":"m"}]}': True, '{"p":{"x":1},"many":[]}': True,
+        '{"p":{"x":"1"}}': False, '{"p":{"unit":"m"}}': False, '{"p":{"x":1,"unit":"mile"}}': False, '{"p":{"x":1,"y":1}}': False, '{"p":{"x":1},"many":[{"x":2},{"x":"3"}]}': False,
+        '{"p":{"x":1},"many":{"x":2}}': False, '{"p":{"x":1},"n":3}': False, '{"p":null}': False, '{}': False, '[]': False, '"p"': False, '': False,
+    }
+    df = spark.createDataFrame([("t", k) for k in cases] + [("t", None), (None, "{}"), ("other", '{"p":{"x":1}}')], "name string, arguments string")
+    got = [r[0] for r in df.select(toolcalls.valid_arguments(F.col("name"), F.col("arguments"), schema)).collect()]
+    assert got == [*cases.values(), False, False, False]
 
 
 def test_levels_of_any_graph(spark):
@@ -275,6 +288,10 @@ def test_levels_of_any_graph(spark):
 def test_tool_calls_without_rows(spark):
     e = [spark.createDataFrame([], s) for s in (CALLS, RESULTS, NEEDS)]
     assert toolcalls.link(*e, TOOL).count() == 0
+    turns = [(1, 1, "user", "a"), (1, 2, "user", "b"), (1, 3, "assistant", "c " * 200), (1, 4, "assistant", None), (1, 4, "user", "d"), (None, 1, "user", "e"), (2, None, "user", "f"), (3, 1, "assistant", "g"), (1, 9, None, "h")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(7))
+    got = {(r["call_id"], r["status"], r["level"], r["valid"]) for r in toolcalls.link(*toolcalls.from_conversations(df), toolcalls.ANSWER).collect()}
+    assert got == {("call-1-0", "orphan", None, False), ("call-1-1", "orphan", None, False), ("call-1-3", "unanswered", 0, False), ("call-1-4", "linked", 1, False), ("call-1-5", "orphan", None, False), ("call-3-1", "unanswered", 0, True)}
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
