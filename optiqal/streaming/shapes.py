@@ -25,7 +25,11 @@ def issues(shapes: DataFrame) -> DataFrame:
 
 
 def class_counts(shapes: DataFrame, time: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """window, label, n: shapes per label and time window; rows later than `late` are left out."""
+    """window, label, n: shapes per label and time window; rows later than `late` are left out.
+
+    Times may be dates, timestamps, or timestamps without a zone, which are taken to be in the session's: watermarks need a zone.
+    """
+    shapes = shapes.withColumn(time, F.col(time).cast("timestamp_ltz"))
     return shapes.withWatermark(time, late).groupBy(F.window(time, width), "label").agg(F.count("*").alias("n"))
 
 

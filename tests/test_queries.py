@@ -59,7 +59,9 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.write(stream.prepared(stream.read_shapes(spark, str(tmp_path / "in"), batch.schema)), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == stream.prepared(batch).count()
-    n = stream.class_counts(stream.read_shapes(spark, str(tmp_path / "in"), batch.schema), "l_shipdate", "365 days", "100000 days")
-    m = n.writeStream.format("memory").queryName("n").outputMode("complete").trigger(availableNow=True).start()
-    m.awaitTermination(120)
-    assert spark.sql("select sum(n) from n").first()[0] == batch.count()
+    for kind in ("timestamp_ntz", "timestamp"):
+        rows = stream.read_shapes(spark, str(tmp_path / "in"), batch.schema)
+        n = stream.class_counts(rows.withColumn("l_shipdate", rows["l_shipdate"].cast(kind)), "l_shipdate", "365 days", "100000 days")
+        m = n.writeStream.format("memory").queryName(f"n_{kind}").outputMode("complete").trigger(availableNow=True).start()
+        m.awaitTermination(120)
+        assert spark.sql(f"select sum(n) from n_{kind}").first()[0] == batch.count()
