@@ -4,7 +4,8 @@ A document's set is its distinct five-word shingles. Documents with equal sets a
 signature begins with other components; nodes that agree in the first DEPTH of them form a region. A region with many
 nodes goes deeper, by its size, and is walked in signature order, so that a node meets those with which it shares the
 longest prefixes. Candidates are linked only if their full sets, compared shingle by shingle, are similar enough. What this
-walk passes over is looked at again: of each region at DEPTH, in blocks, all pairs that links have not yet brought together.
+walk passes over is looked at again: the full sets of each region at DEPTH that links have not yet brought together meet in
+blocks, all against all, and only links that join classes leave the task.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ ROOMY = 1024
 WINDOW = 512
 #: In a window of more nodes than this, a node keeps its nearest ones and the two that are nearest to all.
 NEAREST = 6
+#: Elements of the sets of a block, in all, when whole regions are compared.
+_BLOCK_SET = 1 << 17
 #: Share of agreeing components from which a candidate is compared in full; 0.75 is 4.5 standard deviations above it.
 HOPEFUL = 0.55
 
@@ -198,13 +201,13 @@ def _linked(percent: int):
 def describe(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, node, sig and keys of each document."""
     small_batches(docs.sparkSession)
-    x = docs.select(docs[key_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return x.mapInArrow(_described, "doc_id long, n_shingles long, node binary, sig binary, keys array<long>")
+    x = docs.select(docs[key_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return x.mapInArrow(_described, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, sig binary, keys array<long>")
 
 
 def nodes(described: DataFrame) -> DataFrame:
-    """node, sig and keys of each set."""
-    return written(described.where("node is not null").groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")), "nodes")
+    """node, size, sig and keys of each set."""
+    return written(described.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "nodes")
 
 
 def candidates(node: DataFrame) -> DataFrame:
@@ -217,46 +220,86 @@ def candidates(node: DataFrame) -> DataFrame:
     return walked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _apart(group: pa.Table) -> pa.Table:
-    """Hopeful pairs of two blocks (or within one) of a region whose nodes have different labels."""
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, K)
-    label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
-    block, nodes = group.column("block").to_numpy(), group.column("node")
-    left = np.flatnonzero(block == block.min())
-    right = np.flatnonzero(block != block.min()) if (block != block.min()).any() else left
-    if group.column("lo")[0].as_py() != group.column("hi")[0].as_py() and right is left:
-        left = right = left[:0]  # the other block is empty
-    like = np.zeros((len(left), len(right)), np.int16)
-    for k in range(K):
-        like += sig[left, k][:, None] == sig[right, k][None, :]
-    i, j = np.nonzero((like >= HOPEFUL * K) & (label[left][:, None] != label[right][None, :]))
-    i, j = left[i], right[j]
-    once = (i < j) if right is left else np.ones(len(i), bool)
-    return pa.table({"a": nodes.take(pa.array(i[once])), "b": nodes.take(pa.array(j[once]))})
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """How many elements each set of left has in common with each of right, by products of 0/1 matrices, some columns at a time."""
+    rows = np.concatenate([left, right[~np.isin(right, left)]])
+    place = {r: i for i, r in enumerate(rows.tolist())}
+    owner = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+    _, which, n = np.unique(np.concatenate([np.zeros(0, _U), *(sets[r] for r in rows)]), return_inverse=True, return_counts=True)
+    often = n > 1  # what one set alone has is in no intersection
+    number = np.cumsum(often) - 1
+    keep = often[which]
+    owner, which = owner[keep], number[which[keep]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    out = np.zeros((len(left), len(right)))
+    i, j = [place[x] for x in left.tolist()], [place[x] for x in right.tolist()]
+    for at in range(0, int(often.sum()), columns):
+        a, b = np.searchsorted(which, [at, at + columns])
+        m = np.zeros((len(rows), columns), np.float32)
+        m[owner[a:b], which[a:b] - at] = 1
+        out += m[i] @ m[j].T
+    return out
+
+
+def _joined(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Pairs of labels that links between two blocks (or within one) of a region join; no more than labels are."""
+        sets = [np.frombuffer(x.as_buffer(), _U) for x in group.column("full")]
+        names, label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)
+        block = group.column("block").to_numpy()
+        left = np.flatnonzero(block == group.column("lo")[0].as_py())
+        right = np.flatnonzero(block == group.column("hi")[0].as_py())
+        size = np.array([len(x) for x in sets])
+        common = shared_counts(sets, left, right) if len(left) and len(right) else np.zeros((len(left), len(right)))
+        alike = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        i, j = np.nonzero(alike & (label[left][:, None] != label[right][None, :]))
+        least = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while least[x] != x:
+                least[x] = x = least[least[x]]
+            return x
+
+        found = []
+        for x, y in np.unique(np.sort(np.stack([label[left[i]], label[right[j]]]), axis=0), axis=1).T.tolist():
+            p, q = root(x), root(y)
+            if p != q:
+                least[max(p, q)] = min(p, q)
+                found.append((names[x], names[y]))
+        return pa.table({"x": pa.array([a for a, _ in found], pa.binary()), "y": pa.array([b for _, b in found], pa.binary())})
+
+    return run
 
 
-def passed_over(node: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b), a < b: all hopeful pairs of nodes with different labels (node, label) that share a region at DEPTH.
+def passed_over(docs: DataFrame, described: DataFrame, node: DataFrame, labels: DataFrame, percent: int = 75, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """(x, y): labels that links join, of nodes (node, label) that share a region at DEPTH.
 
     Regions that the walk takes as one small window are whole already, and those of one label have nothing to join.
     """
-    keys = node.select("node", F.explode("keys").alias("key")).join(labels, "node")
-    mixed = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-    mixed = mixed.where((F.col("n") > NEAREST + 2) & (F.col("least") != F.col("most"))).select("key", F.ceil(F.col("n") / WINDOW).alias("blocks"))
-    met = keys.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label").join(node.select("node", "sig"), "node")
-    pairs = met.groupBy("key", "lo", "hi").applyInArrow(_apart, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = node.select("node", "size", "keys").join(labels, "node")
+    kinds = known.select(F.explode("keys").alias("key"), F.xxhash64("label").alias("kind"), "size").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("kind").alias("least"), F.max("kind").alias("most"))
+    blocks = F.ceil(F.greatest(F.col("n") / WINDOW, F.col("total") / _BLOCK_SET))
+    mixed = written(kinds.where((F.col("n") > NEAREST + 2) & (F.col("least") != F.col("most"))).select("key", blocks.alias("blocks")), "mixed")
+    met = written(known.select("node", "label", F.explode("keys").alias("key")).join(mixed, "key"), "met")
+    met_sets = full_sets(docs, described, met.select("node").distinct(), text_col, key_col)
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label").join(met_sets, "node")
+    return met.groupBy("key", "lo", "hi").applyInArrow(_joined(percent), "x binary, y binary").distinct()
+
+
+def full_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """(node, full) of the nodes wanted, each once, from the text of one document that has the set."""
+    holder = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
+    text = docs.select(docs[key_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    full = text.join(holder, "doc_id").select("node", "text").mapInArrow(_full_sets, "node binary, full binary")
+    return written(full.groupBy("node").agg(F.first("full").alias("full")), "sets")
 
 
 def links(docs: DataFrame, described: DataFrame, pairs: DataFrame, percent: int = 75, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """(a, b): those of the pairs whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    holder = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    text = docs.select(docs[key_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    full = text.join(holder, "doc_id").select("node", "text").mapInArrow(_full_sets, "node binary, full binary")
-    full = written(full.groupBy("node").agg(F.first("full").alias("full")), "sets")
+    full = full_sets(docs, described, wanted, text_col, key_col)
     x = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("full_a")), "a").join(full.select(F.col("node").alias("b"), F.col("full").alias("full_b")), "b")
     return x.mapInArrow(_linked(percent), "a binary, b binary")
 
@@ -266,17 +309,14 @@ def classes(docs: DataFrame, percent: int = 75, text_col: str = "text", key_col:
 
     Null, empty or blank text: no shingles, linked with nothing, kept. Fewer than five words: the whole sequence is the
     one shingle. Equal sets are linked. Rows that share a doc_id are judged by their own texts and are all kept if it is
-    the smallest. Null doc_ids are linked but name no component: alone, theirs is null and they are kept.
+    the smallest. doc_ids may be of any type that has an order. Null doc_ids are linked but name no component: alone, theirs is null and they are kept.
     """
     described = written(describe(docs, text_col, key_col), "described")
     node = nodes(described)
     pairs = written(candidates(node), "pairs")
     found = components(links(docs, described, pairs, percent, text_col, key_col))
     labels = written(node.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "labels")
-    rest = written(passed_over(node, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = links(docs, described, rest, percent, text_col, key_col)
-    more = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-    wider = components(more, "x", "y").select(F.col("node").alias("label"), "component")
+    wider = components(passed_over(docs, described, node, labels, percent, text_col, key_col), "x", "y").select(F.col("node").alias("label"), "component")
     own = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = own.join(labels, "node").join(wider, "label", "left").withColumn("component", F.coalesce("component", "label"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -219,13 +219,42 @@ def test_one_link_between_two_tight_families(spark):
     assert got == brute.near_classes(rows) and {c for _, c in got.values()} == {100 * t for t in range(6)}
 
 
+def _region(rows):
+    """One region of rows (label, block, set), of which blocks lo and hi meet."""
+    labels, blocks, sets = zip(*rows, strict=True)
+    return {"label": pa.array([bytes([x]) for x in labels], pa.binary()), "block": pa.array(blocks, pa.int64()), "full": pa.array([np.array(sorted(x), np.uint64).tobytes() for x in sets], pa.binary())}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1), st.sets(st.integers(0, 9), min_size=1)), min_size=1, max_size=14))
+def test_regions_join_the_labels_that_links_join(rows):
+    from functools import reduce
+
+    for lo, hi in ((0, 0), (0, 1)):
+        own = [r for r in rows if r[1] in (lo, hi)]
+        if own:
+            got = neardup._joined(75)(pa.table(_region(own) | {"lo": pa.array([lo] * len(own)), "hi": pa.array([hi] * len(own))}))
+            found = list(zip((x[0] for x in got.column("x").to_pylist()), (x[0] for x in got.column("y").to_pylist()), strict=True))
+            linked = {(a[0], b[0]) for a in own for b in own if {a[1], b[1]} == {lo, hi} and 100 * len(a[2] & b[2]) >= 75 * len(a[2] | b[2])}
+            classes = lambda pairs: {frozenset(c) for c in reduce(lambda cs, p: [c for c in cs if not c & set(p)] + [set(p).union(*(c for c in cs if c & set(p)))], pairs, [{x[0]} for x in own])}
+            assert classes(found) == classes(linked) and len(found) < 6
+
+
 def test_regions_are_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "WINDOW", 4)
-    sig = np.zeros(neardup.K, np.uint32).tobytes()
-    node = spark.createDataFrame([(bytes([i]), sig, [7]) for i in range(30)], "node binary, sig binary, keys array<long>")
-    labels = spark.createDataFrame([(bytes([i]), bytes([i % 2])) for i in range(30)], "node binary, label binary")
-    got = sorted((r["a"][0], r["b"][0]) for r in neardup.passed_over(node, labels).collect())
-    assert got == [(i, j) for i in range(30) for j in range(i + 1, 30) if (i + j) % 2]
+    """Twenty classes of two tight groups each, 0.762 alike, on shared wording; blocks so small that each region has many."""
+    base = prose(700, 31).split()
+    rows = []
+    for c in range(20):
+        r = random.Random(c)
+        text = [f"{x}c{c}" if i in set(r.sample(range(0, 700, 7), 13)) else x for i, x in enumerate(base)]
+        far = [f"{x}far" if i % 36 == 1 and i < 660 else x for i, x in enumerate(text)]
+        for k in range(9):
+            for half, t in ((0, text), (9, far)):
+                rows.append((100 * c + half + k, " ".join(f"{x}v{k}" if i == 690 + k else x for i, x in enumerate(t))))
+    want = brute.near_classes(rows)
+    monkeypatch.setattr(neardup, "WINDOW", 16)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classes(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == want
 
 
 def test_near_duplicates_without_rows_and_ids(spark):
@@ -233,6 +262,8 @@ def test_near_duplicates_without_rows_and_ids(spark):
     t = prose(20, 1)
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.classes(spark.createDataFrame([(None, t), (4, t), (4, t), (None, None)], DOCS)).collect()), key=str)
     assert got == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (None, None, True)], key=str)
+    named = neardup.classes(spark.createDataFrame([("b", t), ("a", t), ("c", "other")], "doc_id string, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in named} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
 @settings(max_examples=40, deadline=None)
