@@ -172,7 +172,7 @@ class _Search:
                 items[d].update(t["items"][t["items_begin"][k] : t["items_begin"][k + 1]].tolist())
             # hits in a row, of one document: each such run is covered by itself
             cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (doc[1:] != doc[:-1])])) if len(p) else np.zeros(0, np.int64)
-            for a, b in zip(cut, [*cut[1:], len(p)], strict=True):
+            for a, b in zip(cut, np.append(cut[1:], len(p))[: len(cut)], strict=True):
                 i, end = 0, -1
                 while i < b - a:
                     item, start, size = _longest(own[a:b], i, t)

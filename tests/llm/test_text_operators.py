@@ -110,6 +110,9 @@ def test_repeated_words_are_not_listed_in_pairs(spark):
     found = decontamination.find_matches(docs, bench)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.digest(found).collect()}
     assert got == {1: (500_000, 500_000, 2), 2: (9, 0, 0), 3: (13, 11, 2)}
+    words = prose(30, 5)
+    begun = decontamination.find_matches(spark.createDataFrame([(1, " ".join(words.split()[:5]) + " and so on, to some other end than that")], DOCS), spark.createDataFrame([(1, words)], "item_id long, text string"))
+    assert begun.select("found.n_hit", "found.items", "found.matches").first() == (0, [], [])
     matches = {r["doc_id"]: r["matches"] for r in found.select("row.doc_id", "found.matches").collect()}
     assert len(matches[1]) <= 505 and [tuple(x) for x in matches[3]] == [("one", 0, 1, 11)]
 
