@@ -108,7 +108,7 @@ SIGNATURES = (
     ("epl-1.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 1, 1.0),
     ("cddl-1.0", "common development", "the contents of this file are subject to the terms of the common development and distribution license", 2, 0.9),
     ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain", 1, 1.0),
-    ("zlib", "as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", 2, 0.95),
+    ("zlib", "express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", 2, 0.95),
     ("zlib", "altered source versions", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 3, 0.9),
     ("wtfpl", "do what the", "do what the f\\S+ you want to public license", 1, 1.0),
     ("ncsa", "deal with the software", "deal with the software without restriction including without limitation", 3, 0.85),
