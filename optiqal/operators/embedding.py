@@ -44,10 +44,26 @@ def global_centroid_distance(df: DataFrame, vector: str = "clip_embeddings") ->
 
 
 def embedding_outliers(df: DataFrame, top_percent: float = 3, vector: str = "clip_embeddings") -> DataFrame:
-    """The n - int(n * (1 - top_percent / 100)) rows farthest from the centre."""
-    d = global_centroid_distance(df, vector)
-    n = d.count()
-    return d.orderBy(F.desc("distance"), "asset_id").limit(n - int(n * (1 - top_percent / 100)))
+    """The n - int(n * (1 - top_percent / 100)) rows farthest from the centre.
+
+    They are found by counts: in which of 1,000 distance classes the last one falls, and then by rank among that class's rows.
+    """
+    d = written(global_centroid_distance(df, vector), "distances")
+    n, least, most = d.agg(F.count("*"), F.min("distance"), F.max("distance")).first()
+    wanted = (n or 0) - int((n or 0) * (1 - top_percent / 100))
+    step = ((most or 0) - (least or 0)) / 1000 or 1.0
+    d = d.withColumn("cell", F.floor((c("distance") - F.lit(float(least or 0))) / F.lit(float(step))))
+    sizes = sorted(d.groupBy("cell").count().collect(), key=lambda r: (r["cell"] is None, -(r["cell"] or 0)))  # 1,002 rows at most
+    cell, above = None, 0
+    for r in sizes:
+        cell = r["cell"]
+        if above + r["count"] >= wanted:
+            break
+        above += r["count"]
+    if not wanted or cell is None:
+        return d.limit(0).drop("cell")
+    edge = d.where(c("cell") == cell).orderBy(F.desc("distance"), "asset_id").limit(wanted - above)
+    return d.where(c("cell") > cell).unionByName(edge).drop("cell")
 
 
 def similar_pairs(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_embeddings", exact: bool | None = None) -> DataFrame:
