@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiqal.functions.graph import components, written
+from optiqal.functions.near import near, units_of
 from optiqal.functions.quantiles import quantiles
-from optiqal.functions.vectors import distance, dot, mean_vectors, norm
+from optiqal.functions.vectors import distance, mean_vectors
 
 c = F.col
-#: Up to so many vectors are compared pair by pair; more go through locality-sensitive hashing, which may miss pairs.
-EXACT_ROWS = 20_000
 
 
 def class_centroids(df: DataFrame, vector: str = "shape_embeddings") -> DataFrame:
@@ -66,31 +61,25 @@ def embedding_outliers(df: DataFrame, top_percent: float = 3, vector: str = "cli
     return d.where(c("cell") > cell).unionByName(edge).drop("cell")
 
 
-def similar_pairs(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_embeddings", exact: bool | None = None) -> DataFrame:
-    """(a, b, cosine): pairs of assets with at least min_cosine. exact None: by the number of rows."""
-    x = df.where(c(vector).isNotNull() & (F.size(vector) > 0)).withColumn("len", norm(c(vector))).where("len > 0")
-    x = x.select(c("asset_id").alias("id"), F.transform(c(vector), lambda v: v.cast("double") / c("len")).alias("unit"))
-    if exact is None:
-        exact = x.count() <= EXACT_ROWS
-    if exact:
-        pairs = x.select(c("id").alias("a"), c("unit").alias("u")).join(x.select(c("id").alias("b"), c("unit").alias("v")), c("a") < c("b"))
-        return pairs.select("a", "b", dot(c("u"), c("v")).alias("cosine")).where(c("cosine") >= min_cosine)
-    radius = math.sqrt(2 - 2 * min_cosine)
-    v = written(x, "units").select("id", array_to_vector("unit").alias("features"))  # read again: no filter moves behind the conversion
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2 * radius, numHashTables=8, seed=42).fit(v)
-    near = lsh.approxSimilarityJoin(v, v, radius + 1e-9, "d").where("datasetA.id < datasetB.id")
-    return near.select(c("datasetA.id").alias("a"), c("datasetB.id").alias("b"), (1 - c("d") * c("d") / 2).alias("cosine")).where(c("cosine") >= min_cosine - 1e-12)
+def similar_pairs(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_embeddings") -> DataFrame:
+    """(a, b, cosine), a < b: pairs of assets with at least min_cosine (less 1e-12), exact at every size.
+
+    Of assets with one and the same direction only the smallest is compared; each of the others has a pair with it alone.
+    """
+    return near(units_of(df, vector), min_cosine, every_pair=True)
 
 
-def duplicate_clusters(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_embeddings", exact: bool | None = None) -> DataFrame:
+def duplicate_clusters(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_embeddings") -> DataFrame:
     """asset_id, cluster (its smallest asset): what DBSCAN with two samples makes of cosine distance in the original space.
 
     With min_samples = 2 every point that has a neighbour is a core point, so clusters are connected components of the pairs.
     The space is the vectors' own, with no projection to two dimensions before: a deliberate difference. Noise has no row.
     """
-    return components(similar_pairs(df, min_cosine, vector, exact)).select(c("node").alias("asset_id"), c("component").alias("cluster"))
+    links = near(units_of(df, vector), min_cosine, every_pair=False)
+    return components(links).select(c("node").alias("asset_id"), c("component").alias("cluster"))
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:
-    """cluster, n, members of the clusters of two and more."""
-    return clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("asset_id")).alias("members")).where("n > 1")
+    """cluster, n, asset_id: a row a member of the clusters of two and more. No cluster is gathered in one row."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    return clusters.join(sizes, "cluster").select("cluster", "n", "asset_id")

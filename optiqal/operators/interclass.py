@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from optiqal.functions.geometry import iou
+from optiqal.functions.graph import written
 
 c = F.col
 #: Images of more shapes than this are compared tile by tile; an image has TILES x TILES of them.
@@ -123,6 +124,7 @@ def _assets(shapes: DataFrame) -> DataFrame:
 
 def _enough(rows: DataFrame, least: int) -> DataFrame:
     """The rows of label pairs that have at least `least` of them."""
+    rows = written(rows, "rows-of-pairs")
     enough = rows.groupBy("label_1", "label_2").agg(F.count("*").alias("rows")).where(c("rows") >= least).drop("rows")
     return rows.join(enough, ["label_1", "label_2"], "left_semi")
 
@@ -148,7 +150,7 @@ def missing_expected_cooccurrence(shapes: DataFrame, ratio: float = 0.06, least:
 
 def unexpected_overlap(shapes: DataFrame, ratio: float = 0.06, count_iou: float = 0.2, least_iou: float = 0.1, least: int = 3) -> DataFrame:
     """label_1 < label_2 of which at most max(3, ratio * images) pairs overlap, and their pairs of boxes with iou > least_iou."""
-    touching = overlapping_pairs(shapes).where("label_1 < label_2")
+    touching = written(overlapping_pairs(shapes).where("label_1 < label_2"), "touching")  # the join is made once
     often = touching.where(c("iou") >= count_iou).groupBy("label_1", "label_2").agg(F.count("*").alias("n"))
     found = touching.where(c("iou") > least_iou).join(often, ["label_1", "label_2"], "left").crossJoin(F.broadcast(_assets(shapes)))
     found = found.where(F.coalesce("n", F.lit(0)) <= F.greatest(F.lit(3.0), c("assets") * ratio))

@@ -238,7 +238,7 @@ def duplicate_clusters(spark, d):
     return embedding.duplicate_clusters(v.vectors(spark, d), min_cosine=0.4)
 
 
-@query(f"WITH {_REACH.format(_VEC + ', ' + _NEAR, 'near')} SELECT cluster, count(*) AS n, list(id ORDER BY id) AS members FROM cl GROUP BY cluster")
+@query(f"WITH {_REACH.format(_VEC + ', ' + _NEAR, 'near')} SELECT cluster, count(*) OVER (PARTITION BY cluster) AS n, id AS asset_id FROM cl")
 def duplicate_cluster_members(spark, d):
     return embedding.cluster_members(embedding.duplicate_clusters(v.vectors(spark, d), min_cosine=0.4))
 
@@ -391,7 +391,7 @@ def caption_cluster_keywords(spark, d):
     return captions.cluster_keywords(x, captions.caption_clusters(x))
 
 
-@query(f"WITH {_CLUSTER} SELECT cluster, list(asset_id ORDER BY asset_id) AS members, 'TAG' AS actions FROM cc GROUP BY cluster")
+@query(f"WITH {_CLUSTER} SELECT cluster, asset_id, 'TAG' AS actions FROM cc")
 def caption_cluster_members(spark, d):
     x = captions.cluster_assets(captions.caption_clusters(v.captions(spark, d)))
     return x.withColumn("actions", F.array_join("actions", ","))

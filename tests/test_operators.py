@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from optiqal.functions.graph import components
+from optiqal.functions import near
 from optiqal.operators import build, captions, charts, curate, embedding, mislabel, quality, report, tightness
 from optiqal.plans.inference import embed_images, embed_labels
 from optiqal.plans.registry import Checks
@@ -76,14 +77,50 @@ def test_centroid_outliers_need_six_rows_and_lie_beyond(spark):
     assert [r["shape_id"] for r in embedding.centroid_outliers(df).collect()] == ["s5"]
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_duplicate_clusters(spark, exact):
+def test_duplicate_clusters(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
     rows = [(10 * i + j, [float(x) for x in b + 0.001 * j]) for i, b in enumerate(base) for j in range(3)] + [(999, [float(x) for x in rng.normal(size=16)]), (1000, None)]
     df = spark.createDataFrame(rows, "asset_id long, clip_embeddings array<double>")
-    got = {r["cluster"]: r["members"] for r in embedding.cluster_members(embedding.duplicate_clusters(df, 0.99, exact=exact)).collect()}
-    assert got == {10 * i: [10 * i, 10 * i + 1, 10 * i + 2] for i in range(6)}
+    got = embedding.cluster_members(embedding.duplicate_clusters(df, 0.99)).collect()
+    assert sorted((r["cluster"], r["asset_id"], r["n"]) for r in got) == [(10 * i, 10 * i + j, 3) for i in range(6) for j in range(3)]
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_near_vectors_equal_brute_force_over_many_cells_and_blocks(spark, monkeypatch, text):
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "PART", 24)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=8) + 0.35 * rng.normal(size=(150, 8))  # a third of the rows about one direction
+    x = [[float(e) for e in v] for v in np.vstack([hot, rng.normal(size=(250, 8))])]
+    x += [x[0], [2 * e for e in x[0]], x[200], [1e200] * 8, [1e-200] * 8, [1.0, 2.0], [2.0, 4.1], [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [None] * 8, [], None]
+    name = (lambda i: f"n{i:04d}") if text else (lambda i: i)
+    df = spark.createDataFrame([(name(i), v) for i, v in enumerate(x)], f"asset_id {'string' if text else 'long'}, clip_embeddings array<double>").repartition(5)
+    unit = {}
+    for i, v in enumerate(x):
+        if v and None not in v and np.isfinite(v).all() and any(v):
+            w = np.array(v) / np.abs(v).max()
+            unit[name(i)] = w / np.linalg.norm(w)
+    least = 0.8
+    pairs = {(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= least}
+    got = [(r["a"], r["b"]) for r in embedding.similar_pairs(df, least).collect()]
+    assert len(got) == len(set(got)) and set(got) <= pairs
+    alike = {b: min(a for a in unit if len(unit[a]) == len(unit[b]) and np.array_equal(unit[a], unit[b])) for b in unit}
+    assert {(a, b) for a, b in pairs if alike[a] == a and alike[b] == b} <= set(got)
+    group = {a: a for a in unit}
+
+    def top(a):
+        while group[a] != a:
+            a = group[a]
+        return a
+
+    for a, b in sorted(pairs):
+        p, q = sorted((top(a), top(b)))
+        group[q] = p
+    wanted = {a: top(a) for p in pairs for a in p}
+    found = {r["asset_id"]: r["cluster"] for r in embedding.duplicate_clusters(df, least).collect()}
+    assert found == wanted
+    assert embedding.duplicate_clusters(df.where("asset_id is null"), least).count() == 0
 
 
 def test_outlier_share_is_rounded_up_from_the_rest(spark):
