@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from optiqal.functions import geometry
+from optiqal.functions.graph import shared_dir
 from optiqal.functions.vectors import mean_vectors
 from optiqal.operators import build, captions, charts, curate, embedding, interclass, mislabel, quality, report, tightness
 from optiqal.operators import shapes as shp
+from optiqal.plans import inference
 from optiqal.plans import views as v
+from optiqal.plans.registry import Checks
+from optiqal.sources import images as img
 from optiqal.sources import tables as src
 
 c = F.col
@@ -634,6 +639,151 @@ def cleaned_newlines(spark, d):
     return v.table(spark, d, "documents").select("doc_id", report.clean_newlines(c("text")).alias("text"))
 
 
+# Tables in and out, images, and the frame of checks
+
+
+def _round_trip(df: DataFrame, what: str, write, read) -> DataFrame:
+    """df written by `write(df, path)` to a new folder beside the other tables and read again by `read(spark, path)`."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    write(df, path + ".csv")
+    return read(df.sparkSession, path + ".csv")
+
+
+@query(f"WITH {v.FEATURES} SELECT shape_id, label, x, y, w, h, round(area, 9) AS area FROM features")
+def metadata_csv(spark, d):
+    """A shape table to CSV and back; one column is an array on the way."""
+    x = features(spark, d).select("shape_id", "label", F.array("x", "y", "w", "h").alias("box"), "area")
+    back = _round_trip(x, "shapes", src.write_metadata_csv, lambda s, p: src.read_metadata_csv(s, p, "shape_id string, label string, box array<double>, area double"))
+    return rounded(back.select("shape_id", "label", *[c("box")[i].alias(k) for i, k in enumerate("xywh")], "area"))
+
+
+@query("SELECT event_id::VARCHAR AS asset_id, event_type || '.jpg' AS filename, CASE WHEN value > 50 THEN event_type || ',' || user_id ELSE '' END AS tags FROM events")
+def loaded_assets(spark, d):
+    """Assets of a JSON export; some have no tags."""
+    tag = lambda k: F.struct(F.concat(F.lit("id-"), c(k).cast("string")).alias("id"), c(k).cast("string").alias("name"))
+    x = v.table(spark, d, "events").select(c("event_id").cast("string").alias("asset_id"), F.concat("event_type", F.lit(".jpg")).alias("filename"), F.when(c("value") > 50, F.array(tag("event_type"), tag("user_id"))).alias("tags"))
+    back = _round_trip(x, "assets", lambda t, p: t.write.json(p), src.load_assets)
+    return back.select("asset_id", "filename", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {v.SHAPES} SELECT 'Class Distribution' AS name, label || ': ' || count(*) AS text, 'TAG,DELETE' AS actions FROM shapes GROUP BY label")
+def stored_report(spark, d):
+    """A report written and read again."""
+    n = shp.class_distribution(v.shapes(spark, d)).select(F.concat("label", F.lit(": "), c("n").cast("string")).alias("text"))
+    x = n.select(F.lit("Annotation Quality").alias("section"), F.lit("Class Analysis").alias("sub_section"), F.lit("Class Distribution").alias("name"), F.lit(1).alias("ordinal"), "text", F.lit("{}").alias("data_json"), report.actions_of("clip_outliers").alias("actions"))
+    return _round_trip(x, "report", src.write_report, src.read_report).select("name", "text", F.array_join("actions", ",").alias("actions"))
+
+
+@query("SELECT event_type AS name, CASE WHEN value < 50 THEN 'content' ELSE 'error' END AS type, count(*) AS n FROM events GROUP BY 1, 2 UNION ALL SELECT 'done', 'event', 1")
+def appended_content(spark, d):
+    """Contents, errors and the closing event appended one after the other."""
+    x = v.table(spark, d, "events").select(c("event_type").alias("name"), F.when(c("value") < 50, "content").otherwise("error").alias("type"))
+
+    def write(t, path):
+        src.append_content(t.where("type = 'content'"), path)
+        src.append_content(t.where("type = 'error'"), path)
+        src.append_content(t.sparkSession.createDataFrame([("done", "event")], "name string, type string"), path)
+
+    return _round_trip(x, "content", write, lambda s, p: s.read.json(p)).groupBy("name", "type").agg(F.count("*").alias("n"))
+
+
+#: Grey images of 8 x 8 from 64 components: round(128 + 40 * component), cut to 0..255.
+_PIXELS = "px AS (SELECT vec_id AS id, unnest(range(64)) AS p, unnest(list_transform(embedding, lambda e: least(255, greatest(0, round(128 + 40 * e::DOUBLE)))::DOUBLE)) AS v FROM embeddings), cell AS (SELECT id, p // 8 AS i, p % 8 AS j, v FROM px)"
+_NEIGHBOURS = "nb AS (SELECT id, i, j, v, CASE WHEN i = 0 THEN 1 ELSE i - 1 END AS up, CASE WHEN i = 7 THEN 6 ELSE i + 1 END AS dn, CASE WHEN j = 0 THEN 1 ELSE j - 1 END AS lf, CASE WHEN j = 7 THEN 6 ELSE j + 1 END AS rt FROM cell)"
+_LAPLACE = (
+    f"{_PIXELS}, {_NEIGHBOURS}, lap AS (SELECT n.id, n.v, u.v + w.v + l.v + r.v - 4 * n.v AS e FROM nb n JOIN cell u ON u.id = n.id AND u.i = n.up AND u.j = n.j JOIN cell w ON w.id = n.id AND w.i = n.dn AND w.j = n.j "
+    "JOIN cell l ON l.id = n.id AND l.i = n.i AND l.j = n.lf JOIN cell r ON r.id = n.id AND r.i = n.i AND r.j = n.rt), "
+    "q AS (SELECT id, var_pop(e) AS blur_score, avg(v) AS luminance, stddev_pop(v) AS contrast FROM lap GROUP BY id), "
+    "met AS (SELECT id, round(blur_score, 6) AS blur_score, blur_score < 500 AS is_blurry, round(luminance, 6) AS luminance, round(contrast, 6) AS contrast, id % 10 = 3 AS broken FROM q)"
+)
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings as grey images, in the columns of decoded files; every tenth has lost its last byte."""
+    byte = lambda e: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.round(128 + 40 * e.cast("double")))).cast("long")), 2, "0")
+    x = v.table(spark, d, "embeddings").select("vec_id", F.unhex(F.array_join(F.transform("embedding", byte), "")).alias("data"))
+    data = F.when(c("vec_id") % 10 == 3, F.substring("data", 1, 63)).otherwise(c("data"))
+    return x.select(c("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("nChannels"), data.alias("data"))
+
+
+_METRICS = "CASE WHEN broken THEN 0 ELSE blur_score END AS blur_score, CASE WHEN NOT broken THEN is_blurry END AS is_blurry, CASE WHEN NOT broken THEN luminance END AS luminance, CASE WHEN NOT broken THEN contrast END AS contrast, broken AS is_corrupted"
+
+
+@query(f"WITH {_LAPLACE} SELECT id::VARCHAR AS path, {_METRICS} FROM met")
+def image_quality(spark, d):
+    got = img.image_quality(_pictures(spark, d), blur_threshold=500).select("path", "blur_score", "is_blurry", "luminance", "contrast", "is_corrupted")
+    return rounded(got, 6)
+
+
+@query(f"WITH {_LAPLACE} SELECT doc_id AS asset_id, CASE WHEN NOT broken THEN 8 ELSE 100 END::INT AS width, CASE WHEN id IS NULL THEN NULL ELSE coalesce(broken, false) END AS is_corrupted, CASE WHEN NOT broken THEN luminance END AS luminance, '' AS caption FROM documents LEFT JOIN met ON id = doc_id")
+def assembled_images(spark, d):
+    """The catalogue is that of the documents; some of them have no picture."""
+    x = v.table(spark, d, "documents").select(c("doc_id").alias("asset_id"), F.concat(c("doc_id").cast("string"), F.lit(".png")).alias("filename"), c("doc_id").cast("string").alias("target_path"), F.lit(None).cast("string").alias("asset_url"), F.array().cast("array<string>").alias("tags"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    got = img.assemble_images(x, img.image_quality(_pictures(spark, d), blur_threshold=500))
+    return rounded(got.select("asset_id", "width", "is_corrupted", "luminance", "caption"), 6)
+
+
+@query(f"WITH {v.IMAGES} SELECT asset_id, 200::INT AS width, is_blurry, blur_score, luminance, contrast FROM images")
+def strict_image_view(spark, d):
+    x = v.images(spark, d).select("*", *[F.lit(None).cast("string").alias(k) for k in ("filename", "tags", "caption", "file_size_bytes", "color")], F.lit(200).alias("width"), F.lit(150).alias("height"))
+    x = x.withColumn("filename", c("asset_id").cast("string"))
+    return build.image_view(x).select(c("filename").cast("long").alias("asset_id"), "width", "is_blurry", "blur_score", "luminance", "contrast")
+
+
+@query(f"WITH {v.SHAPES} SELECT shape_id AS filename, image_width, image_height, label, x, y, w, h, round(x / image_width, 9) AS x_norm, round(y / image_height, 9) AS y_norm FROM shapes")
+def strict_annotation_view(spark, d):
+    return rounded(build.annotation_view(geometry.normalize_coords(v.shapes(spark, d)).withColumn("filename", c("shape_id"))))
+
+
+@query(f"WITH {v.SHAPES}, n AS (SELECT label, count(*) AS n FROM shapes GROUP BY label) SELECT 'classes' AS name, count(*) AS rows, NULL AS message FROM n UNION ALL SELECT 'broken', NULL, 'ValueError: ' || (SELECT count(*) FROM shapes) || ' shapes'")
+def checks_with_a_failure(spark, d):
+    """Two checks: one writes its rows, the other raises and becomes an error row."""
+    done = {}
+    checks = Checks()
+
+    def broken(tables):
+        raise ValueError(f"{tables['shapes'].count()} shapes")
+
+    checks.register("broken", broken)
+    checks.register("classes", lambda tables: shp.class_distribution(tables["shapes"]))
+    failed = checks.run(spark, {"shapes": v.shapes(spark, d)}, lambda name, df: done.update({name: df}))
+    none = lambda kind: F.lit(None).cast(kind)
+    sound = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", none("string").alias("message")) for name, df in done.items()]
+    out = failed.select("name", none("long").alias("rows"), "message")
+    for df in sound:
+        out = out.unionByName(df)
+    return out
+
+
+@query(f"{_GLOBAL}, k AS (SELECT count(*) - floor(count(*) * (1 - 3 / 100.0::DOUBLE))::BIGINT AS k FROM dist) SELECT asset_id, 'TAG,DELETE' AS actions FROM (SELECT id AS asset_id, row_number() OVER (ORDER BY distance DESC, id) AS nth FROM dist), k WHERE nth <= k")
+def outlier_actions(spark, d):
+    return embedding.embedding_outliers(v.vectors(spark, d)).select("asset_id", F.array_join(report.actions_of("clip_outliers"), ",").alias("actions"))
+
+
+@query("SELECT doc_id AS asset_id, round(length(text) / 1000.0::DOUBLE, 4) AS size FROM documents WHERE text IS NOT NULL")
+def model_embeddings(spark, d):
+    """Embeddings by a model, here one that gives a text's length in thousands."""
+    x = v.captions(spark, d).where("caption is not null").withColumn("data", F.length("caption").cast("double"))
+
+    def make_model():
+        return lambda batch: (batch.reshape(len(batch), 1) / 1000).astype("float32")
+
+    return inference.embed_images(x, make_model).select("asset_id", F.round(c("clip_embeddings")[0].cast("double"), 4).alias("size"))
+
+
+#: In each image one kind of part keeps its name and all others are common.
+_KIND = "CASE WHEN split_part(label, ' ', 1) = CASE asset_id % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'ECONOMY' ELSE 'PROMO' END THEN lower(split_part(label, ' ', 1)) ELSE 'common' END AS label"
+
+
+@query(f"WITH {v.SHAPES}, s AS (SELECT {_KIND}, asset_id FROM shapes UNION ALL SELECT 'alone', -o_orderkey FROM orders), p AS (SELECT DISTINCT asset_id, label FROM s), co AS (SELECT a.label AS l1, b.label AS l2, count(*) AS n FROM p a JOIN p b USING (asset_id) GROUP BY 1, 2), t AS (SELECT l1 AS label, sum(CASE WHEN l1 <> l2 THEN n ELSE 0 END)::BIGINT AS total FROM co GROUP BY 1) SELECT 'isolated' AS kind, label, 0::BIGINT AS total FROM t WHERE total = 0 UNION ALL SELECT 'hub', label, total FROM t WHERE total > (SELECT avg(total) + stddev_samp(total) FROM t)")
+def isolated_and_hub_classes(spark, d):
+    """A class that stands alone in its images, and one that meets all others."""
+    own = v.table(spark, d, "orders").select(F.lit("alone").alias("label"), (-c("o_orderkey")).alias("asset_id"))
+    m = interclass.cooccurrence(v.shapes(spark, d).selectExpr(_KIND, "asset_id").unionByName(own))
+    alone = interclass.isolated_classes(m, include_diagonal=False).select(F.lit("isolated").alias("kind"), "label", F.lit(0).cast("long").alias("total"))
+    return alone.unionByName(interclass.hub_classes(m, include_diagonal=False).select(F.lit("hub").alias("kind"), "label", "total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
