@@ -775,11 +775,11 @@ def model_embeddings(spark, d):
 _KIND = "CASE WHEN split_part(label, ' ', 1) = CASE asset_id % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'ECONOMY' ELSE 'PROMO' END THEN lower(split_part(label, ' ', 1)) ELSE 'common' END AS label"
 
 
-@query(f"WITH {v.SHAPES}, s AS (SELECT {_KIND}, asset_id FROM shapes UNION ALL SELECT 'alone', -o_orderkey FROM orders), p AS (SELECT DISTINCT asset_id, label FROM s), co AS (SELECT a.label AS l1, b.label AS l2, count(*) AS n FROM p a JOIN p b USING (asset_id) GROUP BY 1, 2), t AS (SELECT l1 AS label, sum(CASE WHEN l1 <> l2 THEN n ELSE 0 END)::BIGINT AS total FROM co GROUP BY 1) SELECT 'isolated' AS kind, label, 0::BIGINT AS total FROM t WHERE total = 0 UNION ALL SELECT 'hub', label, total FROM t WHERE total > (SELECT avg(total) + stddev_samp(total) FROM t)")
+@query(f"WITH {v.SHAPES}, s AS (SELECT {_KIND}, asset_id * 2 AS asset_id FROM shapes UNION ALL SELECT 'alone', o_orderkey * 2 + 1 FROM orders), p AS (SELECT DISTINCT asset_id, label FROM s), co AS (SELECT a.label AS l1, b.label AS l2, count(*) AS n FROM p a JOIN p b USING (asset_id) GROUP BY 1, 2), t AS (SELECT l1 AS label, sum(CASE WHEN l1 <> l2 THEN n ELSE 0 END)::BIGINT AS total FROM co GROUP BY 1) SELECT 'isolated' AS kind, label, 0::BIGINT AS total FROM t WHERE total = 0 UNION ALL SELECT 'hub', label, total FROM t WHERE total > (SELECT avg(total) + stddev_samp(total) FROM t)")
 def isolated_and_hub_classes(spark, d):
     """A class that stands alone in its images, and one that meets all others."""
-    own = v.table(spark, d, "orders").select(F.lit("alone").alias("label"), (-c("o_orderkey")).alias("asset_id"))
-    m = interclass.cooccurrence(v.shapes(spark, d).selectExpr(_KIND, "asset_id").unionByName(own))
+    own = v.table(spark, d, "orders").select(F.lit("alone").alias("label"), (c("o_orderkey") * 2 + 1).alias("asset_id"))
+    m = interclass.cooccurrence(v.shapes(spark, d).selectExpr(_KIND, "asset_id * 2 AS asset_id").unionByName(own))
     alone = interclass.isolated_classes(m, include_diagonal=False).select(F.lit("isolated").alias("kind"), "label", F.lit(0).cast("long").alias("total"))
     return alone.unionByName(interclass.hub_classes(m, include_diagonal=False).select(F.lit("hub").alias("kind"), "label", "total"))
 
