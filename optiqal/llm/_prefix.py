@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from optiqal.functions.graph import written
+
 
 def running(df: DataFrame, group: str, bucket: str, order: list[str], value: Column) -> DataFrame:
     """df with `before`, the sum of value over the rows of its group that come earlier in the order (bucket, *order), and `nth`, its number within the bucket.
@@ -23,3 +25,13 @@ def running(df: DataFrame, group: str, bucket: str, order: list[str], value: Col
         .withColumn("nth", F.row_number().over(own))
         .drop("bucket_before")
     )
+
+
+def numbered(df: DataFrame, group: str, ranges: list, order: list) -> DataFrame:
+    """df with `before`, the number of rows of its group that come earlier in the order, and `bucket`, the part of the group it lies in.
+
+    group must not be null. Rows are dealt by ranges of (group, *ranges), which the order must follow, so a large group lies
+    in many parts; only rows equal in all of `ranges` stay together. The parts are written, so that each later use sees the same.
+    """
+    dealt = written(df.repartitionByRange(group, *ranges).withColumn("bucket", F.spark_partition_id()), "ranges")
+    return running(dealt, group, "bucket", order, F.lit(1)).drop("nth")

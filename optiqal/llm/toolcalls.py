@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from optiqal.functions.graph import written
+from optiqal.llm._prefix import numbered
 
 #: JSON schema types and the variant types that they allow, as a pattern.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
@@ -119,8 +120,8 @@ def link(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: Mappin
     call = first(calls, "name", "arguments").withColumn("called", F.lit(True))
     result = first(results, "content").withColumnRenamed("turn", "result_turn").withColumn("answered", F.lit(True))
     x = call.join(result.hint("shuffle_hash"), key, "full").join(levels(call, whole(needs)), key, "left")
-    order = W.partitionBy("conv_id").orderBy(F.col("called").isNull(), F.col("level").isNull(), "level", "turn", "call_id")
-    x = x.withColumn("position", F.when(F.col("called"), F.row_number().over(order) - 1).cast("long"))
+    order = [F.col("called").isNull(), F.col("level").isNull(), F.col("level"), F.col("turn"), F.col("call_id")]
+    x = numbered(x, "conv_id", order, order).withColumn("position", F.when(F.col("called"), F.col("before")).cast("long"))
     status = F.when(F.col("called").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked")
     x = x.withColumn("status", status).withColumn("valid", valid_arguments(F.col("name"), F.col("arguments"), schemas))
     as_text = F.try_variant_get(F.try_parse_json(F.to_json(F.struct(F.col("arguments").alias("text")))), "$.text", "variant")
@@ -149,11 +150,18 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 
     Each assistant turn is a call of the tool `answer`; its arguments name the role of the turn before and the answer's size.
     Every other turn is the result of the call in the turn before it, and an orphan if that is no call. A call needs the one
-    before it, and the last of a conversation the first one too. Null text is an empty one.
+    before it, and the last of a conversation the first one too. Null text is an empty one. A conversation of any length is
+    numbered in parts; only the rows of one turn and role whose texts begin alike stay in one.
     """
-    own = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     x = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    x = x.withColumn("nth", F.row_number().over(own)).withColumn("role_before", F.lag("role").over(own))
+    x = numbered(x, "conv_id", ["turn", "role", F.left("text", F.lit(32))], ["turn", "role", "text"]).withColumn("nth", F.col("before") + 1)
+    call = F.when(F.col("role") == "assistant", F.col("nth"))
+    part, so_far = ["conv_id", "bucket"], W.partitionBy("conv_id").orderBy("bucket")
+    ends = x.groupBy(*part).agg(F.max_by("role", "nth").alias("role"), F.max(call).alias("latest"), F.min(call).alias("earliest"))  # a row a part
+    ends = ends.select(*part, F.lag("role").over(so_far).alias("role_of_part_before"), F.max("latest").over(so_far.rowsBetween(W.unboundedPreceding, -1)).alias("call_of_parts_before"), F.min("earliest").over(W.partitionBy("conv_id")).alias("first"), F.max("latest").over(W.partitionBy("conv_id")).alias("last"))
+    own = W.partitionBy(*part).orderBy("nth")
+    x = x.join(ends, part).withColumn("role_before", F.coalesce(F.lag("role").over(own), F.col("role_of_part_before")))
+    x = x.withColumn("call_before", F.coalesce(F.max(call).over(own.rowsBetween(W.unboundedPreceding, -1)), F.col("call_of_parts_before")))
     called = lambda n: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), n.cast("string"))
     said = x.where("role = 'assistant'").withColumn("call_id", called(F.col("nth")))
     count = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
@@ -161,9 +169,9 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     after = F.when(F.col("role_before").isNull(), F.array().cast("array<string>")).otherwise(F.array("role_before"))
     calls = said.select("conv_id", "call_id", "turn", F.lit("answer").alias("name"), F.to_json(F.struct("turn", "text", F.struct(count.alias("count"), size.alias("size")).alias("words"), after.alias("after"))).alias("arguments"))
     results = x.where("role <> 'assistant'").select("conv_id", called(F.col("nth") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    in_turn, ends = W.partitionBy("conv_id").orderBy("nth"), W.partitionBy("conv_id").orderBy("nth").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    placed = said.select("conv_id", "call_id", F.lag("call_id").over(in_turn).alias("before"), F.first("call_id").over(ends).alias("first"), F.last("call_id").over(ends).alias("last"))
-    needs = placed.select("conv_id", "call_id", F.explode(F.when(F.col("call_id") == F.col("last"), F.array_distinct(F.array("before", "first"))).otherwise(F.array("before"))).alias("need"))
+    before, first = called(F.col("call_before")), called(F.col("first"))
+    before = F.when(F.col("call_before").isNotNull(), before)  # concat_ws leaves nulls out
+    needs = said.select("conv_id", "call_id", F.explode(F.when(F.col("nth") == F.col("last"), F.array_distinct(F.array(before, first))).otherwise(F.array(before))).alias("need"))
     return calls, results, needs.where("need is not null and need <> call_id")
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from optiqal.llm import mixing, nearest, queries, sharding, toolcalls
+from optiqal.llm import _prefix, mixing, nearest, queries, sharding, toolcalls
 from tests.conftest import SF
 
 DOCS = "doc_id long, text string, source string"
@@ -294,6 +294,36 @@ def test_tool_calls_without_rows(spark):
     assert got == {("call-1-0", "orphan", None, False), ("call-1-1", "orphan", None, False), ("call-1-3", "unanswered", 0, False), ("call-1-4", "linked", 1, False), ("call-1-5", "orphan", None, False), ("call-3-1", "unanswered", 0, True)}
 
 
+def test_a_conversation_in_parts(spark):
+    """One conversation of 600 turns lies in several parts, beside short ones and repeated turns."""
+    rng = np.random.default_rng(3)
+    turns = [(1, int(t), ("assistant", "user", "tool")[rng.integers(3)], f"text {rng.integers(9)}") for t in rng.integers(0, 400, 600)]
+    turns += [(c, t, ("user", "assistant")[t % 2], "x") for c in (0, 2) for t in range(3)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+        assert _prefix.numbered(df, "conv_id", ["turn", "role"], ["turn", "role", "text"]).where("conv_id = 1").select("bucket").distinct().count() > 1
+        calls, results, needs = toolcalls.from_conversations(df)
+        got = {(r["conv_id"], r["call_id"]): (r["status"], r["level"], r["position"]) for r in toolcalls.link(calls, results, needs, toolcalls.ANSWER).collect()}
+        first_and_before = {(r["conv_id"], r["call_id"], r["need"]) for r in needs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, want_needs = {}, set()
+    for conv in (0, 1, 2):
+        own = sorted(t[1:] for t in turns if t[0] == conv)
+        name = lambda n: f"call-{conv}-{n}"  # noqa: B023, E731
+        said = [n for n, t in enumerate(own, 1) if t[1] == "assistant"]
+        for level, n in enumerate(said):
+            after = own[n] if n < len(own) and own[n][1] != "assistant" else None
+            want[conv, name(n)] = ("unanswered" if after is None else "early" if after[0] < own[n - 1][0] else "linked", level, level)
+        want |= {(conv, name(n - 1)): ("orphan", None, None) for n, t in enumerate(own, 1) if t[1] != "assistant" and n - 1 not in said}
+        want_needs |= {(conv, name(b), name(a)) for a, b in zip(said, said[1:])}
+        if len(said) > 1:
+            want_needs.add((conv, name(said[-1]), name(said[0])))
+    assert got == want
+    assert first_and_before == want_needs
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
