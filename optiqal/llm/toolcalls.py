@@ -162,6 +162,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     own = W.partitionBy(*part).orderBy("nth")
     x = x.join(ends, part).withColumn("role_before", F.coalesce(F.lag("role").over(own), F.col("role_of_part_before")))
     x = x.withColumn("call_before", F.coalesce(F.max(call).over(own.rowsBetween(W.unboundedPreceding, -1)), F.col("call_of_parts_before")))
+    x = written(x.select("conv_id", "turn", "role", "text", "nth", "role_before", "call_before", "first", "last"), "turns")  # read by all three tables
     called = lambda n: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), n.cast("string"))
     said = x.where("role = 'assistant'").withColumn("call_id", called(F.col("nth")))
     count = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
