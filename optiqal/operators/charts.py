@@ -50,7 +50,9 @@ def boxplot_outliers(df: DataFrame, category: str, col: str, exact: bool = True)
 
 
 def heatmap(matrix: DataFrame, value: str, labels: list[str] | None = None) -> DataFrame:
-    """The matrix with a column for each label_2."""
+    """label_1, label_2, value of a matrix's cells; with labels, a row for each label_1 and a column for each of those instead, 0 where there is no cell."""
+    if labels is None:
+        return matrix.select("label_1", "label_2", c(value).alias("value"))
     return matrix.groupBy("label_1").pivot("label_2", labels).agg(F.first(value)).na.fill(0)
 
 

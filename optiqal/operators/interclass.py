@@ -85,8 +85,8 @@ def mean_iou_per_pair(shapes: DataFrame, threshold: float = 0.0) -> DataFrame:
     return symmetric(out.select("label_1", "label_2", (F.coalesce("total", F.lit(0.0)) / c("pairs")).alias("mean_iou")))
 
 
-def overlap_counts(shapes: DataFrame, threshold: float = 0.2, dense: bool = True) -> DataFrame:
-    """label_1, label_2, n: pairs of boxes with iou >= threshold; symmetric, and 0 for all other pairs of labels if dense."""
+def overlap_counts(shapes: DataFrame, threshold: float = 0.2, dense: bool = False) -> DataFrame:
+    """label_1, label_2, n: pairs of boxes with iou >= threshold; symmetric. With dense also 0 for all other pairs of labels, which are as many as the labels squared."""
     pairs = overlapping_pairs(shapes).where(c("iou") >= threshold)
     n = symmetric(pairs.groupBy("label_1", "label_2").agg(F.count("*").alias("n")))
     if not dense:

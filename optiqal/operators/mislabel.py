@@ -1,7 +1,7 @@
 """Suspected mislabels: a shape's vector against the vectors of all labels.
 
 The labels travel as one row, an array of all their vectors, so each shape is judged where it lies: no shuffle, and no row for
-each pair of a shape and a label.
+each pair of a shape and a label. Labels of more than LABEL_BYTES go in blocks of about that size, by shuffle.
 """
 
 from __future__ import annotations
@@ -9,20 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from optiqal.functions.graph import written
 from optiqal.functions.vectors import cosine
 
 c = F.col
 #: Labels up to which the simpler rule holds.
 FEW_LABELS = 10
+#: Bytes of label vectors that are sent to every task.
+LABEL_BYTES = 64 << 20
 
 
-def ranked_labels(shapes: DataFrame, labels: DataFrame, vector: str = "shape_embeddings") -> DataFrame:
+def ranked_labels(shapes: DataFrame, labels: DataFrame, vector: str = "shape_embeddings", label_bytes: int = LABEL_BYTES) -> DataFrame:
     """Shapes that have a vector, with `ranked`: (similarity, label) of every label, most similar first, ties by name."""
-    all_labels = labels.agg(F.array_sort(F.collect_list(F.struct("label", c("embedding").cast("array<double>").alias("e")))).alias("all"))
-    x = shapes.where(c(vector).isNotNull() & (F.size(vector) > 0)).crossJoin(F.broadcast(all_labels))  # one row: a vector per label
+    labels = labels.select("label", c("embedding").cast("array<double>").alias("e"))
+    collected = F.array_sort(F.collect_list(F.struct("label", "e"))).alias("all")
     against = F.transform("all", lambda v: F.struct((-F.coalesce(cosine(c(vector), v["e"]), F.lit(-2.0))).alias("minus"), v["label"].alias("label")))
-    ranked = F.transform(F.array_sort(against), lambda v: F.struct((-v["minus"]).alias("sim"), v["label"].alias("label")))
-    return x.withColumn("ranked", ranked).drop("all")
+    x = shapes.where(c(vector).isNotNull() & (F.size(vector) > 0))
+    size = labels.agg(F.sum(8 * F.coalesce(F.size("e"), F.lit(0)) + F.coalesce(F.octet_length("label"), F.lit(0)))).first()[0] or 0
+    if size <= label_bytes:
+        x = x.crossJoin(F.broadcast(labels.agg(collected))).withColumn("against", F.array_sort(against)).drop("all")  # one row of checked size
+    else:
+        spark = shapes.sparkSession
+        x = written(x.withColumn("_row", F.monotonically_increasing_id()), "shapes")
+        blocks, deals = -(-size // max(1, label_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        block = labels.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("_block")).agg(collected).withColumn("_deal", every(deals))
+        dealt = x.select("_row", vector, F.pmod(F.xxhash64("_row"), F.lit(deals)).cast("int").alias("_deal")).withColumn("_block", every(blocks))
+        parts = dealt.join(block.hint("shuffle_hash"), ["_block", "_deal"]).select("_row", against.alias("part"))
+        x = x.join(parts.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("against")), "_row").drop("_row")
+    return x.withColumn("ranked", F.transform("against", lambda v: F.struct((-v["minus"]).alias("sim"), v["label"].alias("label")))).drop("against")
 
 
 def mislabels(shapes: DataFrame, labels: DataFrame, threshold: float = 0.01, min_confidence: float = 0.5, rank_tolerance: int = 1, vector: str = "shape_embeddings") -> DataFrame:

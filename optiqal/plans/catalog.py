@@ -157,7 +157,7 @@ def mean_iou_per_pair(spark, d):
 
 @query(f"{_PAIRS}, m AS (SELECT label_1, label_2, count(*) AS n FROM pr WHERE iou >= 0.2 GROUP BY 1, 2), s AS ({_BOTH_WAYS.format('n')}), l AS (SELECT DISTINCT label FROM shapes) SELECT a.label AS label_1, b.label AS label_2, coalesce(n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN s ON s.label_1 = a.label AND s.label_2 = b.label")
 def overlap_counts(spark, d):
-    return interclass.overlap_counts(v.shapes(spark, d))
+    return interclass.overlap_counts(v.shapes(spark, d), dense=True)
 
 
 @query(f"{_PRESENCE} SELECT label_1 || ' + ' || label_2 AS category, n::DOUBLE AS value FROM co WHERE label_1 <= label_2 ORDER BY n DESC, label_1, label_2 LIMIT 10")

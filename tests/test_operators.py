@@ -135,6 +135,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_matrices_in_long_form(spark):
+    from optiqal.operators import interclass
+
+    rows = [(1, "a", "x", 0.0, 0.0, 2.0, 2.0), (1, "b", "y", 0.0, 0.0, 2.0, 2.0), (2, "c", "z", 0.0, 0.0, 1.0, 1.0)]
+    s = spark.createDataFrame(rows, "asset_id long, shape_id string, label string, x double, y double, w double, h double")
+    assert {tuple(r) for r in interclass.overlap_counts(s).collect()} == {("x", "y", 1), ("y", "x", 1)}
+    assert interclass.overlap_counts(s, dense=True).count() == 9
+    assert {tuple(r) for r in charts.heatmap(interclass.cooccurrence(s), "n").collect()} == {("x", "x", 1), ("x", "y", 1), ("y", "x", 1), ("y", "y", 1), ("z", "z", 1)}
+
+
 def test_mislabel_rules(spark):
     labels = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "label string, embedding array<double>")
     rows = [("1", "x", [1.0, 0.0]), ("2", "x", [0.0, 1.0]), ("3", "z", [1.0, 0.0]), ("4", "y", [1.0, 0.999]), ("5", "y", None), ("6", "y", [])]
@@ -143,6 +153,14 @@ def test_mislabel_rules(spark):
     assert got == {"1": ("correct", "x", 0), "2": ("wrong", "y", 1), "3": ("wrong", "x", None), "4": ("correct", "x", 1)}
 
 
+def test_labels_in_blocks(spark):
+    labels = spark.createDataFrame([(f"l{i}", [1.0, i / 7, (i * i) % 5 / 3]) for i in range(12)] + [("none", None)], "label string, embedding array<double>")
+    df = spark.createDataFrame([(i, [i % 4 - 1.5, i % 3 / 2, 1.0]) for i in range(40)] + [(99, None)], "shape_id long, shape_embeddings array<double>")
+    whole, blocks = ({r["shape_id"]: r["ranked"] for r in mislabel.ranked_labels(df, labels, label_bytes=n).collect()} for n in (mislabel.LABEL_BYTES, 100))
+    assert len(whole) == 40 and all(len(v) == 13 for v in whole.values()) and blocks == whole
+    assert mislabel.ranked_labels(df.where("shape_id < 0"), labels, label_bytes=100).count() == 0
+
+
 def test_mislabel_report(spark):
     labels = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "label string, embedding array<double>")
     df = spark.createDataFrame([("i", "2", "x", 1.0, 2.0, 3.0, 4.0, [0.0, 1.0])], "asset_id string, shape_id string, label string, x double, y double, w double, h double, shape_embeddings array<double>")
