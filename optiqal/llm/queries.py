@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optiqal.llm import decontamination, exactdedup, language, licenses, mixing, nearest, neardup, passages, sharding, toolcalls
+from optiqal.llm import decontamination, exactdedup, language, licenses, mixing, nearest, neardup, passages, sharding, spelling, toolcalls, trie, urlfilter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,9 +56,21 @@ def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link(calls, results, needs, toolcalls.ANSWER)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(read(spark, sf_dir, "pages"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op4_exactdedup, op5_mixing, op6_nearest, op7_sharding, op8_passages, op9_licenses, op10_toolcalls)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language, op3_neardup, op4_exactdedup, op5_mixing, op6_nearest, op7_sharding, op8_passages, op9_licenses, op10_toolcalls, op11_trie, op12_urlfilter, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op10_toolcalls": toolcalls.ORACLE_SQL}
+    return {"op1_decontamination": decontamination.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op10_toolcalls": toolcalls.ORACLE_SQL, "op11_trie": trie.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}
