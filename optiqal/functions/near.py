@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from optiqal.functions.density import Found, emit
 from optiqal.functions.graph import written
 
 c = F.col
@@ -52,83 +53,47 @@ def _nearest(pivots: dict[int, tuple[np.ndarray, np.ndarray]], reach: float, rad
         for pdf in batches:
             for size, rows in pdf.groupby(pdf["unit"].map(len)):
                 cell, own, cells = one_size(np.stack(rows["unit"].to_list()), int(size))
-                yield pd.DataFrame({"cell": cell, "own": own}) if radius is None else pd.DataFrame({"id": rows["id"].to_list(), "unit": rows["unit"].to_list(), "cell": cell, "cells": cells})
+                yield pd.DataFrame({"cell": cell, "own": own}) if radius is None else pd.DataFrame({"id": rows["id"].to_list(), "unit": rows["unit"].to_list(), "copies": rows["copies"].to_list(), "core": rows["core"].to_list(), "cell": cell, "cells": cells})
 
     return run
 
 
-def _forest(alike: np.ndarray, parent: list[int]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of a table of who is alike (probes x block): each probe's root in the block (-1: none), and new links between members of the block."""
-    n = alike.shape[1]
-    root = np.arange(n)
-    while True:
-        mine = np.where(alike, root[None, :], n).min(axis=1)
-        then = np.minimum(root, np.where(alike, mine[:, None], n).min(axis=0)) if len(alike) else root
-        if (then == root).all():
-            break
-        root = then
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    for i in np.nonzero(root != np.arange(n))[0].tolist():
-        p, q = find(i), find(int(root[i]))
-        if p != q:
-            parent[p] = q
-            links.append((i, int(root[i])))
-    return np.where(mine < n, mine, -1), links
-
-
-def _compared(min_cosine: float, every_pair: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _compared(min_cosine: float, found: Found) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(block: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        a: list = []
-        b: list = []
-        found: list = []
+        parts: list[tuple] = []
         if len(block) and len(probe):
-            x, ids = np.stack(block["unit"].to_list()), block["id"].to_numpy(object)
-            parent = list(range(len(x)))
+            x, parent = np.stack(block["unit"].to_list()), list(range(len(block)))
             for at in range(0, len(probe), BLOCK):
                 some = probe.iloc[at : at + BLOCK]
-                names, same = some["who"].to_numpy(object), some["same"].to_numpy(bool)
-                cosines = np.stack(some["at"].to_list()) @ x.T
+                cosines = np.stack(some["unit"].to_list()) @ x.T
                 alike = cosines >= min_cosine - TIE
-                if every_pair:
-                    j, i = np.nonzero(alike)
-                    once = np.array([not s or p > q for s, p, q in zip(same[j], names[j], ids[i], strict=True)], bool)
-                    a += ids[i[once]].tolist()
-                    b += names[j[once]].tolist()
-                    found += cosines[j[once], i[once]].tolist()
-                    continue
-                root, links = _forest(alike, parent)
-                for i, q in links:
-                    a.append(ids[i])
-                    b.append(ids[q])
-                for j in np.nonzero((root >= 0) & ~same)[0].tolist():
-                    a.append(names[j])
-                    b.append(ids[root[j]])
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "cosine": pd.Series(found if every_pair else [None] * len(a), dtype="float64")})
+                same = some["same"].to_numpy(bool)
+                for here in (same, ~same):
+                    if here.any():
+                        parts += emit(found, some[here], block, alike[here], cosines[here], bool(same[here][0]), parent)
+        return found.frame(parts)
 
     return run
 
 
-def near(units: DataFrame, min_cosine: float, every_pair: bool) -> DataFrame:
-    """(a, b, cosine), a < b: pairs of rows (id, unit) with at least min_cosine; every_pair False: only links that connect what such pairs connect, without cosine.
+def distinct_units(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points, copies): id, unit, copies of each unit vector, under the smallest id that has it; and a, id of all other rows with it."""
+    x = written(units, "units")
+    points = written(x.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "unit", "copies"), "distinct-units")
+    return points, x.join(points.select("unit", c("id").alias("a")), "unit").where("a <> id").select("a", "id")
+
+
+def near(points: DataFrame, min_cosine: float, found: Found) -> DataFrame:
+    """What `found` asks for of the pairs of points (id, unit, copies, core) with at least min_cosine, exactly at every size.
 
-    Rows of one unit vector are compared once: each of the others is linked with the smallest id. Every vector belongs to the cell
-    of its nearest pivot and is compared with its own cell and with each earlier one that the triangle inequality cannot
-    exclude. A cell's vectors are held in blocks and meet the others in parts, so no task holds a cell; of a block and a
-    part only a spanning forest leaves the task, unless every pair is asked for.
+    Every vector belongs to the cell of its nearest pivot and is compared with its own cell and with each earlier one that the
+    triangle inequality cannot exclude. A cell's vectors are held in blocks and meet the others in parts, so no task holds
+    a cell, and each pair is met in one task.
     """
-    kind = units.schema["id"].dataType.simpleString()
-    x = written(units, "units")
-    first = written(x.groupBy("unit").agg(F.min("id").alias("id")).select("id", "unit"), "distinct-units")
-    copies = x.join(first.withColumnRenamed("id", "a"), "unit").where("a <> id").select("a", c("id").alias("b"), F.lit(1.0).alias("cosine"))
+    kind = points.schema["id"].dataType.simpleString()
+    first = points
     n = first.count()
-    sample = first.orderBy(F.xxhash64(c("id").cast("string")), "id").limit(min(PIVOTS, math.isqrt(n) + 1)).collect()  # PIVOTS rows at most
+    sample = first.select("id", "unit").orderBy(F.xxhash64(c("id").cast("string")), "id").limit(min(PIVOTS, math.isqrt(n) + 1)).collect()  # PIVOTS rows at most
     pivots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r["unit"]) for r in sample}:
         at = [i for i, r in enumerate(sample) if len(r["unit"]) == size]
@@ -136,18 +101,17 @@ def near(units: DataFrame, min_cosine: float, every_pair: bool) -> DataFrame:
     reach = math.sqrt(max(0.0, 2 - 2 * min_cosine))
 
     cells = first.mapInPandas(_nearest(pivots, reach, None), "cell long, own double").groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("own")).collect()  # a row a pivot
-    placed = written(first.mapInPandas(_nearest(pivots, reach, {r["cell"]: r["own"] for r in cells}), f"id {kind}, unit array<double>, cell long, cells array<long>"), "placed")
+    placed = written(first.mapInPandas(_nearest(pivots, reach, {r["cell"]: r["own"] for r in cells}), f"id {kind}, unit array<double>, copies long, core boolean, cell long, cells array<long>"), "placed")
     visits = {r["to"]: r["count"] for r in placed.select(F.explode("cells").alias("to")).groupBy("to").count().collect()}  # a row a pivot
     sizes = [(r["cell"], -(-r["n"] // BLOCK), -(-visits[r["cell"]] // PART)) for r in cells]
-    plan = F.broadcast(units.sparkSession.createDataFrame(sizes, "to long, blocks long, parts long"))  # a row a pivot
+    plan = F.broadcast(points.sparkSession.createDataFrame(sizes, "to long, blocks long, parts long"))  # a row a pivot
     h = F.xxhash64(c("id").cast("string"))
     block, part = F.pmod(h, c("blocks")), F.pmod(F.xxhash64(h), c("parts"))
+    row = ["id", "unit", "copies", "core"]
 
-    held = placed.withColumn("to", c("cell")).join(plan, "to").select("to", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), c("parts") - 1)).alias("part"), "id", "unit")
-    sent = placed.select("id", "unit", "cell", F.explode("cells").alias("to")).join(plan, "to").withColumn("mine", block).withColumn("part", part)
+    held = placed.withColumn("to", c("cell")).join(plan, "to").select("to", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), c("parts") - 1)).alias("part"), *row)
+    sent = placed.select(*row, "cell", F.explode("cells").alias("to")).join(plan, "to").withColumn("mine", block).withColumn("part", part)
     last = F.when(c("to") == c("cell"), c("mine")).otherwise(c("blocks") - 1)
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).select("to", "block", "part", c("id").alias("who"), c("unit").alias("at"), ((c("to") == c("cell")) & (c("block") == c("mine"))).alias("same"))
+    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).select("to", "block", "part", *[c(k).alias(k) for k in row], ((c("to") == c("cell")) & (c("block") == c("mine"))).alias("same"))
     key = ["to", "block", "part"]
-    found = held.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(_compared(min_cosine, every_pair), f"a {kind}, b {kind}, cosine double")
-    return found.unionByName(copies).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
-
+    return held.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(_compared(min_cosine, found), found.schema(kind))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optiqal.functions.quantiles import quantiles
+from optiqal.functions.quantiles import quantile_stats
 
 c = F.col
 
@@ -36,7 +36,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 def boxplot(df: DataFrame, category: str, col: str, exact: bool = True) -> DataFrame:
     """category, low, q1, median, q3, high, n: the whiskers are the fences at 1.5 ranges, clamped to the values."""
-    s = df.groupBy(c(category).alias("category")).agg(quantiles(c(col), [0.25, 0.5, 0.75], exact).alias("q"), F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(col).alias("n"))
+    x = df.select(c(category).alias("category"), c(col).alias("value"))
+    s = quantile_stats(x, ["category"], "value", [0.25, 0.5, 0.75], F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"), exact=exact)
     nan = lambda x: F.when(c("n") == 0, F.lit(float("nan"))).otherwise(x)
     q1, q2, q3 = (c("q")[i] for i in range(3))
     return s.select("category", nan(F.greatest(c("lo"), q1 - 1.5 * (q3 - q1))).alias("low"), nan(q1).alias("q1"), nan(q2).alias("median"), nan(q3).alias("q3"), nan(F.least(c("hi"), q3 + 1.5 * (q3 - q1))).alias("high"), "n")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optiqal.functions.graph import components, written
-from optiqal.functions.near import near, units_of
-from optiqal.functions.quantiles import quantiles
+from optiqal.functions.density import Found, density_clusters
+from optiqal.functions.graph import written
+from optiqal.functions.near import distinct_units, near, units_of
+from optiqal.functions.quantiles import quantile_stats
 from optiqal.functions.vectors import distance, mean_vectors
 
 c = F.col
@@ -26,15 +27,15 @@ def distance_to_centroid(df: DataFrame, vector: str = "shape_embeddings") -> Dat
 
 def centroid_outliers(df: DataFrame, percent: float = 95, min_samples: int = 6, vector: str = "shape_embeddings", exact: bool = True) -> DataFrame:
     """label, shape_id, distance of the rows beyond their label's percentile; labels of fewer than min_samples have none."""
-    d = distance_to_centroid(df, vector)
-    bound = d.groupBy("label").agg(quantiles(c("distance"), [percent / 100], exact)[0].alias("bound"), F.count("*").alias("n")).where(c("n") >= min_samples)
+    d = written(distance_to_centroid(df, vector).select("label", "shape_id", "distance"), "distances")
+    bound = quantile_stats(d, ["label"], "distance", [percent / 100], F.count("*").alias("n"), exact=exact).where(c("n") >= min_samples).select("label", c("q")[0].alias("bound"))
     return d.join(bound, "label").where("distance > bound").select("label", "shape_id", "distance")
 
 
 def global_centroid_distance(df: DataFrame, vector: str = "clip_embeddings") -> DataFrame:
     """asset_id, distance to the mean of all vectors."""
     x = df.where(c(vector).isNotNull() & (F.size(vector) > 0))
-    centre = mean_vectors(x.select(F.lit(0).alias("all"), vector), vector, ["all"]).select("centroid")
+    centre = mean_vectors(x, vector, [])
     return x.crossJoin(F.broadcast(centre)).select("asset_id", distance(c(vector), c("centroid")).alias("distance"))  # one centre
 
 
@@ -66,17 +67,20 @@ def similar_pairs(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_e
 
     Of assets with one and the same direction only the smallest is compared; each of the others has a pair with it alone.
     """
-    return near(units_of(df, vector), min_cosine, every_pair=True)
+    points, copies = distinct_units(units_of(df, vector))
+    pairs = near(points.withColumn("core", F.lit(True)), min_cosine, Found("pairs"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").unionByName(copies.select("a", c("id").alias("b"), F.lit(1.0).alias("cosine")))
 
 
-def duplicate_clusters(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_embeddings") -> DataFrame:
-    """asset_id, cluster (its smallest asset): what DBSCAN with two samples makes of cosine distance in the original space.
+def duplicate_clusters(df: DataFrame, min_cosine: float = 0.95, vector: str = "clip_embeddings", min_samples: int = 2) -> DataFrame:
+    """asset_id, cluster: what DBSCAN makes of cosine distance in the original space (see density_clusters); noise has no row.
 
-    With min_samples = 2 every point that has a neighbour is a core point, so clusters are connected components of the pairs.
-    The space is the vectors' own, with no projection to two dimensions before: a deliberate difference. Noise has no row.
+    A cluster is named by its smallest core point, with two samples its smallest asset. The space is the vectors' own, with no
+    projection to two dimensions before: a deliberate difference. Assets of one direction are points of the same place.
     """
-    links = near(units_of(df, vector), min_cosine, every_pair=False)
-    return components(links).select(c("node").alias("asset_id"), c("component").alias("cluster"))
+    points, copies = distinct_units(units_of(df, vector))
+    found = density_clusters(points, lambda p, what: near(p, min_cosine, what), min_samples)
+    return found.select(c("id").alias("asset_id"), "cluster").unionByName(copies.join(found.withColumnRenamed("id", "a"), "a").select(c("id").alias("asset_id"), "cluster"))
 
 
 def cluster_members(clusters: DataFrame) -> DataFrame:

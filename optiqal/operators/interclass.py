@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from optiqal.functions.geometry import iou
 from optiqal.functions.graph import written
 
 c = F.col
-#: Images of more shapes than this are compared tile by tile; an image has TILES x TILES of them.
-CROWDED, TILES = 64, 16
+#: Images, and tiles of an image, of more shapes than this are cut into tiles, 4 x 4 at a time, as often as LEVELS.
+CROWDED, LEVELS = 64, 10
 
 
 def presence(shapes: DataFrame) -> DataFrame:
@@ -43,22 +45,52 @@ def shape_pairs(shapes: DataFrame) -> DataFrame:
     return _paired(a.join(b, "asset_id").where("a_shape_id < b_shape_id"))
 
 
-def overlapping_pairs(shapes: DataFrame, crowded: int = CROWDED, tiles: int = TILES) -> DataFrame:
-    """The pairs of shape_pairs with iou > 0, without visiting the others in crowded images.
-
-    There a box is dealt to the tiles it touches, and a pair is kept in the tile of their intersection's first corner only.
-    Elsewhere the image is one tile.
+def overlapping_pairs(shapes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """The pairs of shape_pairs with iou > 0, without visiting the others in crowded images (see _tiles)."""
+    s = written(shapes.where("x is not null and label is not null").select("asset_id", "shape_id", "label", *"xywh"), "boxes")
+    large = s.groupBy("asset_id").agg(F.count("*").alias("n"), F.min("x").alias("from_x"), F.min("y").alias("from_y"), F.max(c("x") + c("w")).alias("to_x"), F.max(c("y") + c("h")).alias("to_y")).where(c("n") > crowded)
+    large = written(large.drop("n"), "crowded-images")
+    few = large.isEmpty()
+    a, b = _sides(s if few else s.join(large, "asset_id", "left_anti"))
+    pairs = _paired(a.join(b, "asset_id").where("a_shape_id < b_shape_id")).where("iou > 0")
+    if few:
+        return pairs
+    tiles = _tiles(s.join(large, "asset_id"), crowded)
+    tile = ["asset_id", "level", "tile_x", "tile_y"]
+    box = ["shape_id", "label", *"xywh"]
+    cut = lambda v: F.call_function("shiftright", v, 20 - 2 * c("level"))
+    begun = (cut(c("x0")) == c("tile_x")) | (cut(c("y0")) == c("tile_y"))
+    side = lambda p: tiles.select(*tile, *[c(k).alias(f"{p}_{k}") for k in (*box, "x0", "y0")], begun.alias(f"{p}_begun"))
+    met = side("a").where("a_begun").join(side("b"), tile).where("a_shape_id <> b_shape_id and (not b_begun or a_shape_id < b_shape_id)")
+    own = lambda k: cut(F.greatest(f"a_{k}0", f"b_{k}0")) == c(f"tile_{k}")
+    found = _paired(met.where(own("x") & own("y"))).where("iou > 0")
+    return pairs.unionByName(found.withColumns({"shape_1": F.least("shape_1", "shape_2"), "shape_2": F.greatest("shape_1", "shape_2")}))
+
+
+def _tiles(s: DataFrame, crowded: int) -> DataFrame:
+    """Boxes of crowded images dealt to the tiles that they touch: asset_id, level, tile_x, tile_y, the box, and x0, y0.
+
+    Places are whole numbers of 20 bits on the image's extent, and a tile of level k is all places that share the first 2 k
+    bits of both. A tile is cut while more than `crowded` boxes begin in its columns or rows, so the tiles are small where
+    boxes crowd. Boxes that only pass through a tile have no pair of their own there: a pair belongs to the tile in which
+    its intersection begins.
     """
-    a, b = _sides(shapes)
-    n = shapes.where("x is not null and label is not null").groupBy("asset_id").agg(F.count("*").alias("n"), F.max(c("x") + c("w")).alias("to_x"), F.max(c("y") + c("h")).alias("to_y"), F.min("x").alias("from_x"), F.min("y").alias("from_y"))
-    grid = n.select("asset_id", "from_x", "from_y", *[F.when(c("n") > crowded, F.greatest((c(f"to_{k}") - c(f"from_{k}")) / tiles, F.lit(1e-9))).alias(f"step_{k}") for k in "xy"])
-    tile = lambda k, v: F.when(c(f"step_{k}").isNull(), F.lit(0)).otherwise(F.floor((v - c(f"from_{k}")) / c(f"step_{k}"))).cast("long")
-    dealt = lambda df, p: df.join(grid, "asset_id").withColumn("tile_x", F.explode(F.sequence(tile("x", c(f"{p}_x")), tile("x", c(f"{p}_x") + c(f"{p}_w"))))).withColumn("tile_y", F.explode(F.sequence(tile("y", c(f"{p}_y")), tile("y", c(f"{p}_y") + c(f"{p}_h")))))
-    left = dealt(a, "a")
-    right = dealt(b, "b").drop("from_x", "from_y", "step_x", "step_y")
-    met = left.join(right, ["asset_id", "tile_x", "tile_y"]).where("a_shape_id < b_shape_id")
-    own = (c("tile_x") == tile("x", F.greatest("a_x", "b_x"))) & (c("tile_y") == tile("y", F.greatest("a_y", "b_y")))
-    return _paired(met.where(own)).where("iou > 0")
+    place = lambda k, v: F.when(c(f"to_{k}") > c(f"from_{k}"), F.least(F.floor((v - c(f"from_{k}")) / (c(f"to_{k}") - c(f"from_{k}")) * (1 << 20)), F.lit((1 << 20) - 1))).otherwise(0).cast("int")
+    places = {f"{k}{i}": place(k, v) for k, size in (("x", "w"), ("y", "h")) for i, v in ((0, c(k)), (1, c(k) + c(size)))}
+    now = s.withColumns(places).drop("from_x", "from_y", "to_x", "to_y").withColumns({"tile_x": F.lit(0), "tile_y": F.lit(0)})
+    tile, done = ["asset_id", "tile_x", "tile_y"], []
+    for level in range(LEVELS + 1):
+        now = written(now, "tiles")
+        shift = 20 - 2 * level
+        begun = (F.shiftright("x0", shift) == c("tile_x")) | (F.shiftright("y0", shift) == c("tile_y"))
+        full = written(now.groupBy(*tile).agg(F.count_if(begun).alias("n")).where(c("n") > crowded).select(*tile), "full-tiles") if level < LEVELS else None
+        last = full is None or full.isEmpty()
+        done.append((now if last else now.join(full, tile, "left_anti")).withColumn("level", F.lit(level)))
+        if last:
+            break
+        within = lambda k: F.sequence(F.greatest(F.shiftright(f"{k}0", shift - 2), c(f"tile_{k}") * 4), F.least(F.shiftright(f"{k}1", shift - 2), c(f"tile_{k}") * 4 + 3))  # noqa: B023, E731
+        now = now.join(full, tile, "left_semi").select("*", F.explode(within("x")).alias("next_x")).select("*", F.explode(within("y")).alias("next_y")).drop("tile_x", "tile_y").withColumnsRenamed({"next_x": "tile_x", "next_y": "tile_y"})
+    return reduce(DataFrame.unionByName, done)
 
 
 def pair_totals(shapes: DataFrame) -> DataFrame:

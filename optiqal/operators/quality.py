@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optiqal.functions.quantiles import quantiles
+from optiqal.functions.quantiles import quantile_stats
 
 c = F.col
 
@@ -21,7 +21,8 @@ def iqr_outliers(images: DataFrame, col: str, low: float = 0.05, high: float = 0
     of all. Ties go to the smaller asset_id; nulls take no part.
     """
     x = images.where(c(col).isNotNull()).select("asset_id", col)
-    t = x.agg(quantiles(c(col), [low, 0.5, high], exact).alias("q"), F.min(F.struct(col, "asset_id"))["asset_id"].alias("least"), F.min(F.struct((-c(col)).alias("v"), "asset_id"))["asset_id"].alias("most"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+    ends = [F.min(F.struct(col, "asset_id"))["asset_id"].alias("least"), F.min(F.struct((-c(col)).alias("v"), "asset_id"))["asset_id"].alias("most"), F.min(col).alias("lo"), F.max(col).alias("hi")]
+    t = quantile_stats(x, [], col, [low, 0.5, high], *ends, keep=["asset_id"], exact=exact)
     iqr = c("q")[2] - c("q")[0]
     t = t.select((c("q")[0] - reach * iqr).alias("lower"), (c("q")[2] + reach * iqr).alias("upper"), c("q")[1].alias("median"), "least", "most", "lo", "hi")
     y = x.crossJoin(F.broadcast(t))  # a single row
@@ -38,7 +39,7 @@ def iqr_outliers(images: DataFrame, col: str, low: float = 0.05, high: float = 0
 def blur_outliers(images: DataFrame, q: float = 0.99, sample_n: int = 5, exact: bool = True) -> DataFrame:
     """Outlier rows of group `blur`: scores at or above the quantile (the sharpest), at or below 1 - q (the blurriest), and a typical sample below it."""
     x = images.where("blur_score is not null").select("asset_id", "blur_score")
-    t = x.agg(quantiles(c("blur_score"), [1 - q, 0.5, q], exact).alias("q"))
+    t = quantile_stats(x, [], "blur_score", [1 - q, 0.5, q], exact=exact)
     y = x.crossJoin(F.broadcast(t))  # a single row
     sample = y.where(c("blur_score") < c("q")[2]).orderBy(F.abs(c("blur_score") - c("q")[1]), "asset_id").limit(sample_n)
     return (

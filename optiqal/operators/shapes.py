@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from optiqal.functions.quantiles import quantiles
+from optiqal.functions.graph import written
+from optiqal.functions.quantiles import quantile_stats
 
 c = F.col
 
@@ -26,7 +27,8 @@ def shape_global_stats(f: DataFrame, small: float = 20, large: float = 0.5) -> D
 
 def per_class_area_stats(f: DataFrame, exact: bool = True) -> DataFrame:
     """label, count_area, mean_area, median_area, std_area."""
-    return f.groupBy("label").agg(F.count("area").alias("count_area"), F.avg("area").alias("mean_area"), quantiles(c("area"), [0.5], exact)[0].alias("median_area"), F.stddev_samp("area").alias("std_area"))
+    x = quantile_stats(f, ["label"], "area", [0.5], F.count("area").alias("count_area"), F.avg("area").alias("mean_area"), F.stddev_samp("area").alias("std_area"), exact=exact)
+    return x.select("label", "count_area", "mean_area", c("q")[0].alias("median_area"), "std_area")
 
 
 def aspect_ratio_stats(f: DataFrame) -> DataFrame:
@@ -42,7 +44,8 @@ def shape_density_stats(shapes: DataFrame, images: DataFrame | None = None, exac
     n = counts_per_asset(shapes)
     if images is not None:
         n = images.select("asset_id").distinct().join(n, "asset_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return n.agg(F.avg("n").alias("mean_n"), F.stddev_samp("n").alias("std_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), quantiles(c("n"), [0.5], exact)[0].alias("median_n"), F.count_if(c("n") == 0).alias("num_empty_images"))
+    x = quantile_stats(n, [], "n", [0.5], F.avg("n").alias("mean_n"), F.stddev_samp("n").alias("std_n"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.count_if(c("n") == 0).alias("num_empty_images"), exact=exact)
+    return x.select("mean_n", "std_n", "min_n", "max_n", c("q")[0].alias("median_n"), "num_empty_images")
 
 
 def class_distribution(shapes: DataFrame) -> DataFrame:
@@ -51,19 +54,20 @@ def class_distribution(shapes: DataFrame) -> DataFrame:
 
 
 def _class_stats(f: DataFrame, col: str, exact: bool) -> DataFrame:
-    q = quantiles(c(col), [0.25, 0.75], exact)
-    x = f.groupBy("label").agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.count("*").alias("size"), q.alias("q"))
+    x = quantile_stats(f, ["label"], col, [0.25, 0.75], F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.count("*").alias("size"), exact=exact)
     iqr = c("q")[1] - c("q")[0]
     return x.select("label", "mean", "std", "size", (c("q")[0] - 1.5 * iqr).alias("low"), (c("q")[1] + 1.5 * iqr).alias("high"))
 
 
 def _sides(f: DataFrame, col: str, z: float, least: int, exact: bool) -> DataFrame:
-    """f with below and above: beyond z standard deviations, or beyond the fences in a class of 5 or more; the class needs `least` rows."""
+    """Rows with below and above: beyond z standard deviations, or beyond the fences in a class of 5 or more; the class needs `least` rows."""
+    f = written(f.select("label", "asset_id", "shape_id", col), "shapes")
     x = f.join(_class_stats(f, col, exact), "label")
     score = (c(col) - c("mean")) / c("std")
     enough, spread, fenced = c("size") >= least, c("std") > 0, c("size") >= 5
     side = lambda by_z, by_iqr: F.coalesce(enough & ((spread & by_z) | (fenced & by_iqr)), F.lit(False))
-    return x.withColumn("below", side(F.when(spread, score < -z), c(col) < c("low"))).withColumn("above", side(F.when(spread, score > z), c(col) > c("high")))
+    sides = [side(F.when(spread, score < -z), c(col) < c("low")).alias("below"), side(F.when(spread, score > z), c(col) > c("high")).alias("above")]
+    return written(x.select("label", "asset_id", "shape_id", col, *sides), "sides")
 
 
 def _rows(df: DataFrame, group: str, item: Column, description: Column, score: str) -> DataFrame:
@@ -73,8 +77,9 @@ def _rows(df: DataFrame, group: str, item: Column, description: Column, score: s
 def _typical(x: DataFrame, col: str, exact: bool) -> DataFrame:
     """Of each label that has an outlier, the inlier nearest to the median of the inliers; ties to the smaller shape_id."""
     inlier = ~c("below") & ~c("above")
-    t = x.groupBy("label").agg(quantiles(F.when(inlier, c(col)), [0.5], exact)[0].alias("median"), F.bool_or(~inlier).alias("some")).where("some")
-    near = x.where(inlier).join(t, "label")
+    some = x.join(x.where(~inlier).select("label").distinct(), "label", "left_semi").where(inlier)
+    t = quantile_stats(some, ["label"], col, [0.5], exact=exact).select("label", c("q")[0].alias("median"))
+    near = some.join(t, "label")
     best = near.groupBy("label").agg(F.min(F.struct(F.abs(c(col) - c("median")).alias("away"), c("shape_id"), c("asset_id"), c(col))).alias("b"))
     return best.select("label", "b.shape_id", "b.asset_id", F.col(f"b.{col}").alias(col))
 
@@ -98,12 +103,12 @@ def aspect_ratio_outliers(f: DataFrame, z: float = 2.5, exact: bool = True, typi
 
 def density_outliers(shapes: DataFrame, sample_n: int = 5, use_quantiles: bool = True, z: float = 2.5, exact: bool = True) -> DataFrame:
     """Outlier rows of group `density`: assets of few and many shapes (quantile bounds count as outside), and typical ones."""
-    n = counts_per_asset(shapes)
+    n = written(counts_per_asset(shapes), "counts")
     if use_quantiles:
-        t = n.agg(quantiles(c("n"), [0.05, 0.5, 0.95], exact).alias("q")).select(c("q")[0].alias("lo"), c("q")[2].alias("hi"), c("q")[1].alias("median"))
+        t = quantile_stats(n, [], "n", [0.05, 0.5, 0.95], exact=exact).select(c("q")[0].alias("lo"), c("q")[2].alias("hi"), c("q")[1].alias("median"))
         low, high = c("n") <= c("lo"), c("n") >= c("hi")
     else:
-        t = n.agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), quantiles(c("n"), [0.5], exact)[0].alias("median")).where("std > 0")
+        t = quantile_stats(n, [], "n", [0.5], F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"), exact=exact).where("std > 0").withColumn("median", c("q")[0])
         low, high = (c("n") - c("mean")) / c("std") < -z, (c("n") - c("mean")) / c("std") > z
     x = n.crossJoin(F.broadcast(t)).withColumn("low", low).withColumn("high", high)  # t is a single row
     as_row = lambda df, item, text: df.select(F.lit("density").alias("group"), F.lit(item).alias("item"), F.lit(text).alias("description"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("label_2"), c("asset_id").cast("string").alias("asset_id"), F.lit(None).cast("string").alias("shape_id"), c("n").cast("double").alias("score"))

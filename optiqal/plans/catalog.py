@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,6 +297,18 @@ def _label_vectors(spark, d):
     return mean_vectors(v.vectors(spark, d), "shape_embeddings", ["label"]).withColumnRenamed("centroid", "embedding")
 
 
+@query(_LABELS.format("").replace(", k AS (SELECT count(*) AS k FROM lv), g AS", "###").partition("###")[0] + " SELECT id AS shape_id, label, round(s, 9) AS similarity, r::INT AS rank FROM rk")
+def label_similarities(spark, d):
+    """Every label by its similarity to each shape."""
+    return rounded(mislabel.label_similarities(v.vectors(spark, d), _label_vectors(spark, d)))
+
+
+@query(_LABELS.format("").replace(", k AS (SELECT count(*) AS k FROM lv), g AS", "###").partition("###")[0] + " SELECT id AS shape_id, label, round(s, 9) AS similarity, r::INT AS rank FROM rk WHERE r < 3")
+def top_labels(spark, d):
+    """The three most similar labels, with the label vectors in blocks of two or so."""
+    return rounded(mislabel.label_similarities(v.vectors(spark, d), _label_vectors(spark, d), top=3, label_bytes=1200))
+
+
 @query(_LABELS.format("") + _STATUS)
 def mislabels(spark, d):
     """All ten labels: the rule for many."""
@@ -390,6 +405,21 @@ def caption_clusters(spark, d):
     return captions.caption_clusters(v.captions(spark, d))
 
 
+#: The same with five samples: core points, their components, and border points with the smallest cluster that they reach.
+_FIVE = (
+    "RECURSIVE " + _CAPS.replace("0.875 - 1e-12", "0.68 - 1e-12").replace("near AS (", "near AS MATERIALIZED (") + ", ed AS MATERIALIZED (SELECT a, b FROM near UNION SELECT b, a FROM near), ot AS (SELECT ed.a AS id, sum(f.copies) AS n FROM ed JOIN first f ON f.id = ed.b GROUP BY 1), nc AS MATERIALIZED (SELECT first.id, first.copies + coalesce(ot.n, 0) AS n FROM first LEFT JOIN ot USING (id) SEMI JOIN rep USING (id)), "
+    "core AS MATERIALIZED (SELECT id FROM nc WHERE n >= 5), reach AS (SELECT id, id AS r FROM core UNION SELECT reach.id, ed.b FROM reach JOIN ed ON ed.a = reach.r SEMI JOIN core ON core.id = ed.b), cl AS MATERIALIZED (SELECT id, min(r) AS cluster FROM reach GROUP BY id), "
+    "bd AS (SELECT ed.a AS id, min(cluster) AS cluster FROM ed JOIN cl ON cl.id = ed.b WHERE ed.a NOT IN (SELECT id FROM core) GROUP BY 1), em AS (SELECT min(doc_id) AS e, count(*) AS k FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT id FROM tf)), "
+    "cc AS (SELECT d.doc_id AS asset_id, coalesce(CASE WHEN d.doc_id NOT IN (SELECT id FROM tf) THEN CASE WHEN k >= 5 THEN e END ELSE coalesce(cl.cluster, bd.cluster) END::VARCHAR, '-1') AS cluster FROM documents d JOIN first USING (text) LEFT JOIN cl ON cl.id = first.id LEFT JOIN bd ON bd.id = first.id, em)"
+)
+
+
+@query(f"WITH {_FIVE} SELECT asset_id, cluster FROM cc")
+def caption_clusters_of_five(spark, d):
+    """Five samples at distance 0.8, a cosine of 0.68."""
+    return captions.caption_clusters(v.captions(spark, d), eps=0.8, min_samples=5)
+
+
 @query(f"WITH {_CLUSTER}, ct AS (SELECT cluster, id, term, tf FROM tf JOIN cc ON cc.asset_id = tf.id), cd AS (SELECT cluster, term, count(*) AS df FROM ct GROUP BY 1, 2), cn AS (SELECT cluster, count(*) AS n FROM cc GROUP BY 1), cw AS (SELECT cluster, id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM ct JOIN cd USING (cluster, term) JOIN cn USING (cluster)), cu AS (SELECT cluster, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster, id)) AS w FROM cw), cs AS (SELECT cluster, term, round(sum(w), 9) AS w FROM cu GROUP BY 1, 2), cr AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, term) AS nth FROM cs) SELECT cluster, string_agg(term, ' ' ORDER BY nth) AS keywords FROM cr WHERE nth <= 10 GROUP BY cluster")
 def caption_cluster_keywords(spark, d):
     x = v.captions(spark, d)
@@ -552,7 +582,7 @@ def guarded_shapes(spark, d):
 
 @query("SELECT doc_id AS asset_id FROM documents WHERE text IS NOT NULL")
 def captioned(spark, d):
-    return v.captions(spark, d).where(c("caption").isNotNull()).select("asset_id")
+    return captions.without_null_captions(v.captions(spark, d)).select("asset_id")
 
 
 # Report and curation
@@ -680,11 +710,11 @@ def appended_content(spark, d):
     x = v.table(spark, d, "events").select(c("event_type").alias("name"), F.when(c("value") < 50, "content").otherwise("error").alias("type"))
 
     def write(t, path):
-        src.append_content(t.where("type = 'content'"), path)
-        src.append_content(t.where("type = 'error'"), path)
-        src.append_content(t.sparkSession.createDataFrame([("done", "event")], "name string, type string"), path)
+        for batch in (0, 1, 1):  # the second one twice, as after a failure
+            src.append_content(t.where(c("type") == ("content", "error")[batch]), path, batch)
+        src.append_content(t.sparkSession.createDataFrame([("done", "event")], "name string, type string"), path, "end")
 
-    return _round_trip(x, "content", write, lambda s, p: s.read.json(p)).groupBy("name", "type").agg(F.count("*").alias("n"))
+    return _round_trip(x, "content", write, lambda s, p: src.read_content(s, p, "name string")).groupBy("name", "type").agg(F.count("*").alias("n"))
 
 
 #: Grey images of 8 x 8 from 64 components: round(128 + 40 * component), cut to 0..255.
@@ -706,6 +736,48 @@ def _pictures(spark: SparkSession, d: str) -> DataFrame:
     return x.select(c("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("nChannels"), data.alias("data"))
 
 
+#: Per label, how many of its vectors are positive in each of the 64 places, modulo 256: a grey picture, and with the next two places a coloured one.
+_FILES = (
+    "cnt AS (SELECT label, p, count(*) FILTER (WHERE v > 0) % 256 AS v FROM (SELECT label, unnest(range(64)) AS p, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2), "
+    "pix AS (SELECT a.label, a.p, a.v::DOUBLE AS r, b.v::DOUBLE AS g, e.v::DOUBLE AS b FROM cnt a JOIN cnt b ON b.label = a.label AND b.p = (a.p + 1) % 64 JOIN cnt e ON e.label = a.label AND e.p = (a.p + 2) % 64), "
+    "files AS (SELECT label || '-grey' AS name, p, r, r AS g, r AS b FROM pix UNION ALL SELECT label || '-colour', p, r, g, b FROM pix), "
+    "light AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS l, round_even(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b, 0) AS grey, p // 8 AS i, p % 8 AS j FROM files), "
+    "edge AS (SELECT n.*, u.grey + w.grey + x.grey + y.grey - 4 * n.grey AS e FROM light n JOIN light u ON u.name = n.name AND u.j = n.j AND u.i = CASE n.i WHEN 0 THEN 1 ELSE n.i - 1 END JOIN light w ON w.name = n.name AND w.j = n.j AND w.i = CASE n.i WHEN 7 THEN 6 ELSE n.i + 1 END "
+    "JOIN light x ON x.name = n.name AND x.i = n.i AND x.j = CASE n.j WHEN 0 THEN 1 ELSE n.j - 1 END JOIN light y ON y.name = n.name AND y.i = n.i AND y.j = CASE n.j WHEN 7 THEN 6 ELSE n.j + 1 END)"
+)
+
+
+def _png(name: str, values: list[int]) -> bytes:
+    """A PNG of 8 x 8 from 64 values: grey, coloured (a value and the next two for red, green and blue), or cut off, by the end of its name."""
+    grey = not name.endswith("-colour")
+    rows = [values[8 * i : 8 * i + 8] if grey else [values[(8 * i + j + k) % 64] for j in range(8) for k in range(3)] for i in range(8)]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    whole = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 0 if grey else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+    return whole[:40] if name.endswith("-broken") else whole
+
+
+@query(
+    f"WITH {_FILES} SELECT name, 8::INT AS width, 8::INT AS height, false AS is_corrupted, round(var_pop(e), 6) AS blur_score, var_pop(e) < 5000 AS is_blurry, round(avg(r), 6) AS red, round(avg(g), 6) AS green, round(avg(b), 6) AS blue, round(avg(l), 6) AS luminance, round(stddev_pop(l), 6) AS contrast, NULL::BIGINT AS small_file FROM edge GROUP BY name "
+    "UNION ALL SELECT DISTINCT label || '-broken', NULL, NULL, true, 0, NULL, NULL, NULL, NULL, NULL, NULL, 41 FROM embeddings"
+)
+def image_files(spark, d):
+    """Pictures written as files, grey, coloured and cut off, read in one scan and measured."""
+    one = v.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("p", "v")).groupBy("label", "p").agg((F.count_if(c("v") > 0) % 256).cast("int").alias("v"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"])  # 64 values
+    named = one.groupBy("label").agg(values.alias("values")).select(F.explode(F.transform(F.array(*map(F.lit, ("grey", "colour", "broken"))), lambda k: F.concat_ws("-", "label", k))).alias("name"), "values")
+
+    def encode(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"name": pdf["name"], "data": [_png(n, list(map(int, x))) for n, x in zip(pdf["name"], pdf["values"], strict=True)]})
+
+    files = _round_trip(named.mapInPandas(encode, "name string, data binary"), "pictures", img.write_images, lambda s, p: img.read_images(s, p, recursiveFileLookup="true", pathGlobFilter="part-*"))
+    got = img.image_quality(files, blur_threshold=5000).join(files.select("path", "file_size_bytes"), "path")
+    name = F.regexp_extract("path", "name=([^/]+)/", 1)
+    channel = lambda i: F.get("color", F.lit(i))
+    got = got.select(name.alias("name"), "width", "height", "is_corrupted", "blur_score", "is_blurry", channel(0).alias("red"), channel(1).alias("green"), channel(2).alias("blue"), "luminance", "contrast", F.when(c("file_size_bytes") < 50, c("file_size_bytes")).alias("small_file"))
+    return rounded(got, 6)
+
+
 _METRICS = "CASE WHEN broken THEN 0 ELSE blur_score END AS blur_score, CASE WHEN NOT broken THEN is_blurry END AS is_blurry, CASE WHEN NOT broken THEN luminance END AS luminance, CASE WHEN NOT broken THEN contrast END AS contrast, broken AS is_corrupted"
 
 
@@ -738,7 +810,6 @@ def strict_annotation_view(spark, d):
 @query(f"WITH {v.SHAPES}, n AS (SELECT label, count(*) AS n FROM shapes GROUP BY label) SELECT 'classes' AS name, count(*) AS rows, NULL AS message FROM n UNION ALL SELECT 'broken', NULL, 'ValueError: ' || (SELECT count(*) FROM shapes) || ' shapes'")
 def checks_with_a_failure(spark, d):
     """Two checks: one writes its rows, the other raises and becomes an error row."""
-    done = {}
     checks = Checks()
 
     def broken(tables):
@@ -746,13 +817,7 @@ def checks_with_a_failure(spark, d):
 
     checks.register("broken", broken)
     checks.register("classes", lambda tables: shp.class_distribution(tables["shapes"]))
-    failed = checks.run(spark, {"shapes": v.shapes(spark, d)}, lambda name, df: done.update({name: df}))
-    none = lambda kind: F.lit(None).cast(kind)
-    sound = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", none("string").alias("message")) for name, df in done.items()]
-    out = failed.select("name", none("long").alias("rows"), "message")
-    for df in sound:
-        out = out.unionByName(df)
-    return out
+    return checks.run(spark, {"shapes": v.shapes(spark, d)}, lambda name, df: df.write.format("noop").mode("overwrite").save())
 
 
 @query(f"{_GLOBAL}, k AS (SELECT count(*) - floor(count(*) * (1 - 3 / 100.0::DOUBLE))::BIGINT AS k FROM dist) SELECT asset_id, 'TAG,DELETE' AS actions FROM (SELECT id AS asset_id, row_number() OVER (ORDER BY distance DESC, id) AS nth FROM dist), k WHERE nth <= k")
@@ -760,15 +825,45 @@ def outlier_actions(spark, d):
     return embedding.embedding_outliers(v.vectors(spark, d)).select("asset_id", F.array_join(report.actions_of("clip_outliers"), ",").alias("actions"))
 
 
-@query("SELECT doc_id AS asset_id, round(length(text) / 1000.0::DOUBLE, 4) AS size FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id AS asset_id, CASE WHEN text <> '' THEN round(length(text) / 1000.0::DOUBLE, 3) END AS size, CASE WHEN text <> '' THEN round(list_sum(list_transform(string_split(text, ''), lambda x: unicode(x)))::DOUBLE / 1000, 3) END AS codes, text = '' AS failed FROM documents WHERE text IS NOT NULL")
 def model_embeddings(spark, d):
-    """Embeddings by a model, here one that gives a text's length in thousands."""
-    x = v.captions(spark, d).where("caption is not null").withColumn("data", F.length("caption").cast("double"))
+    """Embeddings by a model that reads whole texts of very different sizes, and fails on empty ones."""
+
+    def make_model():
+        def one(t):
+            if not t:
+                raise ValueError("nothing to embed")
+            return [float(len(t)), float(sum(map(ord, t)))]
+
+        return lambda batch: [one(t) for t in batch]
+
+    got = inference.embed_images(captions.without_null_captions(v.captions(spark, d)), make_model, "caption", error="error")
+    part = lambda i: F.round(F.get("clip_embeddings", F.lit(i)).cast("double") / 1000, 3)
+    return got.select("asset_id", part(0).alias("size"), part(1).alias("codes"), c("error").isNotNull().alias("failed"))
+
+
+@query(f"WITH {v.SHAPES} SELECT label, 'a ' || label AS prompt, (length(label) + 2)::DOUBLE AS size, list_sum(list_transform(string_split('a ' || label, ''), lambda x: unicode(x)))::DOUBLE AS codes FROM (SELECT DISTINCT label FROM shapes)")
+def model_label_embeddings(spark, d):
+    """Labels by the vectors of their prompts."""
+    labels = shp.class_distribution(v.shapes(spark, d)).select("label")
+    got = inference.embed_labels(labels, lambda: lambda batch: [[len(t), sum(map(ord, t))] for t in batch])
+    return got.select("label", inference.label_prompt(c("label")).alias("prompt"), c("embedding")[0].cast("double").alias("size"), c("embedding")[1].cast("double").alias("codes"))
+
+
+@query("SELECT vec_id AS asset_id, CASE WHEN vec_id % 10 = 3 THEN 'broken' ELSE 'mean ' || (list_sum(p) // 64)::BIGINT || ' of 64' END AS caption FROM (SELECT vec_id, list_transform(embedding, lambda e: least(255, greatest(0, round(128 + 40 * e::DOUBLE)))::BIGINT) AS p FROM embeddings)")
+def model_captions(spark, d):
+    """Captions by a model of binary pictures; it fails on those that have lost a byte."""
 
     def make_model():
-        return lambda batch: (batch.reshape(len(batch), 1) / 1000).astype("float32")
+        def one(data):
+            if len(data) != 64:
+                raise ValueError("broken")
+            return f"mean {sum(data) // 64} of {len(data)}"
+
+        return lambda batch: [one(x) for x in batch]
 
-    return inference.embed_images(x, make_model).select("asset_id", F.round(c("clip_embeddings")[0].cast("double"), 4).alias("size"))
+    got = inference.caption_images(_pictures(spark, d), make_model, error="error")
+    return got.select(c("path").cast("long").alias("asset_id"), F.when(c("error").isNotNull(), F.regexp_replace("error", "^ValueError: ", "")).otherwise(c("caption")).alias("caption"))
 
 
 #: In each image one kind of part keeps its name and all others are common.

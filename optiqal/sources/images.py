@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 METRICS = "path string, width int, height int, is_corrupted boolean, is_blurry boolean, blur_score double, color array<double>, luminance double, contrast double"
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, file_size_bytes and the decoded image; files that cannot be decoded stay, with an empty image."""
-    decoded = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    size = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("file_size_bytes"))
-    clean = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    return decoded.withColumn("path", clean(F.col("origin"))).drop("origin").join(size.withColumn("path", clean(F.col("path"))), "path", "left")
+def read_images(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """path, file_size_bytes and the decoded image of each file below path, in one scan; files that cannot be decoded stay, with an empty image.
+
+    options are those of Spark's file sources, as recursiveFileLookup or pathGlobFilter.
+    """
+    files = spark.read.format("image").option("dropInvalid", False).options(**options).load(path)
+    return files.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"), F.col("_metadata.file_size").alias("file_size_bytes"), *[F.col(f"image.{k}") for k in ("height", "width", "nChannels", "mode", "data")])
+
+
+def write_images(images: DataFrame, path: str, name: str = "name", data: str = "data") -> None:
+    """Each row's binary `data` as a file of its own, in the folder `name=<name>` below path, through Spark's own file systems.
+
+    A line break follows the data, which image formats ignore. Names are distinct; rows of one name would share a file.
+    """
+    out = images.select(F.col(name).alias("name"), F.col(data).cast("string").alias("value"))
+    out.repartition("name").write.partitionBy("name").text(path)
 
 
 def measure(pixels: np.ndarray, blur_threshold: float = 90.0) -> dict:

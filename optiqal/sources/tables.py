@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from optiqal.functions.geometry import polygon_to_bbox
 from optiqal.functions.vectors import parse_vector
@@ -75,11 +76,24 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def append_content(content: DataFrame, path: str) -> None:
-    """Append rows (type content, error or event, and the columns of a report) to a table that is split by type."""
-    content.write.mode("append").partitionBy("type").json(path)
+def append_content(content: DataFrame, path: str, batch: str | int) -> None:
+    """Rows (type content, error or event, and the columns of a report) of one batch, in a table that is split by batch and type.
+
+    A batch has a folder of its own and replaces what an earlier attempt has left there: appending it again changes nothing.
+    """
+    content.write.mode("overwrite").partitionBy("type").json(f"{path.rstrip('/')}/batch={batch}")
+
+
+def append_stream(content: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """append_content for each micro-batch of a stream, keyed by its number: a batch that is replayed after a failure counts once."""
+    return content.writeStream.foreachBatch(lambda rows, batch: append_content(rows, path, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_content(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches; schema names the content's own columns, without type and batch."""
+    return spark.read.schema(f"{schema}, type string, batch string").json(path)
 
 
 def is_computing(spark: SparkSession, path: str) -> bool:
-    """Whether no event row has ended the report yet."""
-    return spark.read.json(path).where("type = 'event'").isEmpty()
+    """Whether no event row of any batch has ended the report yet; a table without a batch is still computing."""
+    return read_content(spark, path, "name string").where("type = 'event'").isEmpty()

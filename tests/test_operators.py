@@ -154,11 +154,21 @@ def test_mislabel_rules(spark):
 
 
 def test_labels_in_blocks(spark):
-    labels = spark.createDataFrame([(f"l{i}", [1.0, i / 7, (i * i) % 5 / 3]) for i in range(12)] + [("none", None)], "label string, embedding array<double>")
-    df = spark.createDataFrame([(i, [i % 4 - 1.5, i % 3 / 2, 1.0]) for i in range(40)] + [(99, None)], "shape_id long, shape_embeddings array<double>")
-    whole, blocks = ({r["shape_id"]: r["ranked"] for r in mislabel.ranked_labels(df, labels, label_bytes=n).collect()} for n in (mislabel.LABEL_BYTES, 100))
-    assert len(whole) == 40 and all(len(v) == 13 for v in whole.values()) and blocks == whole
-    assert mislabel.ranked_labels(df.where("shape_id < 0"), labels, label_bytes=100).count() == 0
+    labels = spark.createDataFrame([(f"l{i}", [1.0, i / 7, (i * i) % 5 / 3]) for i in range(12)] + [("none", None), (None, [1.0, 2.0, 3.0]), ("l3", [5.0, 0.0, 0.1])], "label string, embedding array<double>")
+    df = spark.createDataFrame([(i, f"l{i % 14}", [i % 4 - 1.5, i % 3 / 2, 1.0]) for i in range(40)] + [(50, None, [0.0, 0.0, 0.0]), (51, "l1", [1.0]), (99, "l1", None)], "shape_id long, label string, shape_embeddings array<double>")
+    whole, blocks = ({r["shape_id"]: tuple(r) for r in mislabel.mislabels(df, labels, label_bytes=n).collect()} for n in (mislabel.LABEL_BYTES, 100))
+    assert len(whole) == 42 and blocks == whole
+    assert mislabel.mislabels(df.where("shape_id < 0"), labels, label_bytes=100).count() == 0
+    assert mislabel.mislabels(df, labels.limit(0)).count() == 0
+    every = {}
+    for r in mislabel.label_similarities(df, labels).collect():
+        every.setdefault(r["shape_id"], {})[r["rank"]] = (r["label"], r["similarity"])
+    assert all(sorted(v) == list(range(14)) for v in every.values()) and len(every) == 42
+    assert all([s for _, s in (v[k] for k in sorted(v))] == sorted((s for _, s in v.values()), reverse=True) for v in every.values())
+    some = {(r["shape_id"], r["rank"]): (r["label"], r["similarity"]) for r in mislabel.label_similarities(df, labels, top=4, label_bytes=100).collect()}
+    assert some == {(i, k): every[i][k] for i in every for k in range(4)}
+    with pytest.raises(ValueError):
+        mislabel.label_similarities(df, labels, label_bytes=100)
 
 
 def test_mislabel_report(spark):
@@ -293,9 +303,9 @@ def test_report_files_and_status(spark, tmp_path):
     src.write_report(rep, str(tmp_path / "r"))
     assert tuple(src.read_report(spark, str(tmp_path / "r")).first()) == row
     log = str(tmp_path / "log")
-    src.append_content(spark.createDataFrame([("content", "x")], "type string, text string"), log)
+    src.append_content(spark.createDataFrame([("content", "x")], "type string, text string"), log, 1)
     assert src.is_computing(spark, log)
-    src.append_content(spark.createDataFrame([("event", "done")], "type string, text string"), log)
+    src.append_content(spark.createDataFrame([("event", "done")], "type string, text string"), log, 2)
     assert not src.is_computing(spark, log)
 
 
@@ -318,8 +328,8 @@ def test_failing_check_leaves_the_others(spark):
     checks, written = Checks(), {}
     checks.register("bad", lambda t: t["nothing"])
     checks.register("good", lambda t: t["shapes"])
-    errors = checks.run(spark, {"shapes": spark.range(3)}, lambda name, df: written.update({name: df.count()}))
-    assert written == {"good": 3} and [r["name"] for r in errors.collect()] == ["bad"]
+    found = checks.run(spark, {"shapes": spark.range(3)}, lambda name, df: written.update({name: df.count()}))
+    assert written == {"good": 3} and [(r["name"], r["rows"], r["message"] is None) for r in found.collect()] == [("bad", None, False), ("good", 3, True)]
 
 
 def test_models_get_batches(spark):
