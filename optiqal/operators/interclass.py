@@ -71,8 +71,8 @@ def _tiles(s: DataFrame, crowded: int) -> DataFrame:
     """Boxes of crowded images dealt to the tiles that they touch: asset_id, level, tile_x, tile_y, the box, and x0, y0.
 
     Places are whole numbers of 20 bits on the image's extent, and a tile of level k is all places that share the first 2 k
-    bits of both. A tile is cut while more than `crowded` boxes begin in its columns or rows, so the tiles are small where
-    boxes crowd. Boxes that only pass through a tile have no pair of their own there: a pair belongs to the tile in which
+    bits of both. A tile in whose columns or rows more than `crowded` boxes begin is cut if that halves the pairs to compare,
+    so tiles are small where small boxes crowd, and boxes that overlap anyhow are not dealt out for nothing. Boxes that only pass through a tile have no pair of their own there: a pair belongs to the tile in which
     its intersection begins.
     """
     place = lambda k, v: F.when(c(f"to_{k}") > c(f"from_{k}"), F.least(F.floor((v - c(f"from_{k}")) / (c(f"to_{k}") - c(f"from_{k}")) * (1 << 20)), F.lit((1 << 20) - 1))).otherwise(0).cast("int")
@@ -80,16 +80,21 @@ def _tiles(s: DataFrame, crowded: int) -> DataFrame:
     now = s.withColumns(places).drop("from_x", "from_y", "to_x", "to_y").withColumns({"tile_x": F.lit(0), "tile_y": F.lit(0)})
     tile, done = ["asset_id", "tile_x", "tile_y"], []
     for level in range(LEVELS + 1):
-        now = written(now, "tiles")
-        shift = 20 - 2 * level
-        begun = (F.shiftright("x0", shift) == c("tile_x")) | (F.shiftright("y0", shift) == c("tile_y"))
-        full = written(now.groupBy(*tile).agg(F.count_if(begun).alias("n")).where(c("n") > crowded).select(*tile), "full-tiles") if level < LEVELS else None
-        last = full is None or full.isEmpty()
-        done.append((now if last else now.join(full, tile, "left_anti")).withColumn("level", F.lit(level)))
+        now, shift = written(now, "tiles"), 20 - 2 * level
+        begins = lambda x, y, shift: F.count_if((F.shiftright("x0", shift) == c(x)) | (F.shiftright("y0", shift) == c(y)))
+        within = lambda k: F.sequence(F.greatest(F.shiftright(f"{k}0", shift - 2), c(f"tile_{k}") * 4), F.least(F.shiftright(f"{k}1", shift - 2), c(f"tile_{k}") * 4 + 3))  # noqa: B023, E731
+        smaller = lambda df: df.select("*", F.explode(within("x")).alias("next_x")).select("*", F.explode(within("y")).alias("next_y"))  # noqa: B023, E731
+        cut = None
+        if level < LEVELS:
+            full = written(now.groupBy(*tile).agg(begins("tile_x", "tile_y", shift).alias("n"), F.count("*").alias("all")).where(c("n") > crowded).select(*tile, (c("n") * c("all")).alias("pairs")), "full-tiles")
+            if not full.isEmpty():
+                after = smaller(now.join(full.select(*tile), tile, "left_semi")).groupBy(*tile, "next_x", "next_y").agg((begins("next_x", "next_y", shift - 2) * F.count("*")).alias("pairs")).groupBy(*tile).agg(F.sum("pairs").alias("after"))
+                cut = written(full.join(after, tile).where(c("after") * 2 <= c("pairs")).select(*tile), "cut-tiles")
+        last = cut is None or cut.isEmpty()
+        done.append((now if last else now.join(cut, tile, "left_anti")).withColumn("level", F.lit(level)))
         if last:
             break
-        within = lambda k: F.sequence(F.greatest(F.shiftright(f"{k}0", shift - 2), c(f"tile_{k}") * 4), F.least(F.shiftright(f"{k}1", shift - 2), c(f"tile_{k}") * 4 + 3))  # noqa: B023, E731
-        now = now.join(full, tile, "left_semi").select("*", F.explode(within("x")).alias("next_x")).select("*", F.explode(within("y")).alias("next_y")).drop("tile_x", "tile_y").withColumnsRenamed({"next_x": "tile_x", "next_y": "tile_y"})
+        now = smaller(now.join(cut, tile, "left_semi")).drop("tile_x", "tile_y").withColumnsRenamed({"next_x": "tile_x", "next_y": "tile_y"})
     return reduce(DataFrame.unionByName, done)
 
 
