@@ -13,8 +13,18 @@ c = F.col
 
 
 def parse_vector(v: Column) -> Column:
-    """A vector from its text form; arrays pass, and what cannot be read becomes an empty array."""
-    return F.coalesce(F.from_json(v, "array<double>", {"mode": "PERMISSIVE"}), F.array().cast("array<double>"))
+    """A vector from its text form, a list `[1, 2.5, None]` or a tuple `(1, 2)` of numbers; what cannot be read becomes an empty array.
+
+    None and null are null places, which stay. Numbers may lack digits before or after the point, and a last comma may stand.
+    A number in parentheses is no vector.
+    """
+    text = F.trim(F.regexp_replace(v, r"\s+", " "))
+    inner = F.regexp_extract(text, r"^[\[(] ?(.*?) ?,? ?[\])]$", 1)
+    for form, plain in ((r"\bNone\b", "null"), (r"(?<![0-9])\.(?=[0-9])", "0."), (r"(?<=[0-9])\.(?![0-9])", ".0"), (r"(?<![0-9eE])\+", "")):
+        inner = F.regexp_replace(inner, form, plain)
+    read = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<double>", {"mode": "PERMISSIVE"})
+    whole = F.regexp_like(text, F.lit(r"^(?:\[.*\]|\(.*,.*\))$"))
+    return F.coalesce(F.when(whole, read), F.array().cast("array<double>"))
 
 
 def dot(a: Column, b: Column) -> Column:

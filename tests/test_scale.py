@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from optiqal.functions import density, near, quantiles, sparse
-from optiqal.functions.vectors import mean_vectors
+from optiqal.functions.vectors import mean_vectors, parse_vector
 from optiqal.operators import captions, embedding, interclass, mislabel
 from optiqal.plans import inference
 from optiqal.plans.registry import Checks
@@ -267,3 +267,9 @@ def test_a_hanging_check_becomes_an_error_row(spark):
     got = [tuple(r) for r in checks.run(spark, {"shapes": spark.range(5)}, lambda name, df: df.write.format("noop").mode("overwrite").save(), time_limit=6, at_a_time=2).collect()]
     assert time.time() - began < 25
     assert got == [("hangs in a job", None, "TimeoutError: stopped after 6 seconds"), ("hangs outside", None, "TimeoutError: stopped after 6 seconds"), *((f"good {i}", 5 - i, None) for i in range(4))]
+
+
+def test_vectors_in_text_forms(spark):
+    forms = {"[1, 2.5]": [1, 2.5], "(1, 2)": [1, 2], "(1,)": [1], "[1, None, null]": [1, None, None], "[.5, 1., -2e3, +4]": [0.5, 1, -2000, 4], " [ 1 ,2 , ] ": [1, 2], "[]": [], "()": [], "(1)": [], "": [], "none": [], "[1, x]": [], "[1": [], "{}": [], "[1,\n2]": [1, 2], None: []}
+    df = spark.createDataFrame([(k,) for k in forms], "v string").select("v", parse_vector(F.col("v")).alias("x"))
+    assert {r["v"]: r["x"] for r in df.collect()} == forms
