@@ -7,6 +7,7 @@ labelled ones. It is fitted on a bounded sample of labelled URLs; every URL is t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from optiqal.functions.graph import written
 
 c = F.col
 ALLOW, BLOCK = "allow", "block"
+#: Parts of the hash of a URL.
+PARTS = 1 << 30
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIGNS = LOWER + "0123456789-._~%/"
 #: Labelled URLs of each label that a model is fitted on, those of the smallest hash; fewer if there are fewer.
@@ -130,14 +133,23 @@ def _vectors(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(df)
 
 
+def _share_of(n: int, sample: int) -> int:
+    """Below which part twice as many of n distinct URLs are expected as the sample takes, so that no more than these are ever sorted in one place."""
+    return PARTS if n <= 2 * sample else math.ceil(2 * sample / n * PARTS)
+
+
 def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample: int = SAMPLE) -> Model:
     """Trees for labelled URLs (label 1: block, 0: allow); rows without a URL or label take no part. Reruns agree.
 
     Fitted on the `sample` distinct URLs of each label with the smallest hash. A URL with both labels counts as one to block.
     The suffix rate of a URL that is fitted on leaves out the URL itself.
     """
-    rows = labelled.select(labelled[url_col].cast("string").alias("url"), labelled[label_col].cast("int").alias("label")).where("url is not null and label in (0, 1)").groupBy("url").agg(F.max("label").alias("label"))
-    some = [rows.where(c("label") == k).orderBy(F.xxhash64("url"), "url").limit(sample) for k in (0, 1)]
+    rows = labelled.select(labelled[url_col].cast("string").alias("url"), labelled[label_col].cast("int").alias("label")).where("url is not null and label in (0, 1)")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}  # two rows
+    part = F.pmod(F.xxhash64("url"), F.lit(PARTS))
+    few = rows.where(F.when(c("label") == 1, part < _share_of(sizes.get(1, 0), sample)).otherwise(part < _share_of(sizes.get(0, 0), sample)))
+    few = few.groupBy("url").agg(F.max("label").alias("label"))
+    some = [few.where(c("label") == k).orderBy(part, F.xxhash64("url", F.lit(1)), "url").limit(sample) for k in (0, 1)]
     host, path = host_and_path(c("url"))
     made = {k: v.alias(k) for k, v in features(c("url"), c("host"), c("path")).items()}
     split = some[0].unionByName(some[1]).select("url", "label", host.alias("host"), path.alias("path"))
