@@ -60,14 +60,12 @@ def _class_stats(f: DataFrame, col: str, exact: bool) -> DataFrame:
 
 
 def _sides(f: DataFrame, col: str, z: float, least: int, exact: bool) -> DataFrame:
-    """Rows with below and above: beyond z standard deviations, or beyond the fences in a class of 5 or more; the class needs `least` rows."""
-    f = written(f.select("label", "asset_id", "shape_id", col), "shapes")
+    """f with below and above: beyond z standard deviations, or beyond the fences in a class of 5 or more; the class needs `least` rows."""
     x = f.join(_class_stats(f, col, exact), "label")
     score = (c(col) - c("mean")) / c("std")
     enough, spread, fenced = c("size") >= least, c("std") > 0, c("size") >= 5
     side = lambda by_z, by_iqr: F.coalesce(enough & ((spread & by_z) | (fenced & by_iqr)), F.lit(False))
-    sides = [side(F.when(spread, score < -z), c(col) < c("low")).alias("below"), side(F.when(spread, score > z), c(col) > c("high")).alias("above")]
-    return written(x.select("label", "asset_id", "shape_id", col, *sides), "sides")
+    return x.withColumn("below", side(F.when(spread, score < -z), c(col) < c("low"))).withColumn("above", side(F.when(spread, score > z), c(col) > c("high")))
 
 
 def _rows(df: DataFrame, group: str, item: Column, description: Column, score: str) -> DataFrame:
@@ -77,9 +75,9 @@ def _rows(df: DataFrame, group: str, item: Column, description: Column, score: s
 def _typical(x: DataFrame, col: str, exact: bool) -> DataFrame:
     """Of each label that has an outlier, the inlier nearest to the median of the inliers; ties to the smaller shape_id."""
     inlier = ~c("below") & ~c("above")
-    some = x.join(x.where(~inlier).select("label").distinct(), "label", "left_semi").where(inlier)
-    t = quantile_stats(some, ["label"], col, [0.5], exact=exact).select("label", c("q")[0].alias("median"))
-    near = some.join(t, "label")
+    inner = x.select("label", F.when(inlier, c(col)).alias("inner"), (~inlier).alias("out"))
+    t = quantile_stats(inner, ["label"], "inner", [0.5], F.bool_or("out").alias("some"), keep=["out"], exact=exact).where("some").select("label", c("q")[0].alias("median"))
+    near = x.where(inlier).join(t, "label")
     best = near.groupBy("label").agg(F.min(F.struct(F.abs(c(col) - c("median")).alias("away"), c("shape_id"), c("asset_id"), c(col))).alias("b"))
     return best.select("label", "b.shape_id", "b.asset_id", F.col(f"b.{col}").alias(col))
 

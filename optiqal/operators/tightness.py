@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiqal.functions.geometry import iou
-from optiqal.functions.graph import written
 from optiqal.functions.quantiles import quantile_stats
 
 c = F.col
@@ -24,7 +23,6 @@ def match_suggestions(shapes: DataFrame, suggested: DataFrame) -> DataFrame:
 
 def tightness_deltas(matched: DataFrame, exact: bool = True) -> DataFrame:
     """The matches of at least the median iou, with the differences of corners and area, annotated less suggested."""
-    matched = written(matched, "matched")
     median = quantile_stats(matched, [], "iou", [0.5], exact=exact).select(c("q")[0].alias("median_iou"))
     x = matched.crossJoin(F.broadcast(median)).where("iou >= median_iou").drop("median_iou")  # one row
     return x.withColumns({"delta_x1": c("nx") - c("snx"), "delta_y1": c("ny") - c("sny"), "delta_x2": c("nx") + c("nw") - c("snx") - c("snw"), "delta_y2": c("ny") + c("nh") - c("sny") - c("snh"), "delta_area": c("nw") * c("nh") - c("snw") * c("snh")})
