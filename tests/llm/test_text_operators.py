@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -366,6 +367,41 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark):
         assert want[r["doc_id"]] <= {i for p in r["passages"] for i in range(p["from"], p["to"])}
 
 
+def test_recall_of_edited_passages(spark):
+    """Passages of 100 words of which a share is replaced; 50 words found of each, down to the least likeness of a passage."""
+    rows, rate = [], {}
+    for share in (0, 5, 8, 10, 13, 16, 18):
+        for k in range(20):
+            i = 100 * share + k
+            text = prose(100, 20_000 + i).split()
+            changed = text[:]
+            for j in random.Random(i).sample(range(100), share):
+                changed[j] = f"changed{i}x{j}"
+            rows += [(i, f"{prose(80, 30_000 + i)} {' '.join(text)} {prose(80, 40_000 + i)}")]
+            rows += [(10_000 + i, f"{prose(80, 50_000 + i)} {' '.join(changed)} {prose(80, 60_000 + i)}")]
+            rate[10_000 + i] = share
+    found = Counter()
+    for r in passages.digest(spark.createDataFrame(rows, DOCS).repartition(3)).where(F.col("doc_id").isin(list(rate))).collect():
+        found[rate[r["doc_id"]]] += sum(max(0, min(180, p["to"]) - max(80, p["from"])) for p in r["passages"]) >= 50
+    assert all(found[share] >= 18 for share in rate.values()), found
+
+
+def test_edited_passages_whose_pieces_stand_in_documents_between(spark):
+    rows, want, i = [], set(), 0
+    for t in range(20):
+        text = prose(120, 80_000 + t).split()
+        changed = text[:]
+        for j in random.Random(t).sample(range(120), 6):
+            changed[j] = f"changed{t}x{j}"
+        pieces = [" ".join(text[a : a + 20]) for a in range(0, 120, 20)], [" ".join(text[a : a + 20]) for a in range(10, 110, 20)]
+        for part in (*pieces[0], " ".join(text), *pieces[1], " ".join(changed)):
+            rows.append((i, f"{prose(60, 90_000 + i)} {part} {prose(60, 95_000 + i)}"))
+            i += 1
+        want.add(i - 1)
+    got = passages.digest(spark.createDataFrame(rows, DOCS).repartition(3)).where(F.col("doc_id").isin(list(want))).collect()
+    assert sum(r["n_repeated"] >= 50 for r in got) >= 18
+
+
 def test_places_do_not_depend_on_batches():
     r = random.Random(4)
     cols = list(zip(*sorted((r.randint(0, 9), r.randint(0, 12), r.randint(0, 10**6)) for _ in range(300)), strict=True))
@@ -378,7 +414,7 @@ def test_places_do_not_depend_on_batches():
 
 def test_chains_are_collinear():
     at, other = np.array([0, 8, 16, 24, 32, 500]), np.array([5, 13, 900, 29, 37, 505])
-    assert passages.chain(at, other) == [(0, 38, 5, 43)]
+    assert passages.chain(at, other) == [(0, 32 + passages.K, 5, 37 + passages.K)]
 
 
 @settings(max_examples=100, deadline=None)
