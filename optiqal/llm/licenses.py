@@ -4,13 +4,19 @@ A text becomes its words with single blanks between them. Rules are regexes over
 is named, made of names and forms, and signatures, wording of the licenses' own grants, notices and headers. A rule is tried
 only on texts that hold its keyword, and none is tried on a text without any word that statements or signatures have.
 
+SPDX expressions give a detection for each operand, "or later" has labels of its own, and a statement that
+a text is not under a license hides the detections inside it.
+
 Of the detections, one that lies inside another is dropped (of two at one place the one of higher priority stays). The rest is
-gone through by priority, then start: one that overlaps a detection kept before, under another label, is dropped.
+gone through by priority, then start: one that overlaps a detection kept before, under another label, is dropped. What is left
+after the first step is in order of both starts and ends, so each step looks only at the nearest detection kept on either side
+and the nearest under another label: the work grows with the number of detections, not its square.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +54,7 @@ FAMILIES = (
     ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? ?2(?: 0)?"),
     ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? ?1(?: 0)?"),
     ("cddl-1.0", "common development", "common development and distribution license(?: version| v)? ?1(?: 0)?"),
+    ("eupl-1.2", "eupl", "eupl(?: version| v)? ?1 2"),
     ("eupl-1.2", "european union", "european union public licen[cs]e(?: version| v)? ?1 2"),
     ("artistic-2.0", "artistic", "artistic license(?: version| v)? ?2(?: 0)?"),
     ("bsl-1.0", "boost", "boost software license(?: version| v)? ?1(?: 0)?"),
@@ -67,6 +74,14 @@ FAMILIES = (
     *((f"cc-{kind}", "creative commons", f"creative commons {words}(?: [1-4] [05])?(?: international| unported)?") for kind, words in (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative|s|atives)"), ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative|s|atives)"))),
 )
 
+#: After the name of a GNU license; the label then ends in "-or-later".
+LATER = "(?: or later| or any later version| or at your option any later version)"
+GNU = ("gpl-", "lgpl-", "agpl-", "gfdl-")
+NAMES = "|".join(dict.fromkeys(name for _, _, name in FAMILIES))
+#: An operand of an SPDX expression (brackets are no words), and an expression of several.
+OPERAND = f"(?:{NAMES}|licenseref(?: [^ ]+){{1,4}}?)(?: only|{LATER})?(?: with(?: [^ ]+){{1,4}}? (?:exception|note)(?: [0-9]){{0,2}})?"
+EXPRESSION = f"(?<= )spdx license identifier {OPERAND}(?: (?:and|or) {OPERAND})+(?= )"
+
 #: Words before "under", and words before "under" or "by", in the forms below.
 GIVEN = ("licensed", "released", "distributed", "published", "available", "provided", "made available")
 RULED = ("use", "used", "governed", "covered")
@@ -79,10 +94,14 @@ FORMS = (
     ("licen[sc]e {}", 4, 0.8),
     ("(?:the )?{} licen[sc]e", 5, 0.7),
 )
+#: What denies a statement, and the statement denied.
+DENIALS = ("not", "never", "no longer", "isn t", "aren t")
+DENIED = f"(?: be| been| being)?(?: now| currently)?(?: dual)?(?:(?: (?:{'|'.join([*GIVEN, *RULED])}))? (?:under|by)| subject to)(?: the)?(?: terms of| conditions of| terms and conditions of)?(?: the)? (?:{NAMES}){LATER}?(?: licen[sc]e)?"
 #: Words of which every text that a form accepts holds one; on others no rule is tried.
 KEYWORDS = ("licen", "spdx", "subject to", *(f"{x} under" for x in GIVEN), *(f"{x} {y}" for x in RULED for y in ("under", "by")))
 
-#: Wording of licenses: label, keyword, regex, priority and how sure it is. The keywords pass the gate too.
+#: Wording of licenses: label, keyword, regex, priority and how sure it is. The keywords pass the gate too. Where a holder is
+#: named inside (`.{1,120}?`), the name has up to 120 characters.
 SIGNATURES = (
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?", 2, 0.95),
     ("mit", "substantial portions", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software", 3, 0.85),
@@ -102,6 +121,18 @@ SIGNATURES = (
     ("lgpl-2.1", "free software foundation", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", 1, 1.0),
     ("agpl-3.0", "free software foundation", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", 1, 1.0),
     ("gfdl-1.3", "permission is granted to copy", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3", 1, 1.0),
+    ("gpl-3.0-or-later", "free software foundation", f"under the terms of the gnu general public license as published by the free software foundation either version 3 of the license{LATER}", 1, 1.0),
+    ("gpl-2.0-or-later", "free software foundation", f"under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2(?: of the license)?{LATER}", 1, 1.0),
+    ("lgpl-3.0-or-later", "free software foundation", f"under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license{LATER}", 1, 1.0),
+    ("lgpl-2.1-or-later", "free software foundation", f"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license{LATER}", 1, 1.0),
+    ("agpl-3.0-or-later", "free software foundation", f"under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license{LATER}", 1, 1.0),
+    ("gpl-3.0", "29 june 2007", "(?:gnu )?general public license version 3 29 june 2007", 1, 1.0),
+    ("gpl-2.0", "june 1991", "(?:gnu )?general public license version 2 june 1991", 1, 1.0),
+    ("lgpl-3.0", "29 june 2007", "(?:gnu )?lesser general public license version 3 29 june 2007", 1, 1.0),
+    ("lgpl-2.1", "february 1999", "(?:gnu )?lesser general public license version 2 1 february 1999", 1, 1.0),
+    ("agpl-3.0", "november 2007", "(?:gnu )?affero general public license version 3 19 november 2007", 1, 1.0),
+    ("gfdl-1.3", "november 2008", "(?:gnu )?free documentation license version 1 3 3 november 2008", 1, 1.0),
+    ("apache-2", "january 2004", "apache license version 2 0 january 2004", 1, 1.0),
     ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 1, 1.0),
     ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 1, 1.0),
     ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: v)? 2 0", 1, 1.0),
@@ -128,17 +159,32 @@ SIGNATURES = (
     ("cc0-1.0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 2, 0.95),
 )
 
-_RULE = "array<struct<keyword:string,pattern:string,label:string,priority:int,sure:double>>"
+_RULE = "array<struct<pattern:string,label:string,priority:int,sure:double>>"
+_RULES = f"array<struct<keyword:string,rules:{_RULE}>>"
 _SPAN = "array<struct<start:int,len:int,priority:int,label:string,sure:double>>"
 _PLACED = "array<struct<start:int,shorter:int,priority:int,label:string,sure:double>>"
 #: Put before the first word of a match; no word holds it.
 _MARK = "\x01"
+#: Detections that a pass appends one by one before it appends them together; any number gives the same rows.
+_CHUNK = 256
+
+
+def _later() -> list[tuple[str, str, str]]:
+    return [(f"{label}-or-later", kw, f"(?:{name}){LATER}") for label, kw, name in FAMILIES if label.startswith(GNU)]
+
+
+def operands() -> list[dict]:
+    """Rules for what stands in SPDX expressions."""
+    return [{"pattern": f"(?<= )(?:{name})(?= )", "label": label, "priority": 1, "sure": 1.0} for label, _, name in [*FAMILIES, *_later()]]
 
 
 def rules() -> list[dict]:
-    """Every family in every form, and the signatures: pattern, label, keyword, priority and how sure it is, by priority."""
-    out = [{"keyword": kw, "pattern": f"(?<= )(?:{form.replace('{}', '(?:' + name + ')')})(?= )", "label": label, "priority": p, "sure": sure} for label, kw, name in FAMILIES for form, p, sure in FORMS]
-    out += [{"keyword": kw, "pattern": f"(?<= )(?:{wording})(?= )", "label": label, "priority": p, "sure": sure} for label, kw, wording, p, sure in SIGNATURES]
+    """Every family in every form, denials (no label) and the signatures: pattern, label, keyword, priority and how sure it is, by priority."""
+    families = [*FAMILIES, *_later()]
+    made = [(kw, form.replace("{}", f"(?:{name})"), label, p, sure) for label, kw, name in families for form, p, sure in FORMS]
+    made += [(no, no + DENIED, "", 1, 0.0) for no in DENIALS]
+    made += [(kw, wording, label, p, sure) for label, kw, wording, p, sure in SIGNATURES]
+    out = [{"keyword": kw, "pattern": f"(?<= )(?:{pattern})(?= )", "label": label, "priority": p, "sure": sure} for kw, pattern, label, p, sure in made]
     return sorted(out, key=lambda r: (r["priority"], r["label"], r["pattern"]))
 
 
@@ -166,24 +212,74 @@ def _spans(line: Column, pattern: Column, priority: Column, label: Column, sure:
     return F.transform(F.arrays_zip(at.alias("at"), hits.alias("hit")), one)
 
 
+def _by_rules(line: Column, tried: Column) -> Column:
+    return F.flatten(F.transform(tried, lambda r: _spans(line, r["pattern"], r["priority"], r["label"], r["sure"])))
+
+
+def _in_expressions(line: Column) -> Column:
+    """The operands of the line's SPDX expressions."""
+    found = F.arrays_zip(_spans(line, F.lit(EXPRESSION), F.lit(1), F.lit(""), F.lit(1.0)).alias("span"), F.regexp_extract_all(line, F.lit(EXPRESSION), F.lit(0)).alias("hit"))
+    table = F.from_json(F.lit(json.dumps(operands())), _RULE)
+
+    def moved(e: Column) -> Column:
+        inside = _by_rules(F.concat(F.lit(" "), e["hit"], F.lit(" ")), table)
+        return F.transform(inside, lambda s: F.struct((s["start"] + e["span"]["start"]).alias("start"), *[s[c].alias(c) for c in ("len", "priority", "label", "sure")]))
+
+    return F.when(F.contains(line, F.lit("spdx license identifier")), F.flatten(F.transform(found, moved))).otherwise(F.array().cast(_SPAN))
+
+
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value worked out once."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _sift(items: Column, state: Column, keep: Callable[[Column, Column], Column], after: Callable[[Column, Column], Column]) -> Column:
+    """The items for which keep(state, item) holds, in order; after(state, item) is the state that a kept item leaves."""
+    none = F.array().cast(_PLACED)
+
+    def one(s: Column, x: Column) -> Column:
+        return F.when(keep(s["state"], x), F.struct(after(s["state"], x).alias("state"), F.concat(s["done"], F.array(x)).alias("done"))).otherwise(s)
+
+    def every(x: Column) -> Column:
+        def chunk(s: Column, at: Column) -> Column:
+            start = F.struct(s["state"].alias("state"), none.alias("done"))
+            return F.aggregate(F.slice(x, at, _CHUNK), start, one, lambda r: F.struct(r["state"].alias("state"), F.concat(s["chunks"], F.array(r["done"])).alias("chunks")))
+
+        start = F.struct(state.alias("state"), F.array().cast(f"array<{_PLACED}>").alias("chunks"))
+        return F.when(F.size(x) > 0, F.aggregate(F.sequence(F.lit(1), F.size(x), F.lit(_CHUNK)), start, chunk, lambda r: F.flatten(r["chunks"]))).otherwise(none)
+
+    return _let(items, every)
+
+
+def _end(x: Column) -> Column:
+    return x["start"] - x["shorter"]
+
+
+def _limit(s: Column, x: Column) -> Column:
+    """How far the detections passed, of other labels than x, reach."""
+    return F.when(x["label"] == s["label"], s["far"]).otherwise(s["near"])
+
+
 def _resolved(spans: Column) -> Column:
     """Without detections inside others, and of two that overlap under different labels only the one of higher priority."""
     by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["len"]).alias("shorter"), s["priority"].alias("priority"), s["label"].alias("label"), s["sure"].alias("sure"))))
-    zero = F.struct(F.array().cast(_PLACED).alias("done"), F.lit(-1).alias("end"))
-
-    def outer(s: Column, x: Column) -> Column:  # whether any that begins before, or there and is longer or of higher priority, ends later
-        end = x["start"] - x["shorter"]
-        return F.when(end <= s["end"], s).otherwise(F.struct(F.concat(s["done"], F.array(x)).alias("done"), end.alias("end")))
+    # one that begins before, or there and is longer or of higher priority, ends later
+    outermost = _sift(by_place, F.lit(-1), lambda end, x: _end(x) > end, lambda _, x: _end(x))
 
-    outermost = F.aggregate(by_place, zero, outer, lambda s: s["done"])
-    by_priority = F.array_sort(F.transform(outermost, lambda s: F.struct(s["priority"].alias("priority"), s["start"].alias("start"), s["shorter"].alias("shorter"), s["label"].alias("label"), s["sure"].alias("sure"))))
+    def level(items: Column, p: int, first: int, reach: Callable[[Column], Column], clear: Callable[[Column, Column], Column], decided: int) -> Column:
+        """Without those of priority p that meet one of priority up to `decided` passed before, under another label."""
+        state = F.struct(F.lit(None).cast("string").alias("label"), F.lit(first).alias("near"), F.lit(first).alias("far"))
+        passed = lambda s, x: F.struct(x["label"].alias("label"), reach(x).alias("near"), _limit(s, x).alias("far"))
+        return _sift(items, state, lambda s, x: (x["priority"] != p) | clear(_limit(s, x), x), lambda s, x: F.when(x["priority"] <= decided, passed(s, x)).otherwise(s))
 
-    def first(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda y: (y["label"] != x["label"]) & (y["start"] < x["start"] - x["shorter"]) & (x["start"] < y["start"] - y["shorter"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(F.struct(*[x[c].alias(c) for c in ("start", "shorter", "priority", "label", "sure")]))))
+    def by_level(items: Column) -> Column:
+        for p in sorted({r["priority"] for r in rules()}):
+            items = F.reverse(level(F.reverse(items), p, 2**31 - 1, lambda x: x["start"], lambda start, x: start >= _end(x), p - 1))
+            items = level(items, p, -1, _end, lambda end, x: end <= x["start"], p)
+        return items
 
-    several = F.size(F.array_distinct(F.transform(outermost, lambda s: s["label"]))) > 1
-    return F.when(several, F.array_sort(F.aggregate(by_priority, F.array().cast(_PLACED), first))).otherwise(outermost)
+    several = lambda x: F.size(F.array_distinct(F.transform(x, lambda s: s["label"]))) > 1
+    return F.filter(_let(outermost, lambda x: F.when(several(x), by_level(x)).otherwise(x)), lambda s: s["label"] != "")
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,7 +288,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base and detections: arrays of (start, len, priority, label, sure), in words from 0. Null or empty text: no words,
     nothing found. Each row is judged alone, so repeated rows agree; no document gives no rows.
     """
-    table = F.from_json(F.lit(json.dumps(rules())), _RULE)
+    by_keyword: dict[str, list] = {}
+    for r in rules():
+        by_keyword.setdefault(r["keyword"], []).append(r)
+    table = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": x} for k, x in by_keyword.items()])), _RULES)
     base_rules = [(f"(?<= )(?:{phrase})(?= )", label) for phrase, label in BASE]
     lines = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), words(docs[text_col].cast("string")).alias("line"))
     line = F.col("line")
@@ -201,8 +300,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     gate = F.lit(False)
     for k in gates():
         gate = gate | F.contains(line, F.lit(k))
-    tried = F.filter(table, lambda r: F.contains(line, r["keyword"]) & F.regexp_like(line, r["pattern"]))
-    detections = F.when(gate, _resolved(F.flatten(F.transform(tried, lambda r: _spans(line, r["pattern"], r["priority"], r["label"], r["sure"]))))).otherwise(F.array().cast(_PLACED))
+    tried = F.filter(F.flatten(F.transform(F.filter(table, lambda g: F.contains(line, g["keyword"])), lambda g: g["rules"])), lambda r: F.regexp_like(line, r["pattern"]))
+    detections = F.when(gate, _resolved(F.concat(_by_rules(line, tried), _in_expressions(line)))).otherwise(F.array().cast(_PLACED))
     found = F.transform(detections, lambda d: F.struct(d["start"].alias("start"), (-d["shorter"]).alias("len"), d["priority"].alias("priority"), d["label"].alias("label"), d["sure"].alias("sure")))
     n_words = F.when(F.trim(line) == "", F.lit(0)).otherwise(_blanks(line) - 1)
     return lines.select("row", F.struct(n_words.cast("long").alias("n_words"), base.alias("base"), found.alias("detections")).alias("found"))

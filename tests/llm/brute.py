@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import regex
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -90,13 +92,17 @@ def cross_phrases(text, reference):
     return n
 
 
-def detections(text, rules):
+def detections(text, rules, expression, operands):
     """(start, words, priority, label, how sure) of the rules' matches, without those inside others and those that clash."""
     line = " " + " ".join(letters(text)) + " " if letters(text) else "  "
     found = []
     for r in rules:
         if r["keyword"] in line:
-            for m in re.finditer(r["pattern"], line):
+            for m in regex.finditer(r["pattern"], line):
+                found.append((line[: m.start()].count(" ") - 1, m.group().count(" ") + 1, r["priority"], r["label"], r["sure"]))
+    for e in regex.finditer(expression, line):
+        for r in operands:
+            for m in regex.finditer(r["pattern"], line[: e.end() + 1], pos=e.start()):
                 found.append((line[: m.start()].count(" ") - 1, m.group().count(" ") + 1, r["priority"], r["label"], r["sure"]))
     found.sort(key=lambda d: (d[0], -d[1], *d[2:]))
     outer = [d for i, d in enumerate(found) if not any(e[0] <= d[0] and d[0] + d[1] <= e[0] + e[1] for e in found[:i])]
@@ -104,4 +110,4 @@ def detections(text, rules):
     for d in sorted(outer, key=lambda d: (d[2], d[0], -d[1], *d[3:])):
         if not any(e[3] != d[3] and e[0] < d[0] + d[1] and d[0] < e[0] + e[1] for e in kept):
             kept.append(d)
-    return sorted(kept, key=lambda d: (d[0], -d[1], *d[2:]))
+    return sorted((d for d in kept if d[3]), key=lambda d: (d[0], -d[1], *d[2:]))

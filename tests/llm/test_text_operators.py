@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -506,11 +507,43 @@ LICENSED = [
     "subject to the terms of the mit license subject to the mit license",
     "to the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights",
     "no license is named here, x11 and mit alone are words",
+    "This is not licensed under the MIT license, it is released under the Apache License 2.0 or later, and never subject to the GPL 3 license",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0) AND (GPL-2.0-or-later WITH Classpath-exception-2.0 OR BSD-3-Clause) and of prose mpl 2.0",
     None,
     "",
 ]
 
 
+def test_expressions_headers_later_versions_and_denials(spark):
+    texts = {
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit",
+        "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT": "gpl-2.0-or-later,mit",
+        "SPDX-License-Identifier: MIT\nthis text is about apache 2.0 and mpl 2.0": "mit",
+        "SPDX-License-Identifier: LicenseRef-Own-1 AND ISC": "isc",
+        "Licensed under the EUPL, Version 1.2": "eupl-1.2",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "gpl-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "lgpl-2.1",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/": "apache-2",
+        "distributed under the GNU GPL version 2, or (at your option) any later version": "gpl-2.0-or-later",
+        "distributed under the GNU GPL version 2 only": "gpl-2.0",
+        "not licensed under the GPL 3": "",
+        "It isn't released under the terms of the MIT license, but licensed under the zlib license": "zlib",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r["doc_id"]: r["labels"] for r in licenses.digest(licenses.scan(df)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_a_text_of_very_many_detections(spark):
+    """Chains of overlapping statements through the whole text, over several chunks; a plain version of less than all pairs."""
+    text = "mit license apache 2 license gpl 3 license subject to the isc license bsd 3 clause license " * 4_000
+    started = time.monotonic()
+    found = licenses.scan(spark.createDataFrame([(1, text)], DOCS)).select("found.detections").first()[0]
+    assert time.monotonic() - started < 60 and len(found) >= 12_000
+    part = brute.detections(text[: len(text) // 100], licenses.rules(), licenses.EXPRESSION, licenses.operands())
+    assert [tuple(x) for x in found[: len(part) - 5]] == part[:-5]
+
+
 def test_licenses_agree_with_a_plain_version(spark, monkeypatch):
     texts = [*LICENSED, *LICENSED[:2], "filler " * 30_000 + LICENSED[0], *(" ".join(random.Random(i).choices("mit license apache 2 gpl 3 the under licensed released is bsd clause subject to".split(), k=40)) for i in range(60))]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("row", F.lit(1)).withColumn("found", F.lit(2)).repartition(3)
@@ -520,9 +553,9 @@ def test_licenses_agree_with_a_plain_version(spark, monkeypatch):
         return {r["doc_id"]: (r["n_words"], [tuple(x) for x in r["detections"]]) for r in rows}
 
     got = scanned()
-    assert got == {i: (len(brute.letters(t)), brute.detections(t, licenses.rules())) for i, t in enumerate(texts)}
+    assert got == {i: (len(brute.letters(t)), brute.detections(t, licenses.rules(), licenses.EXPRESSION, licenses.operands())) for i, t in enumerate(texts)}
     label = lambda i: {x[3] for x in got[i][1]}
-    assert label(0) == {"mit"} and label(1) == {"bsd"} and label(2) == {"apache-2"} and label(5) == {"gpl-3.0"} and label(7) == {"cc0-1.0"} and not label(8)
+    assert label(0) == {"mit"} and label(1) == {"bsd"} and label(2) == {"apache-2", "mit"} and label(5) == {"gpl-3.0"} and label(7) == {"cc0-1.0"} and not label(8)
     monkeypatch.setattr(licenses, "gates", lambda: [" "])  # every text passes, and every rule is tried
     open_ = [{**r, "keyword": " "} for r in licenses.rules()]
     monkeypatch.setattr(licenses, "rules", lambda: open_)
