@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def annotate(docs: DataFrame, text_col: str, result: T.StructType, work: Callable[[pa.Array], list]) -> DataFrame:
+def annotate(docs: DataFrame, text_col: str, result: T.StructType, work: Callable[[pa.Array], list], piece: int | None = None) -> DataFrame:
     """Two columns: `row`, the untouched input row, and `found`, what work makes of the text column.
 
     The input's columns stay inside `row`, so none of them can clash with a result.
-    work gets one Arrow array of texts and returns the fields of `found`.
+    work gets one Arrow array of texts, of about `piece` bytes (PIECE if not given), and returns the fields of `found`.
     """
     types = [f.dataType for f in result.fields]
     names = [f.name for f in result.fields]
@@ -28,7 +28,7 @@ def annotate(docs: DataFrame, text_col: str, result: T.StructType, work: Callabl
         kinds = [to_arrow_type(t) for t in types]
         for batch in batches:
             texts = batch.column(0).field(at) if plain else batch.column(1)
-            for a, n in cuts(texts):
+            for a, n in cuts(texts, piece or PIECE):
                 row, text = batch.column(0).slice(a, n), texts.slice(a, n)
                 made = work(text)
                 found = pa.StructArray.from_arrays([x.cast(k) if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)], names=names)

@@ -5,22 +5,25 @@ Each task turns its documents into one word sequence and sorts the suffixes that
 benchmark is binary-searched in that array. The words that hits cover are marked, and hits are followed along both texts to
 the longest verbatim matches that cover them; pairs of repeated places are never listed. Documents are read once and never shuffled.
 
-The benchmark reaches the tasks in blocks of about BLOCK_BYTES of text: a larger benchmark takes more passes, each of which
-adds its matches to the row. An item is never split over blocks.
+The benchmark reaches the tasks as broadcasts of about BLOCK_BYTES of text each, which wait on the executors' disks: a task's
+Python holds one block (two while it reads the next), and goes through all of them for each batch of documents. An item is never split over blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from optiqal.llm._shared import annotate
+from optiqal.llm._shared import BATCH_BYTES, annotate
 from optiqal.llm._words import LETTERS, grams, hashes, room, split
 
-#: Bytes of benchmark text in a block, on average; items are dealt to blocks by hash. A task holds some 80 bytes a word of it.
+#: Bytes of benchmark text in a block, on average; items are dealt to blocks by hash. A task holds some 120 bytes a word of it, a broadcast 40.
 BLOCK_BYTES = 8 << 20
 _GATE = 3
 _BLOOM_BITS = 22
@@ -42,30 +45,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     n_blocks = -(-size // BLOCK_BYTES) or 1
     items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    out = None
+    blocks = []
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else items
-        tests = _windows(part.toArrow(), window)
-        found = annotate(docs if out is None else out, text_col if out is None else "text", FOUND, _Search(tests))
-        if n_blocks > 1:
-            found = found.select("row", "found") if out is None else found.select(F.col("row.row").alias("row"), _merged(F.col("row.found"), F.col("found")).alias("found"))
-            if block + 1 < n_blocks:
-                found = found.select("*", F.col(f"row.`{text_col}`").alias("text"))
-        out = found
-    return out.select("row", "found")
-
-
-def _merged(a, b):
-    """Matches of both; words hit are counted over the union of the runs."""
-    both = F.concat(a["matches"], b["matches"])
-    return F.struct(a["n_words"].alias("n_words"), covered(both).alias("n_hit"), F.array_union(a["items"], b["items"]).alias("items"), both.alias("matches"))
-
-
-def covered(matches):
-    """The number of words that lie in any of the matches."""
-    runs = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_start"].alias("a"), (m["doc_start"] + m["n_words"]).alias("b"))))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    return F.aggregate(runs, start, lambda s, r: F.struct((s["n"] + F.greatest(r["b"] - F.greatest(r["a"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")), lambda s: s["n"])
+        blocks.append(docs.sparkSession.sparkContext.broadcast(_windows(part.toArrow(), window)))
+    return annotate(docs, text_col, FOUND, _Search(blocks), BATCH_BYTES if n_blocks > 1 else None)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -87,19 +71,25 @@ def _windows(items: pa.Table, window: int) -> list[dict]:
     for n in np.unique(need[at]):
         own = at[need[at] == n]
         rows = np.stack([h[own + j] for j in range(n)], 1)
-        keys, which = np.unique(rows, axis=0, return_inverse=True)
+        which = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
         order = np.argsort(which.ravel(), kind="stable")
         gate = grams(h, min(n, _GATE))[own]
         bloom = np.zeros(1 << _BLOOM_BITS, bool)
         bloom[gate >> np.uint64(64 - _BLOOM_BITS)] = True
-        which, at_pos = which.ravel(), np.full(len(h) + 1, -1)
+        at_pos = np.full(len(h) + 1, -1, np.int32)
         at_pos[own] = which
-        begin = np.searchsorted(which[order], np.arange(len(keys) + 1))
+        begin = np.searchsorted(which[order], np.arange(which.max() + 2))
         pairs = np.unique(np.stack([which, doc[own]]), axis=1)  # the items of each window
-        out.append({"n": int(n), "keys": keys, "begin": begin, "pos": own[order], "at_pos": at_pos, "item": doc, "at": np.arange(len(h)) - w.first[doc], "items": pairs[1], "items_begin": np.searchsorted(pairs[0], np.arange(len(keys) + 1)), "bloom": np.packbits(bloom), "ids": ids})
+        small = lambda x: x.astype(np.int32)  # noqa: E731 - places and items of a block
+        out.append({"n": int(n), "hashes": h, "begin": small(begin), "pos": small(own[order]), "at_pos": at_pos, "item": small(doc), "at": small(np.arange(len(h)) - w.first[doc]), "items": small(pairs[1]), "items_begin": small(np.searchsorted(pairs[0], np.arange(len(begin)))), "bloom": np.packbits(bloom), "ids": ids})
     return out
 
 
+def _keys(t: dict) -> np.ndarray:
+    """The distinct windows in order, a row of word hashes each."""
+    return t["hashes"][t["pos"][t["begin"][:-1]][:, None] + np.arange(t["n"])]
+
+
 def _compare(train: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """-1, 0 or 1 for each pair of a training suffix and a benchmark suffix, by their first words."""
     out = np.zeros(len(keys), np.int8)
@@ -139,8 +129,19 @@ def _longest(key: np.ndarray, p: int, t: dict) -> tuple[int, int, int]:
 class _Search:
     """Called in the tasks with the texts of some documents."""
 
-    def __init__(self, tests: list[dict]):
-        self.tests = tests
+    def __init__(self, blocks: list[Broadcast]):
+        self.blocks = blocks
+
+    def _tests(self) -> Iterator[dict]:
+        """The windows of all blocks; of several blocks none is kept when it has been gone through."""
+        for block in self.blocks:
+            for t in block.value:
+                if "keys" not in t:
+                    t["keys"] = _keys(t)
+                yield t
+            if len(self.blocks) > 1:
+                t = None
+                vars(block).pop("_value", None)  # read again for the next batch
 
     def __call__(self, text: pa.Array) -> list:
         w = split(text, LETTERS)
@@ -149,7 +150,8 @@ class _Search:
         edge = np.zeros(n + 1, np.int64)
         items: list[set] = [set() for _ in range(n_docs)]
         found: list[tuple] = []
-        for t in self.tests:
+        ids: list[str] = []  # of the items with windows here, over all blocks
+        for t in self._tests():
             gate = grams(h, min(t["n"], _GATE))
             bloom = np.unpackbits(t["bloom"]).view(bool)
             may = np.flatnonzero(bloom[gate >> np.uint64(64 - _BLOOM_BITS)])
@@ -168,23 +170,25 @@ class _Search:
             np.add.at(edge, p + t["n"], -1)
             doc = np.searchsorted(w.first, p, side="right") - 1
             both = np.unique(np.stack([doc, own]), axis=1)
+            number: dict[int, int] = {}  # of the block's items that occur
             for d, k in both.T.tolist():
-                items[d].update(t["items"][t["items_begin"][k] : t["items_begin"][k + 1]].tolist())
+                of = t["items"][t["items_begin"][k] : t["items_begin"][k + 1]].tolist()
+                items[d].update(number.setdefault(x, len(ids) + len(number)) for x in of)
             # hits in a row, of one document: each such run is covered by itself
             cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (doc[1:] != doc[:-1])])) if len(p) else np.zeros(0, np.int64)
             for a, b in zip(cut, np.append(cut[1:], len(p))[: len(cut)], strict=True):
                 i, end = 0, -1
                 while i < b - a:
                     item, start, size = _longest(own[a:b], i, t)
-                    found.append((int(doc[a]), int(p[a]) + i, size + t["n"] - 1, item, start))
+                    found.append((int(doc[a]), int(p[a]) + i, size + t["n"] - 1, number[item], start))
                     i += size  # the next hit has a word that this match does not reach
+            ids += [t["ids"][x] for x in number]
         hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
         found.sort()
-        ids = self.tests[0]["ids"] if self.tests else []
         doc, p, size, item, start = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
         matches = pa.StructArray.from_arrays([pa.array([ids[i] for i in item], pa.string()), pa.array(start, pa.int64()), pa.array(p - w.first[doc], pa.int64()), pa.array(size, pa.int64())], names=MATCH.names)
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32()), matches)
-        return [np.diff(w.first), hit[w.first[1:]] - hit[w.first[:-1]], [[ids[i] for i in sorted(x)] for x in items], lists]
+        return [np.diff(w.first), hit[w.first[1:]] - hit[w.first[:-1]], [list({ids[i]: None for i in sorted(x)}) for x in items], lists]
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

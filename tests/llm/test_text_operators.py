@@ -98,6 +98,36 @@ def test_decontamination(spark, frame, corpus):
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {d for d, x in want.items() if not x[1]}
 
 
+def test_many_blocks_are_one_step_and_one_block_in_memory(spark, monkeypatch):
+    class Block:
+        def __init__(self, items):
+            self.items = items
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                self._value = decontamination._windows(pa.table({"id": [i for i, _ in self.items], "text": [t for _, t in self.items]}), 10)
+            return self._value
+
+    items = [(str(i), prose(60, 300 + i)) for i in range(64)]
+    blocks = [Block(items[i : i + 2]) for i in range(0, 64, 2)]
+    search, held = decontamination._Search(blocks), []
+    for _ in search._tests():
+        held.append(sum("_value" in vars(b) for b in blocks))
+    assert len(held) == 32 and set(held) == {1}
+    text = pa.array([items[3][1] + " " + items[60][1], None, items[7][1][40:], ""])
+    one = decontamination._Search([Block(items)])
+    for _ in range(2):
+        a, b = search(text), one(text)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() and list(map(sorted, a[2])) == list(map(sorted, b[2])) and a[3].to_pylist() == b[3].to_pylist()
+        assert a[2][0] == ["3", "60"] and a[2][2] == ["7"] and not a[2][1]
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = decontamination.find_matches(spark.createDataFrame([(1, items[3][1])], DOCS), bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r["n_hit"] for r in decontamination.digest(found).collect()] == [60]
+
+
 def test_longest_matches_are_maximal(spark):
     shared = prose(30, 9)
     docs = spark.createDataFrame([(1, "aaa " + shared + " bbb")], DOCS)
