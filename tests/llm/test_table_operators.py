@@ -251,6 +251,21 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     assert key() == whole
 
 
+def test_cells_get_another_axis_by_the_number_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.normal(size=(60, 32)), 5, 0) + 0.2 * rng.normal(size=(300, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [])], "vec_id long, embedding array<double>")
+    vectors = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    assert nearest.depth(vectors) == nearest.depth(vectors.limit(0)) == 1
+    monkeypatch.setattr(nearest, "CELL_ROWS", 300 / 64**2)
+    assert nearest.depth(vectors) == 2 and nearest.depth(vectors.where("id < 299")) == 1 and nearest.depth(vectors.limit(0)) == 1
+    got = {}
+    for r in nearest.search(df.where("vec_id % 10 = 0"), df, k=4).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact_nearest(list(range(300)), x, list(range(0, 300, 10)), 4)
+    assert set(got) == set(want) and sum(len(got[q] & {a for a, _ in w}) for q, w in want.items()) >= 0.9 * 4 * len(want)
+
+
 def test_two_hashes_find_most(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 32))
