@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: The columns of the strict views, by the tables' schema.
 IMAGE_VIEW = ["filename", "width", "height", "tags", "caption", "is_blurry", "is_corrupted", "blur_score", "file_size_bytes", "color", "luminance", "contrast"]
 ANNOTATION_VIEW = ["filename", "image_width", "image_height", "label", "x", "y", "w", "h", "x_norm", "y_norm"]
 
@@ -44,6 +45,10 @@ def project(df: DataFrame, columns: list[str], always: tuple[str, ...] = ("asset
     return df.select([c for c in dict.fromkeys([*always, *columns]) if c in df.columns])
 
 
+#: What a projection of shapes always has.
+SHAPE_KEYS = ("asset_id", "annotation_id")
+
+
 def image_view(images: DataFrame) -> DataFrame:
     return images.select(*IMAGE_VIEW)
 

@@ -574,6 +574,12 @@ def lenient_projection(spark, d):
     return build.project(v.images(spark, d), ["luminance", "no_such_column", "luminance"])
 
 
+@query(f"WITH {v.SHAPES} SELECT asset_id, shape_id AS annotation_id, label, w, h FROM shapes")
+def lenient_shape_projection(spark, d):
+    shapes = v.shapes(spark, d).withColumnRenamed("shape_id", "annotation_id")
+    return build.project(shapes, ["label", "w", "label", "no_such_column", "h"], build.SHAPE_KEYS)
+
+
 @query(f"WITH {v.SHAPES} SELECT shape_id FROM shapes WHERE (SELECT count(DISTINCT label) > 1 AND count(x) > 0 FROM shapes)")
 def guarded_shapes(spark, d):
     s = v.shapes(spark, d)
