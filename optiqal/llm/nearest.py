@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector goes through three rounds of random signs and a fast Hadamard transform per table, and into the cell of the signed
-axis that it is then nearest to (of `hashes` such axes in a row, for larger tables). A query looks into its PROBES nearest
-cells of every table. Candidates are ranked by their exact cosine inside the cells; a cell of many rows is split into
-blocks, each of which reports its own nearest, so no cell must fit in a task and none is cut off. Queries for which the
-probes find too few rows are compared with all rows, in such blocks too.
+axis that it is then nearest to (of `hashes` such axes in a row, if the caller asks for them). A query looks into its PROBES
+nearest cells of every table, so whether two vectors meet depends on these two alone, whatever the number of rows. Candidates
+are ranked by their exact cosine inside the cells; a cell of many rows is split into blocks, each of which reports its own
+nearest, so no cell must fit in a task and none is cut off. Queries for which the probes find too few rows are compared with
+all rows, in such blocks too.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from optiqal.llm._shared import small_batches
 #: Measured against brute force: 16 tables and 6 probes find 0.99 of the five nearest of 2,000 and of 51,282 vectors, in 0.75
 #: visits a row and query. With two axes a cell, 128 probes find 0.88 and 0.98 of them, in 0.18 and 0.17 visits.
 TABLES, PROBES = 16, {1: 6, 2: 128}
-#: Cells have another axis as soon as they would hold this many rows each on average.
+#: `depth` advises another axis as soon as cells would hold this many rows each on average.
 CELL_ROWS = 64
 #: Rows of a cell, or of the queries that look into it, that are compared at a time.
 ROOM = 4096
+#: Cosines that are held at a time.
+_COSINES = 1 << 20
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -120,20 +123,25 @@ def _ranked(k: int):
             qi, xi = queries.column("id").to_numpy(), rows.column("id").to_numpy()
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             repeats = len(np.unique(xi)) < len(xi)  # an id of several vectors must not fill the k places with one score
-            for i, v in zip(qi, q, strict=True):
-                like = unit @ (v / np.linalg.norm(v))
-                other = np.flatnonzero(xi != i)
-                if not len(other):
-                    continue
-                least = np.partition(like[other], -k)[-k] if len(other) > k and not repeats else -2.0
-                near = other[like[other] >= least - 1e-9]
+
+            def best_of(i: int, v: np.ndarray, near: np.ndarray) -> list[tuple]:
                 score = _exact(v, x[near])
                 best = np.lexsort((xi[near], -score))
-                if repeats:
+                if repeats and len(near):
                     a, s = xi[near][best], score[best]
                     best = best[np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])]
-                best = best[:k]
-                found += [(int(i), int(xi[near[j]]), float(score[j])) for j in best]
+                return [(int(i), int(xi[near[j]]), float(score[j])) for j in best[:k]]
+
+            step = max(1, _COSINES // len(xi))
+            for at in range(0, len(qi), step):
+                v = q[at : at + step]
+                like = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ unit.T
+                like[qi[at : at + step, None] == xi] = -3.0  # a row is not its own query's neighbour
+                least = np.full(len(v), -2.0)
+                if len(xi) > k and not repeats:
+                    least = np.maximum(least, np.partition(like, -k, axis=1)[:, -k])
+                for i, a, near in zip(qi[at : at + step], v, like >= least[:, None] - 1e-9, strict=True):
+                    found += best_of(i, a, np.flatnonzero(near))
         a, b, c = zip(*found, strict=True) if found else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
@@ -141,26 +149,25 @@ def _ranked(k: int):
 
 
 def depth(rows: DataFrame) -> int:
-    """How many axes name a cell, by the number of rows (id, vector) and their dimensions: one or two."""
+    """Advice for `hashes` by the number of rows (id, vector) and their dimensions: one or two. `search` does not ask for it."""
     n, dim = rows.agg(F.count("vector"), F.max(F.size("vector"))).first()
     width = max(2, 1 << max(0, (dim or 1) - 1).bit_length())
     return 2 if n >= CELL_ROWS * (2 * width) ** 2 else 1
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int = 5, tables: int = TABLES, probes: int | None = None, hashes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, k: int = 5, tables: int = TABLES, probes: int | None = None, hashes: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine for each query, ties to the smaller vec_id.
 
     A row is not its own query's neighbour. Vectors that are null, empty, zero or hold null or non-finite numbers, and rows
     without an id, take no part; vectors meet only those of as many dimensions. Rows that repeat count once. Fewer than k
     rows found: all of them; no query or no row: nothing. Vectors are ranked, not ids: an id with several vectors may fill
-    several places, once with each score, and its queries are answered together. hashes: the axes that name a cell, `depth`
-    of the rows if not given; probes: the cells that a query looks into in each table, PROBES of hashes if not given.
+    several places, once with each score, and its queries are answered together. hashes: the axes that name a cell, at
+    any number of rows; probes: the cells that a query looks into in each table, PROBES of hashes if not given.
     """
     small_batches(rows.sparkSession)
     cols = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")]
     schema = "id long, dim int, table int, cell long, values binary"
     rows, queries = rows.select(*cols), queries.select(*cols).distinct()
-    hashes = hashes or depth(rows)
     rows = rows.distinct()
     probes = probes or PROBES[min(hashes, max(PROBES))]
     near = _near(queries.mapInArrow(_hashed(tables, hashes, probes), schema), rows.mapInArrow(_hashed(tables, hashes, 1), schema), k)

@@ -266,6 +266,18 @@ def test_cells_get_another_axis_by_the_number_of_rows(spark, monkeypatch):
     assert set(got) == set(want) and sum(len(got[q] & {a for a, _ in w}) for q, w in want.items()) >= 0.9 * 4 * len(want)
 
 
+def test_neighbours_do_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    """Rows that meet no query (of other dimensions) change nothing, also where they lead `depth` to two axes."""
+    rng = np.random.default_rng(21)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(400, 32)))]
+    more = [(1000 + i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(200, 3)))]
+    few, many = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, rows + more))
+    monkeypatch.setattr(nearest, "CELL_ROWS", 500 / 64**2)
+    assert [nearest.depth(x.select("vec_id", F.col("embedding").alias("vector"))) for x in (few, many)] == [1, 2]
+    found = lambda x: sorted(map(tuple, nearest.search(few.where("vec_id % 10 = 0"), x).collect()))
+    assert found(few) == found(many)
+
+
 def test_two_hashes_find_most(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 32))
