@@ -433,6 +433,24 @@ def test_edited_passages_whose_pieces_stand_in_documents_between(spark):
     assert sum(r["n_repeated"] >= 50 for r in got) >= 18
 
 
+def test_edited_passages_whose_pieces_stand_in_many_documents_between(spark):
+    """Every seed has more documents before than those that its places are joined to at first, and none of these has the passage."""
+    rows, want, i = [], {}, 0
+    for t in range(6):
+        text = prose(120, 180_000 + t).split()
+        changed = text[:]
+        for j in random.Random(t).sample(range(120), 6):
+            changed[j] = f"changed{t}x{j}"
+        parts = [[" ".join(text[a : a + 20]) for a in range(0, 120, 20)] for _ in range(passages.NEAREST + 3)]
+        for part in (*parts[0], " ".join(text), *sum(parts[1:], []), " ".join(changed)):
+            rows.append((i, f"{prose(60, 190_000 + i)} {part} {prose(60, 195_000 + i)}"))
+            i += 1
+        want[i - 1] = i - 1 - 6 * len(parts[1:]) - 1
+    got = passages.digest(spark.createDataFrame(rows, DOCS).repartition(3)).where("n_repeated > 0").collect()
+    assert {r["doc_id"]: r["others"] for r in got} == {d: [e] for d, e in want.items()}
+    assert all(r["n_repeated"] >= 100 for r in got)
+
+
 def test_places_do_not_depend_on_batches():
     r = random.Random(4)
     cols = list(zip(*sorted((r.randint(0, 9), r.randint(0, 12), r.randint(0, 10**6)) for _ in range(300)), strict=True))
