@@ -451,6 +451,31 @@ def test_edited_passages_whose_pieces_stand_in_many_documents_between(spark):
     assert all(r["n_repeated"] >= 100 for r in got)
 
 
+@pytest.mark.parametrize("n", [1, 7, 10_000])
+def test_documents_that_meet_beside_open_places(n):
+    """Without Spark: pairs by seeds and what is around them, in batches of any size, against all pairs of places."""
+    r = random.Random(9)
+    rows = sorted({(d, r.randint(0, 400)) for d in range(12) for _ in range(12)})
+    rows = [(d, at, r.randint(0, 25), r.random() < 0.2) for d, at in rows]
+    asked = {s for _, _, s, o in rows if o}
+    low, high = passages._ASIDE
+
+    def around(d, at, a, b):
+        return {(s, p > at) for e, p, s, _ in rows if e == d and a <= abs(p - at) <= b}
+
+    want = {(d, e) for d, p, s, o in rows if o for e, q, t, _ in rows if e < d and s == t and around(d, p, low, high) & around(e, q, 1, passages._ASIDE_OTHER)}
+    cols = [pa.array(x) for x in zip(*((d, at, s, o, s in asked) for d, at, s, o in rows), strict=True)]
+    batch = pa.RecordBatch.from_arrays(cols, names=["doc_id", "at", "seed", "open", "wanted"])
+    made = pa.Table.from_batches(passages._contexts(batch.slice(i, n) for i in range(0, len(rows), n))).to_pylist()
+    near = {(d, at) for d, at, _, _ in rows if any(e == d and o and abs(p - at) <= passages._REACH for e, p, _, o in rows)}
+    assert {(x["doc_id"], x["at"]) for x in made if x["reach"]} == near
+    sides = [(x["seed"], i == 0, x["doc_id"], x[c]) for x in made for i, c in enumerate(("own", "others")) if x[c]]
+    sides = list(zip(*sorted(sides, key=lambda x: (x[0], not x[1])), strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(sides[0]), pa.array([0] * len(sides[0]), pa.int32()), *(pa.array(c) for c in sides[1:])], names=["seed", "part", "open", "doc_id", "around"])
+    got = {(x["doc_id"], x["other_id"]) for b in passages._meeting(batch.slice(i, n) for i in range(0, batch.num_rows, n)) for x in b.to_pylist()}
+    assert got == want and len(want) < 66
+
+
 def test_places_do_not_depend_on_batches():
     r = random.Random(4)
     cols = list(zip(*sorted((r.randint(0, 9), r.randint(0, 12), r.randint(0, 10**6)) for _ in range(300)), strict=True))
