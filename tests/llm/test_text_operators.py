@@ -476,6 +476,32 @@ def test_documents_that_meet_beside_open_places(n):
     assert got == want and len(want) < 66
 
 
+def test_short_sentences_and_runs_of_one_word_make_no_pairs(spark, monkeypatch):
+    """Documents that share a sentence too short for a chain, and a run of one word with nothing beside it, are not matched with all before."""
+    line, seen, compared = prose(14, 7), [], passages._compared
+    rows = [(i, f"{prose(60, 210_000 + i)} {line} {prose(100, 220_000 + i)} {'la ' * (30 + i)}{prose(40, 230_000 + i)}") for i in range(10)]
+    monkeypatch.setattr(passages, "_compared", lambda x, matches: (seen.append(matches), compared(x, matches))[1])
+    assert passages.digest(spark.createDataFrame(rows, DOCS).repartition(2)).where("n_repeated > 0").count() == 0
+    assert seen[1].count() == 0
+
+
+def test_passages_of_runs_of_one_word(spark):
+    """Runs of one word side by side, neither long enough alone, of other lengths, behind documents that have one of them."""
+    rows = [(0, f"{prose(60, 240_000)} {'la ' * 30}{'de ' * 35}{prose(40, 250_000)}")]
+    rows += [(i, f"{prose(60, 240_000 + i)} {'la ' * 30}{prose(90, 260_000 + i)} {'de ' * 35}{prose(40, 250_000 + i)}") for i in range(1, 9)]
+    rows += [(9, f"{prose(60, 240_009)} {'la ' * 36}{'de ' * 30}{prose(40, 250_009)}")]
+    (got,) = passages.digest(spark.createDataFrame(rows, DOCS).repartition(2)).where("n_repeated > 0").collect()
+    assert got["doc_id"] == 9 and got["others"] == [0] and got["n_repeated"] >= 60
+
+
+def test_matches_of_runs_grow_with_their_length():
+    p, q = passages._crossed(np.arange(1000), np.arange(400) + 7)
+    found = set(zip(p.tolist(), q.tolist(), strict=True))
+    assert {(i, i + 7) for i in range(400)} | {(600 + i, i + 7) for i in range(400)} <= found and len(p) <= 14 * 400
+    p, q = passages._crossed(np.array([3, 90, 200]), np.array([5, 70]))
+    assert sorted(zip(p.tolist(), q.tolist(), strict=True)) == [(a, b) for a in (3, 90, 200) for b in (5, 70)]
+
+
 def test_places_do_not_depend_on_batches():
     r = random.Random(4)
     cols = list(zip(*sorted((r.randint(0, 9), r.randint(0, 12), r.randint(0, 10**6)) for _ in range(300)), strict=True))
