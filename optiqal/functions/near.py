@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optiqal.functions.blocks import blocks_of, in_one_row, meetings
-from optiqal.functions.density import Found, Met
+from optiqal.functions.density import Found, Joined, Met
 from optiqal.functions.graph import written
 
 c = F.col
@@ -136,11 +136,11 @@ def near(points: DataFrame, min_cosine: float, found: Found) -> DataFrame:
         return np.flatnonzero(far <= np.minimum(own + 2 * reach, cells[y.cell][1] + reach) + SLACK)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "ids", "copies", "core", "units"]
+        names, joined = ["cell", "ids", "copies", "core", "units"], Joined()
         for batch in batches:
             for k in range(len(batch)):
                 x, y = (_Block({n: batch.column(f"{n}{end}")[k] for n in names}) for end in ("", "_2"))
-                met = Met(found, x, y, batch.column("block")[k] == batch.column("block_2")[k])
+                met = Met(found, x, y, (batch.column("block")[k].as_py(), batch.column("block_2")[k].as_py()), joined)
                 rows, others = near_cell(x, y), near_cell(y, x)
                 for a in range(0, len(rows), part):
                     some = rows[a : a + part]
